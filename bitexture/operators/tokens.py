@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitexture.functions.arrays import BOS_ID, EOS_ID, MAX_LEN, UNK_ID
 
@@ -63,51 +65,63 @@ def build_vocab(words: DataFrame, size: int = VOCAB_SIZE, specials: Sequence[str
     return head.unionByName(ranked)
 
 
-def vocab_lookup(
-    tokens: DataFrame, vocab: DataFrame, key: str, column: str = "tokens", name: str = "ids", unk: int = UNK_ID
-) -> DataFrame:
-    """Token arrays to id arrays; unknown tokens take ``unk``.
+def vocab_rows(vocab: DataFrame, limit: int = 2_000_000) -> tuple[list[str], list[int]]:
+    """The vocabulary on the driver, for a broadcast. Its size parameter keeps
+    it small; a larger table is refused."""
+    rows = vocab.select("token", "id").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError("vocabulary too large to broadcast")
+    return [r.token for r in rows], [r.id for r in rows]
+
+
+def vocab_ids(tokens: Column, vocab: DataFrame, unk: int = UNK_ID) -> Column:
+    """Token arrays to id arrays, as a Column. The vocabulary is broadcast and
+    whole Arrow batches are looked up at once, on the rows where they are: no
+    token is shuffled."""
+    shared = vocab.sparkSession.sparkContext.broadcast(vocab_rows(vocab))
+
+    def look_up(batch: pa.Array) -> pa.Array:
+        import pyarrow as arrow
+        import pyarrow.compute as pc
 
-    Rows are placed by their unique ``key`` once, before the arrays are
-    opened; the per-token lookup and the ordered closing then stay in place.
-    ``vocab`` is a vocabulary table, bounded by its size parameter.
-    """
-    return _map_arrays(tokens, vocab.select("token", "id"), key, column, name, F.lit(unk))
+        known, ids = (arrow.array(x) for x in shared.value)
+        at = pc.index_in(batch.flatten(), value_set=known)
+        found = pc.fill_null(pc.take(ids, at), unk).cast(arrow.int32())
+        ends = pc.cumulative_sum(pc.fill_null(batch.value_lengths(), 0))
+        offsets = arrow.concat_arrays([arrow.array([0], arrow.int32()), ends.cast(arrow.int32())])
+        return arrow.ListArray.from_arrays(offsets, found)
 
+    return F.arrow_udf(look_up, T.ArrayType(T.IntegerType()))(tokens)
 
-def ids_to_tokens(
-    ids: DataFrame, vocab: DataFrame, key: str, column: str = "ids", name: str = "tokens"
+
+def vocab_lookup(
+    df: DataFrame, vocab: DataFrame, column: str = "tokens", name: str = "ids", unk: int = UNK_ID
 ) -> DataFrame:
-    """Id arrays to token arrays; an id outside the vocabulary is dropped."""
-    return _map_arrays(ids, vocab.select(F.col("id").alias("token"), F.col("token").alias("id")), key, column, name, None)
+    """Replaces a token array column by its ids; unknown tokens take ``unk``."""
+    return df.withColumn(name, vocab_ids(F.coalesce(column, F.array().cast("array<string>")), vocab, unk)).drop(
+        *([column] if column != name else [])
+    )
+
+
+def decode_ids(ids: Column, vocab: DataFrame, special_ids: Sequence[int] = ()) -> Column:
+    """Id arrays to text, tokens joined by a blank. Ids in ``special_ids`` and
+    ids outside the vocabulary are left out."""
+    tokens, numbers = vocab_rows(vocab)
+    skip = set(special_ids)
+    table = {i: t for t, i in zip(tokens, numbers) if i not in skip}
+    shared = vocab.sparkSession.sparkContext.broadcast(table)
 
+    def text(batch):
+        get = shared.value.get
+        return batch.map(lambda row: " ".join(t for t in map(get, row) if t is not None), na_action="ignore")
 
-def _map_arrays(df, table, key, column, name, default):
-    rest = [c for c in df.columns if c != column]
-    placed = df.repartition(key)
-    opened = placed.select(*rest, F.posexplode_outer(column).alias("__pos", "token"))
-    hit = opened.join(F.broadcast(table), "token", "left")
-    value = F.col("id") if default is None else F.coalesce(F.col("id"), default)
-    value = F.when(F.col("__pos").isNotNull() & value.isNotNull(), F.struct("__pos", value.alias("id")))
-    others = [F.first(c).alias(c) for c in rest if c != key]
-    closed = hit.groupBy(key).agg(*others, F.sort_array(F.collect_list(value)).alias("__v"))
-    return closed.select(*rest, F.transform("__v", lambda x: x["id"]).alias(name))
+    return F.pandas_udf(text, T.StringType())(ids)
 
 
 def decode_text(
-    ids: DataFrame,
-    vocab: DataFrame,
-    key: str,
-    column: str = "ids",
-    name: str = "text",
-    special_ids: Sequence[int] | None = None,
+    df: DataFrame, vocab: DataFrame, column: str = "ids", name: str = "text", special_ids: Sequence[int] = ()
 ) -> DataFrame:
-    """Ids to text: tokens joined by a blank; ``special_ids`` are left out."""
-    if special_ids:
-        skip = list(special_ids)
-        ids = ids.withColumn(column, F.filter(column, lambda x: ~x.isin(skip)))
-    out = ids_to_tokens(ids, vocab, key, column, "__tokens")
-    return out.withColumn(name, F.array_join("__tokens", " ")).drop("__tokens")
+    return df.withColumn(name, decode_ids(F.col(column), vocab, special_ids))
 
 
 def symbol_pair_counts(words: DataFrame, symbols: str = "symbols", freq: str = "n") -> DataFrame:

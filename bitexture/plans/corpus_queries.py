@@ -288,7 +288,7 @@ def _sql_translate(rows, key):
 )
 def translate_documents(spark, sf):
     """Every document in another language, into English, by sentences."""
-    docs = I.table(spark, sf, "documents").where(F.col("lang") != "en")
+    docs = I.text_table(spark, sf, "documents").where(F.col("lang") != "en")
     docs = docs.select("doc_id", F.col("lang").alias("src_lang"), F.lit("en").alias("tgt_lang"), "text")
     return translate_rows(docs, clean_memory(I.memory(spark, sf))).select("doc_id", "translated")
 

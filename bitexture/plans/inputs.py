@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from bitexture.functions import text as X
 from bitexture.operators.corpus import both_directions, tagged_line, translation_memory
 from bitexture.operators.tokens import bigram_scores, build_vocab, pretokenize, vocab_lookup, word_freq
+from bitexture.sources.spread import spread
 
 TAGS = {"de": "<2de>", "fr": "<2fr>", "es": "<2es>"}
 LANGS = ("en", "de", "fr", "es")
@@ -26,9 +27,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose text takes most of the work."""
+    return spread(table(spark, sf, name))
+
+
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``line_no, lang, line``: every line of every document."""
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     return d.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
         (F.col("doc_id") * LINES_PER_DOC + F.col("pos")).alias("line_no"), "lang", "line"
     )
@@ -36,7 +42,7 @@ def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """``line_no, lang, src, tgt``."""
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     en = d.where(F.col("lang") == "en").select(
         (F.col("doc_id") + 1).alias("doc_id"), F.split("text", "\n").alias("src")
     )
@@ -186,7 +192,7 @@ def line_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_ids(spark: SparkSession, sf: str) -> DataFrame:
     """``line_no, lang, ids`` over the vocabulary of all lines."""
-    return vocab_lookup(line_tokens(spark, sf), vocab(spark, sf), "line_no")
+    return vocab_lookup(line_tokens(spark, sf), vocab(spark, sf))
 
 
 def bigrams(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,7 +203,7 @@ def page_text(spark: SparkSession, sf: str) -> DataFrame:
     """``page_id, text``: page text with entities spaced out, as a model that
     splits punctuation writes them."""
     t = F.regexp_replace("html", "<[^>]*>", " ")
-    return table(spark, sf, "pages").select("page_id", F.regexp_replace(t, "&([a-z]+);", "& $1 ;").alias("text"))
+    return text_table(spark, sf, "pages").select("page_id", F.regexp_replace(t, "&([a-z]+);", "& $1 ;").alias("text"))
 
 
 # --- the same inputs in SQL -------------------------------------------------

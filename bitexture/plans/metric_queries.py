@@ -9,6 +9,7 @@ from bitexture.operators import bleu as B
 from bitexture.operators import runs as R
 from bitexture.plans import inputs as I
 from bitexture.plans.registry import query
+from bitexture.session import checkpointed
 from bitexture.streaming.jobs import debounce as debounce_rows
 
 q = I.with_inputs
@@ -95,7 +96,8 @@ def _scored(spark, sf):
     )
 )
 def best_and_worst(spark, sf):
-    scored = _scored(spark, sf).select("id", "score")
+    # read twice, scored once
+    scored = checkpointed(_scored(spark, sf).select("id", "score"))
     best, worst = B.best_sentences(scored), B.worst_sentences(scored)
     return best.select(F.lit("best").alias("side"), "*").unionByName(worst.select(F.lit("worst").alias("side"), "*"))
 

@@ -86,7 +86,7 @@ def join_spaced_entities(spark, sf):
 
 @query(q(f"SELECT page_id, {I.sql_basic_unescape('html')} AS text FROM pages"))
 def html_unescape_basic(spark, sf):
-    return I.table(spark, sf, "pages").select("page_id", X.html_unescape(F.col("html"), full=False).alias("text"))
+    return I.text_table(spark, sf, "pages").select("page_id", X.html_unescape(F.col("html"), full=False).alias("text"))
 
 
 @query(
@@ -146,7 +146,7 @@ def clean_output_full(spark, sf):
           CAST(generate_subscripts({I.sql_sentences('text')}, 1) - 1 AS INTEGER) AS pos FROM documents"""
 )
 def split_sentences(spark, sf):
-    docs = I.table(spark, sf, "documents")
+    docs = I.text_table(spark, sf, "documents")
     return docs.select("doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
 

@@ -142,7 +142,7 @@ def padding_mask(spark, sf):
 )
 def decode_text(spark, sf):
     """Ids back to text without the special tokens."""
-    out = K.decode_text(I.line_ids(spark, sf), I.vocab(spark, sf), "line_no", special_ids=range(4))
+    out = K.decode_text(I.line_ids(spark, sf), I.vocab(spark, sf), special_ids=range(4))
     return out.select("line_no", "text")
 
 
@@ -272,7 +272,7 @@ def bpe_encode(spark, sf):
     """All lines encoded with a vocabulary trained on them, and decoded."""
     model = _small_model(spark, sf)
     ids = B.bpe_encode(I.doc_lines(spark, sf).select("line_no", "line"), model, "line").drop("line")
-    out = B.bpe_decode(ids.withColumn("id_text", _text("ids")), model, "line_no")
+    out = B.bpe_decode(ids.withColumn("id_text", _text("ids")), model)
     return out.select("line_no", F.col("id_text").alias("ids"), "text")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from bitexture.functions import predicates as P
@@ -48,6 +49,14 @@ def debounce_stream(
     )
 
 
+def _micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since the epoch; a time without zone counts as UTC."""
+    at = F.col(ts).cast("timestamp")
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        at = F.from_utc_timestamp(at, F.current_timezone())
+    return F.unix_micros(at)
+
+
 def debounce(
     inputs: DataFrame,
     gap_us: int = 500_000,
@@ -65,12 +74,14 @@ def debounce(
     """
     if block_us <= gap_us:
         raise ValueError("a block must be longer than the pause")
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us = _micros(inputs, ts)
     gap = f"{gap_us} microseconds"
     local = (
-        inputs.withColumn("__block", F.floor(us / block_us).cast("bigint"))
-        .groupBy(user, "__block", F.session_window(ts, gap).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n_inputs"), F.max_by(value, F.struct(ts, value)).alias(value))
+        inputs.select(
+            user, value, F.timestamp_micros(us).alias("__at"), F.floor(us / block_us).cast("bigint").alias("__block")
+        )
+        .groupBy(user, "__block", F.session_window("__at", gap).alias("w"))
+        .agg(F.count(F.lit(1)).alias("n_inputs"), F.max_by(value, F.struct("__at", value)).alias(value))
         .select(
             user,
             "__block",

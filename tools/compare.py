@@ -34,12 +34,15 @@ def rows_of(columns, rows):
 
 def compare(spark, con, sf: str, name: str, query) -> str:
     """``ok`` or what differs."""
+    start = time.time()
     df = query.run(spark, sf)
     got = [tuple(r) for r in df.collect()]
     if query.sql is None:
         return "ok" if got else "no rows"
+    middle = time.time()
     rel = con.sql(query.sql)
     want = rel.fetchall()
+    print(f"[{middle - start:.1f}s against {time.time() - middle:.1f}s]", end=" ")
     if sorted(df.columns) != sorted(rel.columns):
         return f"columns {sorted(df.columns)} / {sorted(rel.columns)}"
     a, b = rows_of(df.columns, got), rows_of(rel.columns, want)

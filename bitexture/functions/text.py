@@ -108,15 +108,18 @@ def strip_unicode(c: Column) -> Column:
 
 
 def preprocess_text(c: Column) -> Column:
-    """Full cleaning: NULL or empty gives ``""``."""
-    c = strip_control(nfc(F.coalesce(c, F.lit(""))))
+    """Full cleaning: NULL or empty gives ``""``. One scan tells whether the
+    text holds anything the inner steps change; most text does not."""
+    composed = nfc(F.coalesce(c, F.lit("")))
     # one pass for quotes, dashes and tabs
-    c = F.translate(
-        c,
+    plain = F.translate(
+        strip_control(composed),
         "".join(QUOTES) + DASHES + "\t",
         "".join(QUOTES.values()) + "-" * len(DASHES) + " ",
     )
-    return strip_unicode(F.regexp_replace(c, " {2,}", " "))
+    plain = F.regexp_replace(plain, " {2,}", " ")
+    suspect = c.rlike(f"[{CONTROL}{''.join(QUOTES)}{DASHES}\t]| {{2}}")
+    return strip_unicode(F.when(suspect, plain).otherwise(composed))
 
 
 def untab(c: Column) -> Column:

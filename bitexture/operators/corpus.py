@@ -14,8 +14,18 @@ from bitexture.operators.ranks import integer_levels, rank_cuts
 
 
 def clean_pairs(df: DataFrame) -> DataFrame:
-    """Both sides cleaned; other columns stay."""
-    return df.withColumns({"src": X.preprocess_text(F.col("src")), "tgt": X.preprocess_text(F.col("tgt"))})
+    """Both sides cleaned; other columns stay.
+
+    The cleaned sides go through a generator: a later filter on them then stays
+    above it. Merged into one step, it would clean every text a second time.
+    """
+    rest = [c for c in df.columns if c not in ("src", "tgt")]
+    clean = F.struct(*[X.preprocess_text(F.col(c)).alias(c) for c in ("src", "tgt")])
+    return df.select(*rest, F.inline(F.array(clean)))
+
+
+def valid() -> Column:
+    return P.is_valid_pair(F.col("src"), F.col("tgt"))
 
 
 def valid_raw() -> Column:
@@ -23,47 +33,45 @@ def valid_raw() -> Column:
     return P.is_valid_pair(X.preprocess_text(F.col("src")), X.preprocess_text(F.col("tgt")))
 
 
-def _cap_lines(df: DataFrame, cap: int, valid: Column) -> DataFrame:
-    """``lang, stop``: line of the cap-th valid pair; none below the cap."""
+def valid_pairs(df: DataFrame) -> DataFrame:
+    """Cleaned valid pairs. Raw rows that cannot become valid go first."""
+    return clean_pairs(df.where(P.maybe_valid_pair(F.col("src"), F.col("tgt")))).where(valid())
+
+
+def _up_to_cap(df: DataFrame, cap: int) -> DataFrame:
+    """Rows read until the cap-th valid pair of their language, cleaned."""
+    if cap <= 0:
+        return df.where(F.lit(False))
     cuts = rank_cuts(
         df.select("lang", "line_no", "src", "tgt"),
         ["lang"],
         ["line_no"],
         integer_levels("line_no"),
         F.array(F.lit(cap)),
-        valid,
+        valid_raw(),
     )
-    return cuts.select("lang", F.col("cut.line_no").alias("stop"))
-
-
-def _up_to_cap(df: DataFrame, cap: int, valid: Column) -> tuple[DataFrame, Column]:
-    """Rows up to the cap, and the validity to use on them. It is tied to the
-    joined stop line, or Spark would judge all rows before the join."""
-    if cap <= 0:
-        return df.where(F.lit(False)), valid
-    # one row per language
-    stops = F.broadcast(_cap_lines(df, cap, valid))
+    # one row per language that reaches its cap
+    stops = F.broadcast(cuts.select("lang", F.col("cut.line_no").alias("stop")))
     read = F.col("stop").isNull() | (F.col("line_no") <= F.col("stop"))
-    return df.join(stops, "lang", "left").where(read), F.when(read, valid)
+    return clean_pairs(df.join(stops, "lang", "left").where(read).select(*df.columns))
 
 
-def cap_per_language(df: DataFrame, cap: int, valid: Column | None = None) -> DataFrame:
-    """The first ``cap`` valid pairs of each language in line order.
+def cap_per_language(df: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` valid pairs of each language in line order, cleaned.
 
     The cap is turned into a last line number per language, so pairs are
     filtered, never sorted or shuffled. ``line_no`` must be unique per
-    language. Returns the rows as given (clean them afterwards).
+    language.
     """
-    rows, valid = _up_to_cap(df, cap, valid_raw() if valid is None else valid)
-    return rows.where(valid).select(*df.columns)
+    return _up_to_cap(df, cap).where(valid())
 
 
-def load_stats(df: DataFrame, cap: int, valid: Column | None = None) -> DataFrame:
+def load_stats(df: DataFrame, cap: int) -> DataFrame:
     """``lang, raw, valid, skipped`` over the rows read until the cap stopped
     the load; later rows are not counted."""
-    rows, valid = _up_to_cap(df, cap, valid_raw() if valid is None else valid)
     return (
-        rows.select("lang", valid.alias("__ok"))
+        _up_to_cap(df, cap)
+        .select("lang", valid().alias("__ok"))
         .groupBy("lang")
         .agg(
             F.count(F.lit(1)).alias("raw"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitexture.operators import corpus as C
-from bitexture.plans import corpus_queries, metric_queries, text_queries, token_queries  # noqa: F401
+from bitexture.plans import corpus_queries, metric_queries, stream_queries, text_queries, token_queries  # noqa: F401
 from bitexture.plans import inputs as I
 from bitexture.plans.registry import QUERIES, query
 
@@ -23,7 +23,7 @@ _CAP = 1_000
 )
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Valid tagged training lines per language, from raw line pairs."""
-    pairs = C.clean_pairs(C.cap_per_language(I.dirty_pairs(spark, sf), _CAP))
+    pairs = C.cap_per_language(I.dirty_pairs(spark, sf), _CAP)
     sizes = F.length("src") + F.length("tgt")
     tagged = C.both_directions(pairs.withColumn("__chars", sizes), I.TAGS)
     return tagged.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("__chars").alias("n_chars"))

@@ -28,7 +28,7 @@ CAP = 100
     )
 )
 def cap_per_language(spark, sf):
-    return C.clean_pairs(C.cap_per_language(I.dirty_pairs(spark, sf), CAP)).select("line_no", "lang", "src", "tgt")
+    return C.cap_per_language(I.dirty_pairs(spark, sf), CAP).select("line_no", "lang", "src", "tgt")
 
 
 @query(
@@ -53,7 +53,7 @@ def load_stats(spark, sf):
     )
 )
 def pair_summary(spark, sf):
-    return C.pair_summary(I.dirty_pairs(spark, sf).where(C.valid_raw()))
+    return C.pair_summary(C.valid_pairs(I.dirty_pairs(spark, sf)))
 
 
 @query(q("SELECT line_no, lang, direction, src, tgt FROM both_ways", "both_ways"))

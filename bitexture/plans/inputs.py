@@ -135,9 +135,13 @@ def hypotheses(spark: SparkSession, sf: str) -> DataFrame:
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """``req_id, source_text, source_lang, target_lang`` from conversation
     turns: some texts blank, some languages unknown."""
+    return as_requests(table(spark, sf, "conversations"))
+
+
+def as_requests(turns: DataFrame) -> DataFrame:
     langs = F.array(*[F.lit(x) for x in (*LANGS, "xx")])
     blank = F.col("conv_id") % 10 == 0
-    return table(spark, sf, "conversations").select(
+    return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"),
         F.when(blank, F.lit("  \n")).otherwise(F.concat(F.lit(" i "), "text", F.lit(" i"))).alias("source_text"),
         F.element_at(langs, (F.col("conv_id") % 5 + 1).cast("int")).alias("source_lang"),

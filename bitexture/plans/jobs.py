@@ -24,7 +24,7 @@ def build_corpus(
     pair tables (``lang, line_no, src, tgt``): cleaned, validated, capped per
     language, tagged, in both directions. Not yet shuffled."""
     raw = C.union_languages(*[s.select("lang", "line_no", "src", "tgt") for s in sources])
-    pairs = C.clean_pairs(C.cap_per_language(raw, cap))
+    pairs = C.cap_per_language(raw, cap)
     return C.both_directions(pairs, tags).withColumn("value", C.tagged_line())
 
 

@@ -17,12 +17,16 @@ q = I.with_inputs
 # clipped matches and totals per row, spelled out with one row per n-gram
 _SQL_COUNTS = """toks AS MATERIALIZED (SELECT id, list_filter(string_split(trim(hyp), ' '), lambda x: x <> '') AS h,
       list_filter(string_split(trim(ref), ' '), lambda x: x <> '') AS r FROM hypotheses),
+  words AS MATERIALIZED (
+    SELECT id, 1 AS hyp, unnest(h) AS w, generate_subscripts(h, 1) AS pos FROM toks
+    UNION ALL SELECT id, 0, unnest(r), generate_subscripts(r, 1) FROM toks),
+  next_words AS MATERIALIZED (SELECT id, hyp, w AS a, lead(w, 1) OVER p AS b, lead(w, 2) OVER p AS c, lead(w, 3) OVER p AS d
+    FROM words WINDOW p AS (PARTITION BY id, hyp ORDER BY pos)),
   grams AS MATERIALIZED (
-    SELECT id, n, unnest(list_transform(range(1, len(h) - n + 2), lambda i: array_to_string(h[i:i + n - 1], ' '))) AS gram, 1 AS hyp
-      FROM toks, range(1, 5) o(n) WHERE len(h) >= n
-    UNION ALL
-    SELECT id, n, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], ' '))), 0
-      FROM toks, range(1, 5) o(n) WHERE len(r) >= n),
+    SELECT id, hyp, 1 AS n, a AS gram FROM next_words
+    UNION ALL SELECT id, hyp, 2, a || ' ' || b FROM next_words WHERE b IS NOT NULL
+    UNION ALL SELECT id, hyp, 3, a || ' ' || b || ' ' || c FROM next_words WHERE c IS NOT NULL
+    UNION ALL SELECT id, hyp, 4, a || ' ' || b || ' ' || c || ' ' || d FROM next_words WHERE d IS NOT NULL),
   matched AS (SELECT id, n, sum(least(ch, cr)) AS m FROM (
       SELECT id, n, gram, sum(hyp) AS ch, sum(1 - hyp) AS cr FROM grams GROUP BY 1, 2, 3) GROUP BY 1, 2),
   stats AS MATERIALIZED (SELECT t.id, len(h) AS hyp_len, len(r) AS ref_len,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bitexture.functions import predicates as P
 from bitexture.functions import text as X
+from bitexture.operators import corpus as C
 from bitexture.operators.requests import resolve_same_language as resolve_rows
 from bitexture.operators.requests import swap_languages as swap_rows
 from bitexture.plans import inputs as I
@@ -54,8 +55,7 @@ def strip_unicode(spark, sf):
 
 @query(q("SELECT line_no, lang, src, tgt FROM clean_pairs", "clean_pairs"))
 def preprocess_text(spark, sf):
-    clean = {c: X.preprocess_text(F.col(c)) for c in ("src", "tgt")}
-    return I.dirty_pairs(spark, sf).withColumns(clean).select("line_no", "lang", "src", "tgt")
+    return C.clean_pairs(I.dirty_pairs(spark, sf)).select("line_no", "lang", "src", "tgt")
 
 
 @query(q("SELECT line_no, replace(src, chr(9), ' ') AS src FROM dirty_pairs", "dirty_pairs"))
@@ -194,16 +194,7 @@ def epoch_from_name(spark, sf):
 
 @query(q("SELECT line_no, lang, src, tgt FROM judged_pairs WHERE reason IS NULL", "judged_pairs"))
 def valid_pairs(spark, sf):
-    """Cheap rejections on the raw text first, then cleaning, then the rules."""
-    src, tgt = F.col("src"), F.col("tgt")
-    clean = {c: X.preprocess_text(F.col(c)) for c in ("src", "tgt")}
-    return (
-        I.dirty_pairs(spark, sf)
-        .where(P.maybe_valid_pair(src, tgt))
-        .withColumns(clean)
-        .where(P.is_valid_pair(src, tgt))
-        .select("line_no", "lang", "src", "tgt")
-    )
+    return C.valid_pairs(I.dirty_pairs(spark, sf)).select("line_no", "lang", "src", "tgt")
 
 
 @query(
@@ -212,9 +203,8 @@ def valid_pairs(spark, sf):
     )
 )
 def invalid_reason(spark, sf):
-    clean = {c: X.preprocess_text(F.col(c)) for c in ("src", "tgt")}
     reason = F.coalesce(P.invalid_reason(F.col("src"), F.col("tgt")), F.lit("valid"))
-    judged = I.dirty_pairs(spark, sf).withColumns(clean).select("lang", reason.alias("reason"))
+    judged = C.clean_pairs(I.dirty_pairs(spark, sf)).select("lang", reason.alias("reason"))
     return judged.groupBy("lang", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 

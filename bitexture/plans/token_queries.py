@@ -226,15 +226,17 @@ def nbest_select(spark, sf):
 
 
 @query(
-    _with_search(
-        "SELECT DISTINCT src_id, array_to_string(tokens, ' ') AS tokens FROM pruned WHERE state = 'finished'"
+    q(
+        """SELECT DISTINCT line_no // 100000 AS src_id, array_to_string(list_concat([2], ids, [3]), ' ') AS tokens
+           FROM line_ids""",
+        "line_ids",
     )
 )
 def distinct_hypotheses(spark, sf):
-    """Finished hypotheses of two searches, each once."""
-    beams = H.beam_prune(H.beam_expand(start_beams(spark, sf), I.bigrams(spark, sf)), k=3)
-    done = beams.where(F.col("state") == "finished").select("src_id", "tokens")
-    return H.distinct_hypotheses(done.unionByName(done)).select("src_id", _text("tokens").alias("tokens"))
+    """A document's lines as finished hypotheses: repeated ones once."""
+    doc = F.floor(F.col("line_no") / I.LINES_PER_DOC).cast("bigint").alias("src_id")
+    done = I.line_ids(spark, sf).select(doc, A.add_bos_eos(F.col("ids")).alias("tokens"))
+    return H.distinct_hypotheses(done).select("src_id", _text("tokens").alias("tokens"))
 
 
 @query(

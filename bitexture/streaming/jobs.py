@@ -81,15 +81,15 @@ def debounce(
             user, value, F.timestamp_micros(us).alias("__at"), F.floor(us / block_us).cast("bigint").alias("__block")
         )
         .groupBy(user, "__block", F.session_window("__at", gap).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n_inputs"), F.max_by(value, F.struct("__at", value)).alias(value))
-        .select(
-            user,
-            "__block",
-            F.unix_micros(F.col("w.start")).alias("__from"),
-            F.unix_micros(F.col("w.end")).alias("__to"),
-            "n_inputs",
-            value,
+        .agg(
+            # not the window's own bounds: a filter on a grouping column is
+            # moved below the grouping, where bursts are not formed yet
+            F.unix_micros(F.min("__at")).alias("__from"),
+            (F.unix_micros(F.max("__at")) + gap_us).alias("__to"),
+            F.count(F.lit(1)).alias("n_inputs"),
+            F.max_by(value, F.struct("__at", value)).alias(value),
         )
+        .drop("w")
     )
     begins, ends = F.col("__block") * block_us, (F.col("__block") + 1) * block_us
     near = (F.col("__from") - begins < gap_us) | (F.col("__to") >= ends)

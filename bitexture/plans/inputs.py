@@ -62,10 +62,10 @@ def dirty_pairs(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("src")
     dirty = (
         F.when(kind == 0, F.concat(F.lit("“"), s, F.lit("”  «x»")))
-        .when(kind == 1, F.concat(s, F.lit("​\u0001")))
+        .when(kind == 1, F.concat(s, F.lit("\u200b\u0001")))
         .when(kind == 2, F.concat(F.lit("  "), s, F.lit("\t\t  end ")))
-        .when(kind == 3, F.concat(F.lit("é "), s))
-        .when(kind == 4, F.concat(s, F.lit(" — ‒")))
+        .when(kind == 3, F.concat(F.lit("e\u0301 "), s))
+        .when(kind == 4, F.concat(s, F.lit(" \u2014 \u2012")))
         .otherwise(F.concat(F.lit("#"), s))
     )
     return line_pairs(spark, sf).withColumn("src", dirty)
@@ -143,7 +143,7 @@ def as_requests(turns: DataFrame) -> DataFrame:
     blank = F.col("conv_id") % 10 == 0
     return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"),
-        F.when(blank, F.lit("  \n")).otherwise(F.concat(F.lit(" i "), "text", F.lit(" i"))).alias("source_text"),
+        F.when(blank, F.lit(" \u00a0\n")).otherwise(F.concat(F.lit(" i "), "text", F.lit(" i"))).alias("source_text"),
         F.element_at(langs, (F.col("conv_id") % 5 + 1).cast("int")).alias("source_lang"),
         F.element_at(langs, (F.col("turn") % 5 + 1).cast("int")).alias("target_lang"),
     )

@@ -57,7 +57,7 @@ def debounce_stream(spark, sf):
     """Bursts that the watermark has passed (the rest is still open)."""
     events = _table_stream(spark, sf, "events").select("user_id", "ts", F.col("event_id").alias("text"))
     out = debounce_rows(events, "30 minutes")
-    us = {c: F.unix_micros(F.from_utc_timestamp(F.col(c).cast("timestamp"), F.current_timezone())) for c in ("first_at", "fires_at")}
+    us = {c: F.unix_micros(c) for c in ("first_at", "fires_at")}
     return _run(spark, out).select(
         "user_id", us["first_at"].alias("first_us"), us["fires_at"].alias("fires_us"), "n_inputs", "text"
     )

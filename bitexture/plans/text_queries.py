@@ -97,7 +97,7 @@ def html_unescape_basic(spark, sf):
     )
 )
 def unspace_punct(spark, sf):
-    spaced = F.regexp_replace("src", "([.,])", "  $1")
+    spaced = F.regexp_replace("src", "([.,])", " \u00a0$1")
     return I.line_pairs(spark, sf).select("line_no", X.unspace_punct(spaced).alias("src"))
 
 
@@ -109,7 +109,7 @@ def unspace_punct(spark, sf):
     )
 )
 def unspace_open_bracket(spark, sf):
-    spaced = F.regexp_replace("src", "([aeiou])", "(  [ $1")
+    spaced = F.regexp_replace("src", "([aeiou])", "( \u00a0[ $1")
     return I.line_pairs(spark, sf).select("line_no", X.unspace_open_bracket(spaced).alias("src"))
 
 

@@ -41,10 +41,12 @@ def debounce_stream(
 ) -> DataFrame:
     """One row per burst of inputs of a user: fires ``gap`` after its last
     input, with the last value. State is dropped as the watermark passes."""
+    at = F.timestamp_micros(_micros(inputs, ts))
     return (
-        inputs.withWatermark(ts, late)
-        .groupBy(user, F.session_window(ts, gap).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n_inputs"), F.max_by(value, F.struct(ts, value)).alias(value))
+        inputs.select(user, value, at.alias("__at"))
+        .withWatermark("__at", late)
+        .groupBy(user, F.session_window("__at", gap).alias("w"))
+        .agg(F.count(F.lit(1)).alias("n_inputs"), F.max_by(value, F.struct("__at", value)).alias(value))
         .select(user, F.col("w.start").alias("first_at"), F.col("w.end").alias("fires_at"), "n_inputs", value)
     )
 

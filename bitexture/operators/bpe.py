@@ -2,10 +2,10 @@
 
 Training reads the corpus once, for word counts; the merge loop then works on
 the table of distinct words. A word is a string of bracketed symbol codes,
-``<104><105>``, so a merge is one plain ``replace``: a character's code is its
-code point, merged symbols are numbered after the last code point. Codes thus
-grow with vocabulary ids, and ties between equally frequent pairs fall as they
-do in the usual trainer: smaller left id, then smaller right id.
+``<104><105>``, so a merge is one plain ``replace``: special tokens have the
+lowest codes, then characters by code point, then merged symbols in order.
+Codes thus grow with vocabulary ids, and ties between equally frequent pairs
+fall as they do in the usual trainer: smaller left id, then smaller right id.
 """
 
 from __future__ import annotations
@@ -24,13 +24,12 @@ from bitexture.operators.tokens import (
     VOCAB_SIZE,
     decode_text,
     pretokenize,
-    symbol_pair_counts,
     vocab_rows,
     word_freq,
 )
 from bitexture.session import checkpointed
 
-_FIRST_MERGED = 0x110000
+_CODE_POINTS = 0x110000
 _CANDIDATES = 256
 _ROUNDS_PER_CHECKPOINT = 8
 MIN_FREQUENCY = 2
@@ -98,7 +97,9 @@ def train_bpe(
     Several merges are applied in one round only where their order is certain.
     """
     spark = texts.sparkSession
-    code = F.concat(F.lit("<"), F.array_join(F.transform(F.split("token", ""), F.ascii), "><"), F.lit(">"))
+    shift = len(specials)  # codes below are those of the special tokens
+    points = F.transform(F.split("token", ""), lambda ch: F.ascii(ch) + shift)
+    code = F.concat(F.lit("<"), F.array_join(points, "><"), F.lit(">"))
     # the loop computes on few rows with much work each: keep all cores busy
     words = word_freq(texts, column).select("n", code.alias("word"))
     words = checkpointed(words.repartition(spark.sparkContext.defaultParallelism))
@@ -109,17 +110,17 @@ def train_bpe(
     ]
     ids: dict[str, int] = {t: i for i, t in enumerate(specials)}
     code_text: dict[int, str] = {}
-    text_code: dict[str, int] = {t: i - len(specials) for t, i in ids.items()}
+    text_code = dict(ids)
     for c in alphabet:
-        ids.setdefault(chr(c), len(ids))
-        code_text[c], text_code[chr(c)] = chr(c), c
+        char = chr(c - shift)
+        ids.setdefault(char, len(ids))
+        code_text[c], text_code[char] = char, c
 
     merges: list[tuple[int, str, str, str]] = []
-    next_code, rounds = _FIRST_MERGED, 0
+    next_code, rounds = _CODE_POINTS + shift, 0
     while len(ids) < vocab_size:
-        arrays = words.select("n", _codes("word").alias("symbols"))
         top = (
-            symbol_pair_counts(arrays)
+            _coded_pairs(words)
             .where(F.col("n") >= max(min_frequency, 1))
             .orderBy(F.desc("n"), "left", "right")
             .limit(_CANDIDATES)
@@ -149,8 +150,17 @@ def train_bpe(
 
 
 def _codes(word: str) -> Column:
-    inner = F.substr(F.col(word), F.lit(2), F.length(word) - 2)
-    return F.split(inner, "><").cast("array<int>")
+    return F.regexp_extract_all(word, F.lit("[0-9]+"), F.lit(0)).cast("array<int>")
+
+
+def _coded_pairs(words: DataFrame) -> DataFrame:
+    """``left, right, n``: adjacent codes weighted by word frequency. The
+    look-ahead finds overlapping pairs; they are counted as text and parsed
+    once per distinct pair."""
+    pair = F.regexp_extract_all("word", F.lit("(?=<([0-9]+><[0-9]+)>)"), F.lit(1))
+    counts = words.select("n", F.explode(pair).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
+    ends = F.split("pair", "><")
+    return counts.select(ends[0].cast("int").alias("left"), ends[1].cast("int").alias("right"), "n")
 
 
 def bpe_ids(words: Column, model: BpeModel, unk: str = "[UNK]") -> Column:

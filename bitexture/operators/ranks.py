@@ -49,8 +49,9 @@ def running_sums(
 ) -> DataFrame:
     """Adds inclusive running sums, taken in ``order`` within ``keys``.
 
-    ``order`` must be unique within ``keys``. One shuffle of the rows; the
-    bucket tables are aggregated map-side first.
+    ``order`` must be unique within ``keys`` and not NULL. The input is read
+    twice: once for the bucket table, aggregated map-side and written once for
+    its uses, and once for the rows, which are shuffled by bucket.
     """
     keys = list(keys)
     names = [f"__l{i}" for i in range(len(levels))]
@@ -58,7 +59,7 @@ def running_sums(
     tagged = df
     for name, level in zip(names, levels):
         tagged = tagged.withColumn(name, level)
-    finest = tagged.groupBy(*keys, *names).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    finest = checkpointed(tagged.groupBy(*keys, *names).agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
 
     starts = None
     for depth in range(len(names)):

@@ -252,10 +252,41 @@ def length_penalized(spark, sf):
     return ids.select("line_no", F.round(score, 6).alias("score"))
 
 
-@query()
+_STEPS, _BEAM = 5, 5
+
+
+def _sql_decode() -> str:
+    """The search written out, one block of tables per output position."""
+    parts = [
+        """best AS MATERIALIZED (SELECT prev, next, logprob FROM (
+             SELECT *, row_number() OVER (PARTITION BY prev ORDER BY logprob DESC, next) AS r FROM bigrams) WHERE r <= 5)""",
+        """live0 AS MATERIALIZED (SELECT doc_id AS src_id, 0.0::DOUBLE AS log_prob, [2, ids[1]] AS tokens, 0.0::DOUBLE AS score FROM (
+             SELECT line_no // 100000 AS doc_id, arg_min(ids, line_no) AS ids FROM line_ids WHERE len(ids) > 0 GROUP BY 1))""",
+    ]
+    for i in range(1, _STEPS + 1):
+        parts.append(
+            f"""step{i} AS MATERIALIZED (SELECT *, round(log_prob / pow(len(tokens), 0.7), 6) AS score, tokens[-1] = 3 AS ended FROM (
+                  SELECT src_id, round(log_prob + logprob, 6) AS log_prob, list_append(tokens, next) AS tokens
+                  FROM live{i - 1} JOIN best ON prev = tokens[-1]))"""
+        )
+        parts.append(
+            f"""live{i} AS MATERIALIZED (SELECT src_id, log_prob, tokens, score FROM (
+                  SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY score DESC, tokens) AS r FROM step{i} WHERE NOT ended)
+                WHERE r <= {_BEAM})"""
+        )
+    pool = " UNION ALL ".join(
+        [f"SELECT src_id, tokens, score, 'finished' AS state FROM step{i} WHERE ended" for i in range(1, _STEPS + 1)]
+        + [f"SELECT src_id, tokens, score, 'live' FROM live{_STEPS}"]
+    )
+    body = f"""SELECT src_id, score, state, array_to_string(list_filter(tokens, lambda x: x NOT IN (0, 2, 3)), ' ') AS ids FROM (
+        SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY state, score DESC, tokens) AS r FROM ({pool})) WHERE r = 1"""
+    return q("SELECT @", "bigrams").replace("SELECT @", ", " + ",\n".join(parts) + "\n" + body)
+
+
+@query(_sql_decode())
 def decode_corpus(spark, sf):
     """Beam search from every document's first token (five positions)."""
-    out = H.decode_corpus(start_beams(spark, sf), I.bigrams(spark, sf), max_len=5)
+    out = H.decode_corpus(start_beams(spark, sf), I.bigrams(spark, sf), k=_BEAM, max_len=_STEPS)
     return out.select("src_id", "score", "state", _text("ids").alias("ids"))
 
 
@@ -284,3 +315,117 @@ def encode_dataset(spark, sf):
     pairs = I.line_pairs(spark, sf).select("line_no", "src", "tgt")
     out = B.encode_dataset(pairs, _small_model(spark, sf))
     return out.select("line_no", _text("src_ids").alias("src_ids"), _text("tgt_ids").alias("tgt_ids"))
+
+
+_MERGES = 12
+
+
+def _sql_merges() -> str:
+    """Training written out: the top pair, then every word with it merged."""
+    parts = [
+        """words0 AS MATERIALIZED (SELECT n, array_to_string(list_transform(string_split(token, ''),
+             lambda c: '<' || unicode(c) || '>'), '') AS word FROM word_freq)""",
+        """chars AS (SELECT DISTINCT unicode(c) AS code, c AS text FROM (SELECT unnest(string_split(token, '')) AS c FROM word_freq))""",
+    ]
+    known = ["SELECT code, text FROM chars"]
+    for i in range(_MERGES):
+        parts.append(
+            f"""pairs{i} AS (SELECT l, r, sum(n) AS n FROM (SELECT n, unnest(c[:-2]) AS l, unnest(c[2:]) AS r FROM (
+                  SELECT n, list_transform(string_split(word[2:-2], '><'), lambda x: CAST(x AS INTEGER)) AS c FROM words{i}))
+                GROUP BY 1, 2 HAVING sum(n) >= 2)"""
+        )
+        parts.append(
+            f"""top{i} AS MATERIALIZED (SELECT {i} AS rank, t.l, t.r, a.text AS "left", b.text AS "right", a.text || b.text AS merged,
+                  {1114112 + i} AS code FROM (SELECT * FROM pairs{i} ORDER BY n DESC, l, r LIMIT 1) t
+                JOIN ({' UNION ALL '.join(known)}) a ON a.code = t.l JOIN ({' UNION ALL '.join(known)}) b ON b.code = t.r)"""
+        )
+        parts.append(
+            f"""words{i + 1} AS MATERIALIZED (SELECT n, replace(word, '<' || l || '><' || r || '>', '<' || code || '>') AS word
+                FROM words{i}, top{i})"""
+        )
+        known.append(f"SELECT code, merged FROM top{i}")
+    body = " UNION ALL ".join(
+        f"""SELECT CAST(rank AS INTEGER) AS rank, "left", "right", merged FROM top{i}""" for i in range(_MERGES)
+    )
+    return q("SELECT @", "word_freq").replace("SELECT @", ", " + ",\n".join(parts) + "\n" + body)
+
+
+@query(_sql_merges())
+def train_bpe_merges(spark, sf):
+    """The first merges over all lines: room for the characters and these."""
+    lines = I.doc_lines(spark, sf)
+    chars = K.word_freq(lines, "line").select(F.explode(F.split("token", "")).alias("c")).distinct().count()
+    size = len(K.SPECIAL_TOKENS) + chars + _MERGES
+    return B.train_bpe(lines, "line", vocab_size=size).merges
+
+
+# A small model given in advance: letters, two marks and some merges.
+_GIVEN_CHARS = "abcdefghijklmnopqrstuvwxyz.,"
+_GIVEN_MERGES = [
+    ("e", "n"), ("t", "h"), ("i", "n"), ("a", "n"), ("e", "r"), ("o", "n"), ("th", "e"), ("in", "g"),
+    ("an", "d"), ("e", "s"), ("en", "t"), ("i", "on"), ("t", "ion"), ("er", "e"), ("l", "e"), ("d", "e"),
+]
+
+
+def _given_vocab():
+    tokens = [*K.SPECIAL_TOKENS, *_GIVEN_CHARS, *[a + b for a, b in _GIVEN_MERGES]]
+    return [(t, i) for i, t in enumerate(tokens)]
+
+
+def _given_model(spark):
+    merges = [(i, a, b, a + b) for i, (a, b) in enumerate(_GIVEN_MERGES)]
+    return B.BpeModel(
+        spark.createDataFrame(_given_vocab(), "token string, id int"),
+        spark.createDataFrame(merges, "rank int, left string, right string, merged string"),
+        K.SPECIAL_TOKENS,
+    )
+
+
+def _sql_word_ids(tokens: str) -> str:
+    """Tables that encode every distinct token of ``tokens (token)``."""
+    word = "array_to_string(list_transform(string_split(token, ''), lambda c: '<' || c || chr(1)), '')"
+    for a, b in _GIVEN_MERGES:
+        word = f"replace({word}, '<{a}' || chr(1) || '<{b}' || chr(1), '<{a + b}' || chr(1))"
+    values = ", ".join("('{}', {})".format(t, i) for t, i in _given_vocab())
+    return f"""given(symbol, id) AS MATERIALIZED (SELECT * FROM (VALUES {values}) v(symbol, id)),
+      parts AS (SELECT token, unnest(s) AS symbol, generate_subscripts(s, 1) AS k FROM (
+        SELECT token, list_transform(string_split({word}, chr(1))[:-2], lambda x: x[2:]) AS s FROM (SELECT DISTINCT token FROM {tokens}))),
+      word_ids AS MATERIALIZED (SELECT token, list(coalesce(id, 1) ORDER BY k) AS ids FROM parts LEFT JOIN given USING (symbol) GROUP BY 1)"""
+
+
+@query(
+    q("SELECT @", "word_freq", "line_tokens").replace(
+        "SELECT @",
+        f""", {_sql_word_ids('word_freq')},
+        opened AS (SELECT line_no, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM line_tokens),
+        encoded AS (SELECT line_no, flatten(list(ids ORDER BY pos)) AS ids FROM opened JOIN word_ids USING (token) GROUP BY 1)
+        SELECT line_no, array_to_string(list_concat([2], coalesce(ids, []), [3]), ' ') AS ids
+        FROM line_tokens LEFT JOIN encoded USING (line_no)""",
+    )
+)
+def bpe_encode_given(spark, sf):
+    """All lines encoded with a given model."""
+    lines = I.doc_lines(spark, sf).select("line_no", "line")
+    return B.bpe_encode(lines, _given_model(spark), "line").select("line_no", _text("ids").alias("ids"))
+
+
+@query(
+    q("SELECT @", "line_pairs").replace(
+        "SELECT @",
+        f""", sides AS (SELECT line_no, 'src' AS side, src AS t FROM line_pairs UNION ALL SELECT line_no, 'tgt', tgt FROM line_pairs),
+        opened AS (SELECT line_no, side, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (
+          SELECT line_no, side, regexp_extract_all(t, '{I.TOKEN_RE}') AS w FROM sides)),
+        {_sql_word_ids('opened')},
+        encoded AS (SELECT line_no, side, flatten(list(ids ORDER BY pos)) AS ids FROM opened JOIN word_ids USING (token) GROUP BY 1, 2),
+        marked AS (SELECT line_no, side, list_concat([2], coalesce(ids, []), [3]) AS m FROM sides LEFT JOIN encoded USING (line_no, side)),
+        fixed AS (SELECT line_no, side, array_to_string(CASE WHEN len(m) < 64 THEN list_concat(m, list_transform(range(64 - len(m)), lambda x: 0))
+            ELSE list_concat(m[:63], [3]) END, ' ') AS ids FROM marked)
+        SELECT a.line_no, a.ids AS src_ids, b.ids AS tgt_ids FROM fixed a JOIN fixed b USING (line_no)
+        WHERE a.side = 'src' AND b.side = 'tgt'""",
+    )
+)
+def encode_dataset_given(spark, sf):
+    """Pairs as fixed-length id arrays of a given model."""
+    pairs = I.line_pairs(spark, sf).select("line_no", "src", "tgt")
+    out = B.encode_dataset(pairs, _given_model(spark))
+    return out.select("line_no", _text("src_ids").alias("src_ids"), _text("tgt_ids").alias("tgt_ids"))

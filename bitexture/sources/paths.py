@@ -6,9 +6,19 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+def _glob(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, fs.globStatus(p) or []
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True if the path, or any path a glob matches, exists."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return found is not None and len(found) > 0
+    return len(_glob(spark, path)[1]) > 0
+
+
+def path_size(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number and total length of the files below the path or glob."""
+    fs, found = _glob(spark, path)
+    sums = [fs.getContentSummary(status.getPath()) for status in found]
+    return sum(s.getFileCount() for s in sums), sum(s.getLength() for s in sums)

@@ -10,7 +10,7 @@ from bitexture.functions.text import flatten_newlines, strip_unicode, untab
 from bitexture.operators.corpus import tagged_line
 from bitexture.operators.lookup import zip_lines
 from bitexture.operators.shuffle import RATIOS, SPLITS, split_exact
-from bitexture.sources.paths import path_exists
+from bitexture.sources.paths import path_exists, path_size
 
 # A broadcast list of file blocks stays below this many rows.
 MAX_BLOCKS = 100_000
@@ -35,8 +35,7 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = blocks.select(
         "__path", "__start", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base")
     )
-    size = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
-    if _block_bound(spark, path, size) <= MAX_BLOCKS:
+    if _block_bound(spark, path) <= MAX_BLOCKS:
         blocks = F.broadcast(blocks)
     # a block that was cut differently in the two reads must not pass silently
     base = F.coalesce("__base", F.raise_error(F.lit("file blocks changed between reads")).cast("bigint"))
@@ -45,15 +44,14 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _block_bound(spark: SparkSession, path: str, block: int) -> int:
+def _block_bound(spark: SparkSession, path: str) -> int:
     """Upper bound of the number of blocks, from the file sizes."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    summary = fs.getContentSummary(p)
-    # a small input is cut into at most one block per core beyond this
-    cores = spark.sparkContext.defaultParallelism
-    return summary.getFileCount() + summary.getLength() // block + 1 + 2 * cores
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    files, length = path_size(spark, path)
+    # a small input is cut finer than this, to a few blocks per core
+    return files + length // size + 4 * spark.sparkContext.defaultParallelism
 
 
 def read_parallel_text(spark: SparkSession, src_path: str, tgt_path: str) -> DataFrame:

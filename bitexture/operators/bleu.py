@@ -7,6 +7,7 @@ follow Papineni et al. 2002, Chen & Cherry 2014 and Post 2018.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,13 +18,14 @@ from bitexture.functions.text import WS, strip_unicode
 TOKENIZERS = ("none", "13a", "char")
 
 
-def bleu_tokens(c: Column, tokenizer: str = "13a") -> Column:
-    """Token array: ``none`` (by spaces), ``13a`` (the mteval-v13a rules) or
-    ``char`` (one token per character, for text without spaces)."""
+def bleu_text(c: Column, tokenizer: str = "13a") -> Column:
+    """Text whose tokens are set apart by spaces: ``none`` (as it is), ``13a``
+    (the mteval-v13a rules) or ``char`` (one token per character, for text
+    without spaces)."""
     if tokenizer not in TOKENIZERS:
         raise ValueError(f"unknown tokenizer {tokenizer!r}")
     if tokenizer == "char":
-        return F.filter(F.split(F.regexp_replace(c, f"[{WS}]+", ""), ""), lambda t: t != "")
+        return F.regexp_replace(c, f"([^{WS}])", "$1 ")
     if tokenizer == "13a":
         # --- fixed values: the public mteval-v13a rules ---
         c = F.replace(F.replace(c, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit(""))
@@ -35,7 +37,11 @@ def bleu_tokens(c: Column, tokenizer: str = "13a") -> Column:
         c = F.regexp_replace(c, r"([^0-9])([\.,])", "$1 $2 ")
         c = F.regexp_replace(c, r"([\.,])([^0-9])", " $1 $2")
         c = F.regexp_replace(c, r"([0-9])(-)", "$1 $2 ")
-    return F.filter(F.split(strip_unicode(c), f"[{WS}]+"), lambda t: t != "")
+    return c
+
+
+def bleu_tokens(c: Column, tokenizer: str = "13a") -> Column:
+    return F.filter(F.split(strip_unicode(bleu_text(c, tokenizer)), f"[{WS}]+"), lambda t: t != "")
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -48,37 +54,62 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def _match_udf():
-    orders = BLEU_ORDERS
-
-    def matches(hyps, refs):
-        from collections import Counter
+    orders = range(1, BLEU_ORDERS + 1)
+    names = ["hyp_len", "ref_len", *[f"m{n}" for n in orders]]
 
+    def matches(hyps: pa.Array, refs: pa.Array) -> pa.Array:
+        """Whole batches at once: n-grams become numbers, a number per row and
+        n-gram is counted on either side."""
+        import numpy as np
         import pandas as pd
-
-        def grams(tokens, n):
-            return Counter(zip(*(tokens[i:] for i in range(n))))
-
-        rows = []
-        for hyp, ref in zip(hyps, refs):
-            h, r = (hyp or "").split(), (ref or "").split()
-            rows.append([sum((grams(h, n) & grams(r, n)).values()) for n in range(1, orders + 1)])
-        return pd.DataFrame(rows, columns=[f"m{n}" for n in range(1, orders + 1)])
-
-    fields = [T.StructField(f"m{n}", T.LongType()) for n in range(1, orders + 1)]
-    return F.pandas_udf(matches, T.StructType(fields))
+        import pyarrow as arrow
+        import pyarrow.compute as pc
+
+        size = len(hyps)
+        texts = pc.fill_null(arrow.concat_arrays([hyps, refs]), "")
+        lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
+        words = lists.flatten()
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        # an empty text splits into one empty word
+        filled = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(2 * size), lengths)[filled]
+        lengths = np.bincount(owner, minlength=2 * size)
+        word = pd.factorize(words.to_numpy(zero_copy_only=False)[filled])[0].astype("int64")
+        columns = [lengths[:size], lengths[size:]]
+        gram, base = word, int(word.max(initial=0)) + 1
+        for n in orders:
+            if n > 1:
+                # the shorter n-gram and the word that follows it
+                gram = pd.factorize(gram[:-1] * base + word[n - 1 :])[0].astype("int64")
+            inside = owner[: len(gram)] == owner[n - 1 : n - 1 + len(gram)]
+            span = int(gram.max(initial=0)) + 1
+            row = owner[: len(gram)][inside]
+            item, keys = pd.factorize((row % size) * span + gram[inside])
+            is_hyp = row < size
+            in_hyp = np.bincount(item[is_hyp], minlength=len(keys))
+            in_ref = np.bincount(item[~is_hyp], minlength=len(keys))
+            clipped = np.minimum(in_hyp, in_ref)
+            columns.append(np.bincount(keys // span, weights=clipped, minlength=size))
+        return arrow.StructArray.from_arrays([arrow.array(c.astype("int64")) for c in columns], names)
+
+    return F.arrow_udf(matches, T.StructType([T.StructField(c, T.LongType()) for c in names]))
 
 
 def clipped_matches(hyp: Column, ref: Column) -> Column:
-    """Struct ``m1..m4``: per order the sum over distinct n-grams of
-    ``min(count in hyp, count in ref)``, for two token arrays. Counting inside
-    the row saves a shuffle of eight n-grams per token."""
-    return _match_udf()(F.array_join(hyp, " "), F.array_join(ref, " "))
+    """Struct of token counts ``hyp_len, ref_len`` and, per order, ``m1..m4``:
+    the sum over distinct n-grams of ``min(count in hyp, count in ref)``, for
+    two texts with tokens set apart by spaces. Counting inside the row saves a
+    shuffle of eight n-grams per token."""
+    return _match_udf()(hyp, ref)
 
 
 def ngram_counts(df: DataFrame, n: int, key: str = "id", column: str = "tokens") -> DataFrame:
     """``key, gram, n``: how often each n-gram occurs in each row."""
+    # rows are placed by key before they are opened: no n-gram is shuffled
     return (
-        df.select(key, F.explode(ngrams(F.col(column), n)).alias("gram"))
+        df.select(key, column)
+        .repartition(key)
+        .select(key, F.explode(ngrams(F.col(column), n)).alias("gram"))
         .groupBy(key, "gram")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -87,16 +118,13 @@ def ngram_counts(df: DataFrame, n: int, key: str = "id", column: str = "tokens")
 def bleu_stats(df: DataFrame, tokenizer: str = "13a", hyp: str = "hyp", ref: str = "ref") -> DataFrame:
     """Adds per-row lengths and, per order, matches ``m1..m4`` and totals
     ``t1..t4``."""
-    base = df.withColumns({"__h": bleu_tokens(F.col(hyp), tokenizer), "__r": bleu_tokens(F.col(ref), tokenizer)})
-    h_len, r_len = F.size("__h").cast("bigint"), F.size("__r").cast("bigint")
-    base = base.withColumns(
-        {"hyp_len": h_len, "ref_len": r_len, "__m": clipped_matches(F.col("__h"), F.col("__r"))}
-    )
-    out = {}
+    texts = [bleu_text(F.col(c), tokenizer) for c in (hyp, ref)]
+    counted = df.withColumn("__m", clipped_matches(*texts))
+    out = {c: F.col(f"__m.{c}") for c in ("hyp_len", "ref_len")}
     for n in range(1, BLEU_ORDERS + 1):
         out[f"m{n}"] = F.col(f"__m.m{n}")
-        out[f"t{n}"] = F.greatest(F.col("hyp_len") - (n - 1), F.lit(0).cast("bigint"))
-    return base.withColumns(out).drop("__h", "__r", "__m")
+        out[f"t{n}"] = F.greatest(F.col("__m.hyp_len") - (n - 1), F.lit(0).cast("bigint"))
+    return counted.withColumns(out).drop("__m")
 
 
 def _parts() -> tuple[list[Column], list[Column]]:

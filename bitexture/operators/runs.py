@@ -102,7 +102,7 @@ def running_loss(losses: DataFrame, every: int = LOG_EVERY) -> DataFrame:
         {"batches": F.lit(1).cast("bigint"), "total": F.col("loss")},
     )
     return sums.where(F.col("batches") % every == 0).select(
-        "run_id", "n", "batches", (F.col("total") / F.col("batches")).alias("running_mean")
+        "run_id", "n", "batches", (F.col("total").cast("double") / F.col("batches")).alias("running_mean")
     )
 
 

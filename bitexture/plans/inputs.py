@@ -91,16 +91,21 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     even = F.col("user_id") % 2 == 0
     return e.groupBy(F.col("event_type").alias("run_id"), F.dayofmonth("ts").cast("bigint").alias("epoch")).agg(
-        F.round(F.avg(F.when(even, F.col("value"))), 6).alias("train"),
-        F.round(F.avg(F.when(~even, F.col("value"))), 6).alias("val"),
+        _exact_mean(F.when(even, F.col("value"))).alias("train"),
+        _exact_mean(F.when(~even, F.col("value"))).alias("val"),
         F.count(F.lit(1)).alias("n_batches"),
     )
 
 
+def _exact_mean(value):
+    """Mean of amounts with two decimals; the sum does not depend on order."""
+    return F.sum(value.cast("decimal(18,2)")).cast("double") / F.count(value)
+
+
 def batch_losses(spark: SparkSession, sf: str) -> DataFrame:
     """``run_id, n, loss``: each event is a batch, numbered by event id."""
     return table(spark, sf, "events").select(
-        F.col("event_type").alias("run_id"), F.col("event_id").alias("n"), F.col("value").alias("loss")
+        F.col("event_type").alias("run_id"), F.col("event_id").alias("n"), F.col("value").cast("decimal(18,2)").alias("loss")
     )
 
 
@@ -349,8 +354,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "runs": (
         (),
         """SELECT event_type AS run_id, CAST(day(ts) AS BIGINT) AS epoch,
-             round(avg(CASE WHEN user_id % 2 = 0 THEN value END), 6) AS train,
-             round(avg(CASE WHEN user_id % 2 <> 0 THEN value END), 6) AS val, count(*) AS n_batches
+             CAST(sum(CAST(value AS DECIMAL(18,2))) FILTER (user_id % 2 = 0) AS DOUBLE) / count(*) FILTER (user_id % 2 = 0) AS train,
+             CAST(sum(CAST(value AS DECIMAL(18,2))) FILTER (user_id % 2 <> 0) AS DOUBLE) / count(*) FILTER (user_id % 2 <> 0) AS val,
+             count(*) AS n_batches
            FROM events GROUP BY 1, 2""",
     ),
     "judged_runs": (
@@ -358,7 +364,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT *, min(val) OVER (PARTITION BY run_id ORDER BY epoch
                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best FROM runs""",
     ),
-    "batch_losses": ((), "SELECT event_type AS run_id, event_id AS n, value AS loss FROM events"),
+    "batch_losses": ((), "SELECT event_type AS run_id, event_id AS n, CAST(value AS DECIMAL(18,2)) AS loss FROM events"),
     "token_scores": (
         (),
         """SELECT l_orderkey AS batch_id, l_linenumber AS pos, l_partkey % 5 AS target,

@@ -197,15 +197,14 @@ def mark_best(spark, sf):
 
 @query(
     q(
-        """SELECT run_id, n, batches, round(running_mean, 6) AS running_mean FROM (
-             SELECT run_id, n, row_number() OVER w AS batches, avg(loss) OVER w AS running_mean FROM batch_losses
+        """SELECT run_id, n, batches, CAST(total AS DOUBLE) / batches AS running_mean FROM (
+             SELECT run_id, n, row_number() OVER w AS batches, sum(loss) OVER w AS total FROM batch_losses
              WINDOW w AS (PARTITION BY run_id ORDER BY n)) WHERE batches % 500 = 0""",
         "batch_losses",
     )
 )
 def running_loss(spark, sf):
-    out = R.running_loss(I.batch_losses(spark, sf))
-    return out.withColumn("running_mean", F.round("running_mean", 6))
+    return R.running_loss(I.batch_losses(spark, sf))
 
 
 @query(

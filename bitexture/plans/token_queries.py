@@ -150,14 +150,14 @@ def decode_text(spark, sf):
     q(
         """SELECT lang, count(*) AS n_rows, round(avg(len(ids)), 6) AS mean_len, max(len(ids)) AS max_len,
              count(*) FILTER (len(ids) > 64) AS n_cut, round(avg(CASE WHEN len(ids) > 64 THEN 1 ELSE 0 END), 6) AS share_cut,
-             CAST(quantile_disc(len(ids), 0.5) AS INTEGER) AS p50_len, CAST(quantile_disc(len(ids), 0.95) AS INTEGER) AS p95_len
+             round(quantile_cont(len(ids), 0.5), 6) AS p50_len, round(quantile_cont(len(ids), 0.95), 6) AS p95_len
            FROM line_ids GROUP BY 1""",
         "line_ids",
     )
 )
 def token_length_stats(spark, sf):
     s = K.token_length_stats(I.line_ids(spark, sf))
-    return s.withColumns({c: F.round(c, 6) for c in ("mean_len", "share_cut")})
+    return s.withColumns({c: F.round(c, 6) for c in ("mean_len", "share_cut", "p50_len", "p95_len")})
 
 
 @query(q("SELECT prev, next, n, logprob FROM bigrams", "bigrams"))

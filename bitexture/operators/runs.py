@@ -50,7 +50,8 @@ def epoch_loss(batches: DataFrame, keys: Sequence[str], mode: str = "batch_mean"
 def best_epoch(runs: DataFrame) -> DataFrame:
     """Epoch with the lowest validation loss per run, the earliest on ties."""
     return runs.groupBy("run_id").agg(
-        F.min_by("epoch", F.struct("val", "epoch")).alias("best_epoch"), F.min("val").alias("best_val")
+        F.min_by("epoch", F.when(F.col("val").isNotNull(), F.struct("val", "epoch"))).alias("best_epoch"),
+        F.min("val").alias("best_val"),
     )
 
 
@@ -59,10 +60,12 @@ def _by_epoch():
 
 
 def best_so_far(runs: DataFrame) -> DataFrame:
-    """Adds the best earlier loss and whether the epoch strictly improved."""
+    """Adds the best earlier loss and whether the epoch strictly improved; an
+    epoch without a loss did not."""
     before = _by_epoch().rowsBetween(Window.unboundedPreceding, -1)
+    better = F.col("val") < F.coalesce(F.col("prev_best"), F.lit(float("inf")))
     return runs.withColumn("prev_best", F.min("val").over(before)).withColumn(
-        "improved", F.col("val") < F.coalesce(F.col("prev_best"), F.lit(float("inf")))
+        "improved", F.coalesce(better, F.lit(False))
     )
 
 
@@ -85,7 +88,7 @@ def early_stop(runs: DataFrame, patience: int = PATIENCE) -> DataFrame:
 
 def mark_best(runs: DataFrame) -> DataFrame:
     """Adds ``mark``: ``*`` on the first epoch with the lowest loss."""
-    order = Window.partitionBy("run_id").orderBy("val", "epoch")
+    order = Window.partitionBy("run_id").orderBy(F.asc_nulls_last("val"), "epoch")
     return runs.withColumn("mark", F.when(F.row_number().over(order) == 1, "*").otherwise(""))
 
 

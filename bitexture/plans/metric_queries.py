@@ -154,18 +154,18 @@ def epoch_loss(spark, sf):
     return a.join(b, "epoch")
 
 
-@query(q("SELECT run_id, arg_min(epoch, val * 1000 + epoch / 1000.0) AS best_epoch, min(val) AS best_val FROM runs GROUP BY 1", "runs"))
+@query(q("SELECT run_id, arg_min(epoch, {'v': val, 'e': epoch}) FILTER (val IS NOT NULL) AS best_epoch, min(val) AS best_val FROM runs GROUP BY 1", "runs"))
 def best_epoch(spark, sf):
     return R.best_epoch(I.runs(spark, sf))
 
 
-@query(q("SELECT run_id, epoch, val, prev_best, prev_best IS NULL OR val < prev_best AS improved FROM judged_runs", "judged_runs"))
+@query(q("SELECT run_id, epoch, val, prev_best, coalesce(val < coalesce(prev_best, 'infinity'::DOUBLE), false) AS improved FROM judged_runs", "judged_runs"))
 def best_so_far(spark, sf):
     return R.best_so_far(I.runs(spark, sf)).select("run_id", "epoch", "val", "prev_best", "improved")
 
 
 _STOP = """steps AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS step,
-      prev_best IS NULL OR val < prev_best AS improved FROM judged_runs),
+      coalesce(val < coalesce(prev_best, 'infinity'::DOUBLE), false) AS improved FROM judged_runs),
   waits AS (SELECT *, step - coalesce(max(CASE WHEN improved THEN step END) OVER (PARTITION BY run_id ORDER BY epoch), 0) AS no_improve
       FROM steps),
   ends AS (SELECT run_id, min(step) AS stop_step FROM waits WHERE no_improve >= 3 GROUP BY 1)"""

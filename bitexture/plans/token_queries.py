@@ -75,7 +75,7 @@ def pad_or_trim(spark, sf):
     )
 )
 def pad_or_trim_eos2(spark, sf):
-    """End marker id 2, as the data code of the original has it."""
+    """The other end marker id in use, at the default length."""
     return I.line_ids(spark, sf).select("line_no", _text(A.pad_or_trim(F.col("ids"), 64, eos=2)).alias("ids"))
 
 

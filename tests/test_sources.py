@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from bitexture.plans.jobs import write_corpus
 from bitexture.sources import artifacts as A

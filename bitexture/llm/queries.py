@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitexture.llm import line_dedup, mixing, secret_scan, sharding, url_filter
+from bitexture.llm import line_dedup, mixing, secret_scan, sharding, simhash, url_filter
 from bitexture.plans.registry import Query, Run
 
 QUERIES: dict[str, Query] = {}
@@ -89,6 +89,12 @@ def op7_stratified_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of documents whose fingerprints differ in two bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf, "documents"), words=3, distance=2)
+
+
 @query()
 def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Verdict on every page URL: the longest rule, else the URL list."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitexture.llm import line_dedup, mixing, secret_scan, sharding, simhash, url_filter
+from bitexture.llm import line_dedup, mixing, secret_scan, sharding, simhash, sketches, url_filter
 from bitexture.plans.registry import Query, Run
 
 QUERIES: dict[str, Query] = {}
@@ -38,6 +38,34 @@ def sha256(text) -> F.Column:
     return F.sha2(F.encode(text, "utf-8"), 256)
 
 
+@query()
+def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of documents and of their edited texts, and how alike they are."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # rows of neighbouring ids come together before the texts are hashed, so
+    # that only texts are shuffled
+    run = F.coalesce(F.shiftright(F.col("doc_id"), sketches.RUN_BITS), F.lit(-(2**62)))
+    both = sketches.with_next(docs.repartition(run), "doc_id", ["text"])
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    out = both.withColumn("n_chars", n.cast("bigint")).withColumn(
+        "edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    )
+    for name, text in (("s", "text"), ("e", "edited"), ("x", "next_text")):
+        out = out.withColumn(name, sketches.text_sketch(F.col(text)))
+    return out.select(
+        "doc_id",
+        "n_chars",
+        sha256("edited").alias("edited_sha256"),
+        sketches.fingerprint_text(F.col("s")).alias("fingerprint"),
+        sketches.fingerprint_text(F.col("e")).alias("edited_fingerprint"),
+        sketches.resemblance(F.col("s"), F.col("e")).alias("near_edited"),
+        sketches.resemblance(F.col("s"), F.col("x")).alias("near_next"),
+        sketches.distinct_shingles(F.col("s")).alias("n_shingles"),
+        sketches.containment(F.col("s"), F.col("e")).alias("in_edited"),
+    )
+
+
 @query()
 def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets in every document: fixed patterns and assigned literals."""

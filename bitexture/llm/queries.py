@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitexture.llm import line_dedup, mixing, secret_scan, sharding, simhash, sketches, url_filter
+from bitexture.llm import decontamination, html_extract, line_dedup, mixing, secret_scan, sharding, simhash, sketches, url_filter
 from bitexture.plans.registry import Query, Run
 
 QUERIES: dict[str, Query] = {}
@@ -66,6 +66,13 @@ def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op2_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_extract.extract_main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
 @query()
 def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets in every document: fixed patterns and assigned literals."""
@@ -117,6 +124,12 @@ def op7_stratified_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op8_benchmark_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items of which a document contains at least four fifths."""
+    return decontamination.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query()
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of documents whose fingerprints differ in two bits or fewer."""

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bitexture.llm.shingles import Shingler
 from bitexture.session import stored
 
 WORDS = 5
@@ -21,46 +20,15 @@ HASHES = 32
 #: Benchmarks of up to so many items send their minima to every task; those of a
 #: larger one are joined by shuffle.
 BROADCAST_ITEMS = 200_000
-_WORD = re.compile(r"\w+")
-_CACHE = 500_000
 _ROWS = 1 << 14
 _U = np.uint64
 LONGS = T.ArrayType(T.LongType())
 
 _rng = np.random.Generator(np.random.PCG64(20_240_601))
 _FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * _U(2) + _U(1)
-_PLACES = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * _U(2) + _U(1)
 _STEPS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 
 
-class Shingler:
-    """64-bit hashes of runs of five words (``\\w+``, lower case); a shorter
-    text is one run, one without words has none. Word hashes are remembered."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = _WORD.findall((text or "").lower())
-        if len(self.known) > _CACHE:
-            self.known = {}
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if 0 < len(h) < WORDS:
-            h = np.concatenate([h, np.zeros(WORDS - len(h), np.uint64)])
-        n = len(h) - WORDS + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        out = h[:n] * _PLACES[0]
-        for i in range(1, WORDS):
-            out += h[i : i + n] * _PLACES[i]
-        out ^= out >> _U(31)
-        out *= _U(0x9E3779B97F4A7C15)
-        return out ^ (out >> _U(29))
-
-
 def size_class(n: int) -> int:
     """Items of ``2 ** c`` up to ``2 ** (c + 1) - 1`` shingles are class c."""
     return max(n, 1).bit_length() - 1

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitexture.llm import decontamination, html_extract, line_dedup, mixing, secret_scan, sharding, simhash, sketches, url_filter
+from bitexture.llm import decontamination, html_extract, line_dedup, mixing, secret_scan, sharding, simhash, sketches, toxicity, url_filter
+from bitexture.llm.pipeline import TOXIC_FROM, held_out
 from bitexture.plans.registry import Query, Run
 
 QUERIES: dict[str, Query] = {}
@@ -73,6 +74,20 @@ def op2_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
 
 
+@query()
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of two folds."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf, "labels"), ~held_out())
+    out = toxicity.score_toxicity(docs, model)
+    return out.select(
+        "doc_id",
+        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
 @query()
 def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets in every document: fixed patterns and assigned literals."""

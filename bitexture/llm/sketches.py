@@ -91,7 +91,8 @@ def _next_first(firsts: DataFrame, depth: int = 0) -> DataFrame:
     and groups are followed in the same way, so no window has more than
     2 ** 16 rows."""
     if depth == 4:
-        return firsts.select("run", F.lit(None).cast("bigint").alias("next"))
+        # of 64 bits only the sign is left: two rows at most
+        return firsts.select("run", F.lead("first").over(Window.partitionBy(F.lit(1)).orderBy("run")).alias("next"))
     group = F.shiftright(F.col("run"), _LEVEL_BITS)
     inside = firsts.withColumn("group", group).withColumn(
         "next", F.lead("first").over(Window.partitionBy("group").orderBy("run"))

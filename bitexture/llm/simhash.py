@@ -133,7 +133,8 @@ def plan_partitions(pairs: np.ndarray, n: int, distance: int) -> list[Partition]
     finds the cheapest thresholds for 1 to ``distance + 1`` groups; -1 leaves a
     group out.
     """
-    share, best = pairs.diagonal() / max(n, 1), None
+    n = max(n, 1)
+    share, best = pairs.diagonal() / n, None
     for parts in range(1, distance + 2):
         groups = correlated_groups(pairs, n, parts)
         # spent[u]: cheapest thresholds with sum of (t + 1) = u so far

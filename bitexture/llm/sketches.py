@@ -86,13 +86,14 @@ def sketch_documents(docs: DataFrame, size: int = SIZE, width: int = WORDS, text
 
 
 def _next_first(firsts: DataFrame, depth: int = 0) -> DataFrame:
-    """``run, next``: the first key of the next run that has rows, from
-    ``run, first``; NULL for the last. Runs are grouped by their upper bits,
+    """``run, next``: the first key of the next run that has rows (of the first
+    run for the last), from ``run, first``. Runs are grouped by their upper bits,
     and groups are followed in the same way, so no window has more than
     2 ** 16 rows."""
     if depth == 4:
         # of 64 bits only the sign is left: two rows at most
-        return firsts.select("run", F.lead("first").over(Window.partitionBy(F.lit(1)).orderBy("run")).alias("next"))
+        w = Window.partitionBy(F.lit(1)).orderBy("run")
+        return firsts.select("run", F.coalesce(F.lead("first").over(w), F.first("first").over(w)).alias("next"))
     group = F.shiftright(F.col("run"), _LEVEL_BITS)
     inside = firsts.withColumn("group", group).withColumn(
         "next", F.lead("first").over(Window.partitionBy("group").orderBy("run"))
@@ -120,11 +121,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
         inside = inside.withColumn(n, F.lead(c).over(w))
     heads = inside.where("__row = 1").select(F.col("__run").alias("__to"), *[F.col(c).alias(f"__{c}") for c in columns])
     runs = docs.select(run.alias("run")).distinct().withColumn("first", F.col("run"))
-    first = runs.agg(F.min("run").alias("smallest")).withColumn("one", F.lit(1))
-    order = (
-        _next_first(runs).withColumn("one", F.lit(1)).join(first, "one")
-        .select("run", F.coalesce("next", "smallest").alias("__to"))
-    )
+    order = _next_first(runs).withColumnRenamed("next", "__to")
     # the head of a run goes back to the run before it
     back = order.join(heads, "__to").select(F.col("run").alias("__run"), *[f"__{c}" for c in columns])
     out = inside.join(back, "__run", "left")

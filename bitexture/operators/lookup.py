@@ -7,20 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 256
+#: Rows of a key from which on it is split, and rows of one part.
+MIN_HOT_ROWS = 1_000_000
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int) -> DataFrame:
-    """Hashes of the most frequent keys: at most ``MAX_HOT_KEYS`` rows, each
-    key with at least ``min_rows`` rows. Counting by hash keeps the shuffle at
-    two numbers per distinct key; a hash clash only changes where rows go."""
+    """Hashes of the frequent keys and the parts each is split into. Every key
+    with ``min_rows`` rows is listed, so there are at most rows / min_rows.
+    Counting by hash keeps the shuffle at two numbers per distinct key; a hash
+    clash only changes where rows go."""
     return (
         df.groupBy(F.xxhash64(*on).alias("__h"))
         .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") >= min_rows)
-        .orderBy(F.desc("__n"), "__h")
-        .limit(MAX_HOT_KEYS)
-        .select("__h", F.lit(True).alias("__hot"))
+        .select("__h", (F.ceil(2 * F.col("__n") / min_rows)).cast("int").alias("__parts"))
     )
 
 
@@ -30,25 +30,26 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     spread: Sequence[str] = (),
-    salts: int = 32,
-    min_rows: int = 1_000_000,
+    min_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
     """Joins a fact side to a lookup side that is unique per key.
 
-    Keys that fill many rows of ``left`` are salted: their rows go to
-    ``salts`` places chosen by a hash of the ``spread`` columns, and the one
-    lookup row is copied there. Every other key is joined as usual, so nothing
-    is dropped, and only the hot keys' lookup rows are repeated.
+    Keys that fill many rows of ``left`` are split into parts of about half of
+    ``min_rows``: their rows go to a part chosen by a hash of the ``spread``
+    columns, and the one lookup row is copied to each. Every other key is
+    joined as usual, so nothing is dropped, and only the hot keys' lookup rows
+    are repeated.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(left, on, min_rows))  # at most MAX_HOT_KEYS rows
+    hot = F.broadcast(hot_keys(left, on, min_rows))  # at most rows / min_rows rows
     spread = list(spread) or left.columns
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    parts = F.col("__parts")
+    salt = F.when(parts.isNotNull(), F.pmod(F.xxhash64(*spread), parts)).otherwise(F.lit(0))
+    copies = F.when(parts.isNotNull(), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
     l = left.withColumn("__h", F.xxhash64(*on)).join(hot, "__h", "left")
-    l = l.withColumn("__salt", salt.cast("int")).drop("__h", "__hot")
+    l = l.withColumn("__salt", salt.cast("int")).drop("__h", "__parts")
     r = right.withColumn("__h", F.xxhash64(*on)).join(hot, "__h", "left")
-    r = r.withColumn("__salt", F.explode(copies)).drop("__h", "__hot")
+    r = r.withColumn("__salt", F.explode(copies)).drop("__h", "__parts")
     return l.join(r, [*on, "__salt"], how).drop("__salt")
 
 

@@ -7,8 +7,8 @@ give every finest bucket its start, and only inside one bucket are rows ever
 sorted. Two ready-made level lists keep buckets small whatever the data hold:
 
 * ``integer_levels`` for an integer that is unique within its keys: a bucket
-  spans 2**16 values, so it has at most 65 536 rows, and a coarse level has at
-  most 65 536 buckets per parent;
+  spans 2**16 values, so it has at most 65 536 rows, and each coarser level has
+  at most 65 536 buckets per parent;
 * ``hash_levels`` for an md5 of a unique key: buckets are uniform.
 """
 
@@ -26,7 +26,7 @@ _TAKEN = "__taken"
 
 def integer_levels(order: str) -> list[Column]:
     c = F.col(order).cast("bigint")
-    return [F.shiftright(c, 32), F.shiftright(c, 16)]
+    return [F.shiftright(c, 48), F.shiftright(c, 32), F.shiftright(c, 16)]
 
 
 def hash_levels(order: str) -> list[Column]:

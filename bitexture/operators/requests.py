@@ -20,7 +20,7 @@ MODEL_NAME = "Transformer"
 
 
 def check_requests(
-    df: DataFrame, languages: Sequence[str] = tuple(P.REQUEST_LANGUAGES), english: str = "Tiếng Anh"
+    df: DataFrame, languages: Sequence[str] = P.LISTED_LANGUAGES, english: str = "Tiếng Anh"
 ) -> DataFrame:
     """Stateless part, for batch and streams alike: adds ``status``,
     ``detail``, the normalized ``source`` and ``pivot``."""
@@ -63,7 +63,7 @@ def translate_documents(docs: DataFrame, memory: DataFrame, key: str = "doc_id")
 def process_requests(
     df: DataFrame,
     memory: DataFrame,
-    languages: Sequence[str] = tuple(P.REQUEST_LANGUAGES),
+    languages: Sequence[str] = P.LISTED_LANGUAGES,
     english: str = "Tiếng Anh",
     key: str = "req_id",
 ) -> DataFrame:

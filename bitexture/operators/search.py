@@ -105,6 +105,9 @@ def decode_corpus(
     """Beam search for a whole table: ``sources`` has ``src_id`` and the first
     ``tokens``; returns the best ids per source.
 
+    A live beam whose last token has no continuation stays as it is, as its
+    source's answer if nothing else ends, so every source has one row.
+
     Step ``i`` handles position ``i`` of all sources. Live beams are
     checkpointed each step (their size is at most ``k`` per source); finished
     hypotheses of a step are reduced to the best one per source.
@@ -116,6 +119,7 @@ def decode_corpus(
     done = []
     last = None
     for _ in range(max_len):
+        done.append(_stuck(live, best, eos, alpha))
         step = checkpointed(beam_prune(_expand(live, F.broadcast(best), eos), k, eos, alpha))
         done.append(_best_finished(step))
         live = step.where(F.col("state") == "live")
@@ -129,6 +133,14 @@ def decode_corpus(
     return nbest_select(out)
 
 
+def _stuck(live, best, eos, alpha):
+    """Beams that no token can follow; those that have ended count as such."""
+    ends = live.withColumn("prev", F.element_at("tokens", -1)).join(F.broadcast(best), "prev", "left_anti")
+    score = F.round(length_penalized(F.col("log_prob"), F.size("tokens"), alpha), DIGITS)
+    state = F.when(F.col("prev") == eos, "finished").otherwise("live")
+    return ends.select("src_id", "log_prob", "tokens", score.alias("score"), state.alias("state"))
+
+
 def _best_finished(step):
     order = F.struct("score", F.transform("tokens", lambda t: -t).alias("t"))
     one = step.where(F.col("state") == "finished").groupBy("src_id").agg(

@@ -46,8 +46,9 @@ def file_order_index(df: DataFrame, order: str, name: str = "row_idx") -> DataFr
     return row_index(df, [], [order], integer_levels(order), name)
 
 
-def first_batch(df: DataFrame) -> DataFrame:
-    return df.where(F.col("batch_id") == 0)
+def first_batch(df: DataFrame, order: str, size: int = BATCH) -> DataFrame:
+    """The first ``size`` rows; each task hands over no more than these."""
+    return df.orderBy(order).limit(size)
 
 
 def check_ratios(ratios: Sequence[float]) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitexture.operators import corpus as C
-from bitexture.plans import corpus_queries, metric_queries, stream_queries, text_queries, token_queries  # noqa: F401
+from bitexture.plans import corpus_queries, metric_queries, source_queries, stream_queries, text_queries, token_queries  # noqa: F401
 from bitexture.plans import inputs as I
 from bitexture.plans.registry import QUERIES, query
 

@@ -186,8 +186,7 @@ def file_order_batches(spark, sf):
     )
 )
 def first_batch(spark, sf):
-    rows = S.assign_batches(S.file_order_index(I.line_pairs(spark, sf), "line_no"))
-    return S.first_batch(rows).select("line_no", "src", "tgt")
+    return S.first_batch(I.line_pairs(spark, sf), "line_no").select("line_no", "src", "tgt")
 
 
 @query(

@@ -18,7 +18,8 @@ from bitexture.sources.spread import spread
 
 TAGS = {"de": "<2de>", "fr": "<2fr>", "es": "<2es>"}
 LANGS = ("en", "de", "fr", "es")
-LINES_PER_DOC = 100_000
+LINES_PER_DOC = 1 << 32
+TURNS_PER_CONV = 1 << 32
 VOCAB = 2_000
 OMIT_EVERY = 4
 
@@ -58,17 +59,28 @@ def line_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def dirty_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Line pairs whose source carries the damage the cleaning repairs."""
-    kind = F.col("line_no") % 6
+    return line_pairs(spark, sf).withColumn("src", _damaged())
+
+
+def dirty_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """``line_no, lang, src``: every line of every document, damaged likewise."""
+    return doc_lines(spark, sf).withColumnRenamed("line", "src").withColumn("src", _damaged())
+
+
+def _damaged():
     s = F.col("src")
-    dirty = (
+    kind = F.col("line_no") % 8
+    return (
         F.when(kind == 0, F.concat(F.lit("“"), s, F.lit("”  «x»")))
         .when(kind == 1, F.concat(s, F.lit("\u200b\u0001")))
         .when(kind == 2, F.concat(F.lit("  "), s, F.lit("\t\t  end ")))
         .when(kind == 3, F.concat(F.lit("e\u0301 "), s))
         .when(kind == 4, F.concat(s, F.lit(" \u2014 \u2012")))
-        .otherwise(F.concat(F.lit("#"), s))
+        .when(kind == 5, F.concat(F.lit("#"), s))
+        # shorter before composition than after it
+        .when(kind == 6, "\ufb2c")
+        .otherwise("\u0958\u0958")
     )
-    return line_pairs(spark, sf).withColumn("src", dirty)
 
 
 def tagged_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +159,7 @@ def as_requests(turns: DataFrame) -> DataFrame:
     langs = F.array(*[F.lit(x) for x in (*LANGS, "xx")])
     blank = F.col("conv_id") % 10 == 0
     return turns.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"),
+        (F.col("conv_id") * TURNS_PER_CONV + F.col("turn")).alias("req_id"),
         F.when(blank, F.lit(" \u00a0\n")).otherwise(F.concat(F.lit(" i "), "text", F.lit(" i"))).alias("source_text"),
         F.element_at(langs, (F.col("conv_id") % 5 + 1).cast("int")).alias("source_lang"),
         F.element_at(langs, (F.col("turn") % 5 + 1).cast("int")).alias("target_lang"),
@@ -302,7 +314,7 @@ _TAG = "'<2' || lang || '>'"
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "doc_lines": (
         (),
-        """SELECT doc_id * 100000 + pos - 1 AS line_no, doc_id, pos, lang, line FROM (
+        f"""SELECT doc_id * {LINES_PER_DOC} + pos - 1 AS line_no, doc_id, pos, lang, line FROM (
              SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line,
                     generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)""",
     ),
@@ -314,13 +326,27 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "dirty_pairs": (
         ("line_pairs",),
-        """SELECT line_no, lang, tgt, CASE line_no % 6
+        """SELECT line_no, lang, tgt, CASE line_no % 8
+             WHEN 0 THEN chr(8220) || src || chr(8221) || '  ' || chr(171) || 'x' || chr(187)
+             WHEN 1 THEN src || chr(8203) || chr(1)
+             WHEN 2 THEN '  ' || src || chr(9) || chr(9) || '  end '
+             WHEN 3 THEN 'e' || chr(769) || ' ' || src
+             WHEN 4 THEN src || ' ' || chr(8212) || ' ' || chr(8210)
+             WHEN 5 THEN '#' || src
+             WHEN 6 THEN chr(64300)
+             ELSE chr(2392) || chr(2392) END AS src FROM line_pairs""",
+    ),
+    "dirty_lines": (
+        ("doc_lines",),
+        """SELECT line_no, lang, CASE line_no % 8
              WHEN 0 THEN chr(8220) || src || chr(8221) || '  ' || chr(171) || 'x' || chr(187)
              WHEN 1 THEN src || chr(8203) || chr(1)
              WHEN 2 THEN '  ' || src || chr(9) || chr(9) || '  end '
              WHEN 3 THEN 'e' || chr(769) || ' ' || src
              WHEN 4 THEN src || ' ' || chr(8212) || ' ' || chr(8210)
-             ELSE '#' || src END AS src FROM line_pairs""",
+             WHEN 5 THEN '#' || src
+             WHEN 6 THEN chr(64300)
+             ELSE chr(2392) || chr(2392) END AS src FROM (SELECT *, line AS src FROM doc_lines)""",
     ),
     "clean_pairs": (
         ("dirty_pairs",),
@@ -382,7 +408,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "requests": (
         (),
-        f"""SELECT conv_id * 1000 + turn AS req_id,
+        f"""SELECT conv_id * {TURNS_PER_CONV} + turn AS req_id,
               CASE WHEN conv_id % 10 = 0 THEN ' ' || chr(160) || chr(10) ELSE ' i ' || text || ' i' END AS source_text,
               {_LANG_LIST}[conv_id % 5 + 1] AS source_lang, {_LANG_LIST}[turn % 5 + 1] AS target_lang
             FROM conversations""",

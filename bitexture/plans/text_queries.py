@@ -18,37 +18,37 @@ q = I.with_inputs
 
 def _dirty(column):
     def run(spark, sf):
-        return I.dirty_pairs(spark, sf).select("line_no", column(F.col("src")).alias("src"))
+        return I.dirty_lines(spark, sf).select("line_no", column(F.col("src")).alias("src"))
 
     return run
 
 
-@query(q("SELECT line_no, nfc_normalize(src) AS src FROM dirty_pairs", "dirty_pairs"))
+@query(q("SELECT line_no, nfc_normalize(src) AS src FROM dirty_lines", "dirty_lines"))
 def nfc(spark, sf):
     return _dirty(X.nfc)(spark, sf)
 
 
-@query(q(f"SELECT line_no, {I.sql_control('src')} AS src FROM dirty_pairs", "dirty_pairs"))
+@query(q(f"SELECT line_no, {I.sql_control('src')} AS src FROM dirty_lines", "dirty_lines"))
 def strip_control(spark, sf):
     return _dirty(X.strip_control)(spark, sf)
 
 
-@query(q(f"SELECT line_no, {I.sql_quotes('src')} AS src FROM dirty_pairs", "dirty_pairs"))
+@query(q(f"SELECT line_no, {I.sql_quotes('src')} AS src FROM dirty_lines", "dirty_lines"))
 def ascii_quotes(spark, sf):
     return _dirty(X.ascii_quotes)(spark, sf)
 
 
-@query(q(f"SELECT line_no, {I.sql_dashes('src')} AS src FROM dirty_pairs", "dirty_pairs"))
+@query(q(f"SELECT line_no, {I.sql_dashes('src')} AS src FROM dirty_lines", "dirty_lines"))
 def ascii_dashes(spark, sf):
     return _dirty(X.ascii_dashes)(spark, sf)
 
 
-@query(q(f"SELECT line_no, {I.sql_blanks('src')} AS src FROM dirty_pairs", "dirty_pairs"))
+@query(q(f"SELECT line_no, {I.sql_blanks('src')} AS src FROM dirty_lines", "dirty_lines"))
 def collapse_blanks(spark, sf):
     return _dirty(X.collapse_blanks)(spark, sf)
 
 
-@query(q(f"SELECT line_no, {I.sql_strip('src')} AS src FROM dirty_pairs", "dirty_pairs"))
+@query(q(f"SELECT line_no, {I.sql_strip('src')} AS src FROM dirty_lines", "dirty_lines"))
 def strip_unicode(spark, sf):
     return _dirty(X.strip_unicode)(spark, sf)
 
@@ -58,7 +58,7 @@ def preprocess_text(spark, sf):
     return C.clean_pairs(I.dirty_pairs(spark, sf)).select("line_no", "lang", "src", "tgt")
 
 
-@query(q("SELECT line_no, replace(src, chr(9), ' ') AS src FROM dirty_pairs", "dirty_pairs"))
+@query(q("SELECT line_no, replace(src, chr(9), ' ') AS src FROM dirty_lines", "dirty_lines"))
 def untab(spark, sf):
     return _dirty(X.untab)(spark, sf)
 
@@ -92,33 +92,33 @@ def html_unescape_basic(spark, sf):
 @query(
     q(
         rf"""SELECT line_no, regexp_replace(regexp_replace(src, '([.,])', ' ' || chr(160) || '\1', 'g'),
-               '{I.WS_RE}+([.,!?;:''\"])', '\1', 'g') AS src FROM line_pairs""",
-        "line_pairs",
+               '{I.WS_RE}+([.,!?;:''\"])', '\1', 'g') AS src FROM (SELECT *, line AS src FROM doc_lines)""",
+        "doc_lines",
     )
 )
 def unspace_punct(spark, sf):
     spaced = F.regexp_replace("src", "([.,])", " \u00a0$1")
-    return I.line_pairs(spark, sf).select("line_no", X.unspace_punct(spaced).alias("src"))
+    return I.doc_lines(spark, sf).withColumnRenamed("line", "src").select("line_no", X.unspace_punct(spaced).alias("src"))
 
 
 @query(
     q(
         rf"""SELECT line_no, regexp_replace(regexp_replace(src, '([aeiou])', '( ' || chr(160) || '[ \1', 'g'),
-               '([\[(]){I.WS_RE}+', '\1', 'g') AS src FROM line_pairs""",
-        "line_pairs",
+               '([\[(]){I.WS_RE}+', '\1', 'g') AS src FROM (SELECT *, line AS src FROM doc_lines)""",
+        "doc_lines",
     )
 )
 def unspace_open_bracket(spark, sf):
     spaced = F.regexp_replace("src", "([aeiou])", "( \u00a0[ $1")
-    return I.line_pairs(spark, sf).select("line_no", X.unspace_open_bracket(spaced).alias("src"))
+    return I.doc_lines(spark, sf).withColumnRenamed("line", "src").select("line_no", X.unspace_open_bracket(spaced).alias("src"))
 
 
 @query(
-    q("SELECT line_no, regexp_replace(replace(src, 'e', '   '), ' {2,}', ' ', 'g') AS src FROM line_pairs", "line_pairs")
+    q("SELECT line_no, regexp_replace(replace(src, 'e', '   '), ' {2,}', ' ', 'g') AS src FROM (SELECT *, line AS src FROM doc_lines)", "doc_lines")
 )
 def collapse_double_space(spark, sf):
     spaced = F.replace("src", F.lit("e"), F.lit("   "))
-    return I.line_pairs(spark, sf).select("line_no", X.collapse_double_space(spaced).alias("src"))
+    return I.doc_lines(spark, sf).withColumnRenamed("line", "src").select("line_no", X.collapse_double_space(spaced).alias("src"))
 
 
 @query(q(f"SELECT page_id, {I.sql_clean_output('text')} AS text FROM page_text", "page_text"))

@@ -179,7 +179,7 @@ def greedy_next(spark, sf):
 _TOP = """best AS MATERIALIZED (SELECT prev, next, logprob FROM (
     SELECT *, row_number() OVER (PARTITION BY prev ORDER BY logprob DESC, next) AS r FROM bigrams) WHERE r <= 5),
   start AS (SELECT doc_id AS src_id, 0.0::DOUBLE AS log_prob, [2, ids[1]] AS tokens FROM (
-      SELECT line_no // 100000 AS doc_id, arg_min(ids, line_no) AS ids FROM line_ids WHERE len(ids) > 0 GROUP BY 1)),
+      SELECT line_no // 4294967296 AS doc_id, arg_min(ids, line_no) AS ids FROM line_ids WHERE len(ids) > 0 GROUP BY 1)),
   expanded AS MATERIALIZED (SELECT src_id, round(log_prob + logprob, 6) AS log_prob, list_append(tokens, next) AS tokens
       FROM start JOIN best ON prev = tokens[-1]),
   scored AS (SELECT *, round(log_prob / pow(len(tokens), 0.7), 6) AS score, tokens[-1] = 3 AS ended FROM expanded),
@@ -227,7 +227,7 @@ def nbest_select(spark, sf):
 
 @query(
     q(
-        """SELECT DISTINCT line_no // 100000 AS src_id, array_to_string(list_concat([2], ids, [3]), ' ') AS tokens
+        """SELECT DISTINCT line_no // 4294967296 AS src_id, array_to_string(list_concat([2], ids, [3]), ' ') AS tokens
            FROM line_ids""",
         "line_ids",
     )
@@ -261,7 +261,7 @@ def _sql_decode() -> str:
         """best AS MATERIALIZED (SELECT prev, next, logprob FROM (
              SELECT *, row_number() OVER (PARTITION BY prev ORDER BY logprob DESC, next) AS r FROM bigrams) WHERE r <= 5)""",
         """live0 AS MATERIALIZED (SELECT doc_id AS src_id, 0.0::DOUBLE AS log_prob, [2, ids[1]] AS tokens, 0.0::DOUBLE AS score FROM (
-             SELECT line_no // 100000 AS doc_id, arg_min(ids, line_no) AS ids FROM line_ids WHERE len(ids) > 0 GROUP BY 1))""",
+             SELECT line_no // 4294967296 AS doc_id, arg_min(ids, line_no) AS ids FROM line_ids WHERE len(ids) > 0 GROUP BY 1))""",
     ]
     for i in range(1, _STEPS + 1):
         parts.append(

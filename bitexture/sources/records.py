@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitexture.sources.paths import path_exists
 
 RUN_SCHEMA = "epoch bigint, val_loss double, train_loss double, lr double, _bad string"
-PAIR_SCHEMA = "lang string, src string, tgt string"
+PAIR_SCHEMA = "line_no bigint, lang string, src string, tgt string"
 
 
 def translation_text(record: Column, kind: T.DataType, lang: str) -> Column:
@@ -25,15 +25,24 @@ def translation_text(record: Column, kind: T.DataType, lang: str) -> Column:
 
 
 def read_translations(spark: SparkSession, path: str, tgt: str, src: str = "en") -> DataFrame:
-    """``lang, src, tgt`` (raw text) from Parquet records with a
-    ``translation`` map or struct."""
-    return parse_translations(spark.read.parquet(path), tgt, src)
+    """``line_no, lang, src, tgt`` (raw text) from Parquet records with a
+    ``translation`` map or struct; numbered over the files in name order."""
+    raw = spark.read.parquet(path)
+    rows = raw.withColumns({"__path": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+    # one row per file
+    files = rows.groupBy("__path").agg((F.max("__row") + 1).alias("__n"))
+    earlier = Window.orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)
+    bases = files.select("__path", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    pairs = rows.join(bases, "__path").withColumn("__line", F.col("__base") + F.col("__row"))
+    parsed = parse_translations(pairs, tgt, src, F.col("__line").alias("line_no"))
+    return parsed.select("line_no", "lang", "src", "tgt")
 
 
-def parse_translations(df: DataFrame, tgt: str, src: str = "en") -> DataFrame:
+def parse_translations(df: DataFrame, tgt: str, src: str = "en", *extra: Column) -> DataFrame:
     kind = df.schema["translation"].dataType
     record = F.col("translation")
     return df.select(
+        *extra,
         F.lit(tgt).alias("lang"),
         translation_text(record, kind, src).alias("src"),
         translation_text(record, kind, tgt).alias("tgt"),

@@ -9,6 +9,7 @@ from bitexture.functions.predicates import non_blank_line
 from bitexture.functions.text import flatten_newlines, strip_unicode, untab
 from bitexture.operators.corpus import tagged_line
 from bitexture.operators.lookup import zip_lines
+from bitexture.operators.ranks import shuffle_key
 from bitexture.operators.shuffle import RATIOS, SPLITS, split_exact
 from bitexture.sources.paths import path_exists, path_size
 
@@ -136,9 +137,14 @@ def split_paths(folder: str) -> dict[str, str]:
 
 
 def write_splits(df: DataFrame, folder: str, mode: str = "errorifexists") -> dict[str, str]:
-    """One folder of ``value`` lines per split, in one pass."""
+    """One folder of ``value`` lines per split, in one pass; an empty split has
+    an empty folder. Rows keep the order of ``df`` within a split."""
+    spark, paths = df.sparkSession, split_paths(folder)
     df.select("value", "split").write.mode(mode).partitionBy("split").text(folder)
-    return split_paths(folder)
+    for path in paths.values():
+        if not path_exists(spark, path):
+            spark.createDataFrame([], "value string").write.text(path)
+    return paths
 
 
 def reuse_or_split(
@@ -161,5 +167,6 @@ def reuse_or_split(
     if lines.isEmpty():
         raise ValueError(f"no lines in {lines_path}")
     split = split_exact(lines, ["line_no"], ratios, seed)
-    write_splits(split, folder, "errorifexists" if reuse else "overwrite")
+    shuffled = split.withColumn("__key", shuffle_key(seed, "line_no")).orderBy("split", "__key", "line_no")
+    write_splits(shuffled, folder, "errorifexists" if reuse else "overwrite")
     return paths, False

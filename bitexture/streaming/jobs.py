@@ -16,7 +16,7 @@ TYPING_PAUSE = "500 milliseconds"
 
 
 def stream_requests(
-    requests: DataFrame, languages: Sequence[str] = tuple(P.REQUEST_LANGUAGES), english: str = "Tiếng Anh"
+    requests: DataFrame, languages: Sequence[str] = P.LISTED_LANGUAGES, english: str = "Tiếng Anh"
 ) -> DataFrame:
     """Validation, normalization and routing of a request stream: stateless,
     the same columns as in batch."""

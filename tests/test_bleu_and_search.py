@@ -139,3 +139,12 @@ def test_decode_corpus(spark, k, max_len):
 def test_greedy_next(spark):
     df = spark.createDataFrame([(1, 5, -1.0), (1, 4, -1.0), (1, 9, -2.0)], "prev int, next int, logprob double")
     assert [tuple(r) for r in H.greedy_next(df).collect()] == [(1, 4, -1.0)]
+
+
+def test_every_source_is_answered(spark):
+    from bitexture.operators.search import decode_corpus
+
+    scores = spark.createDataFrame([(5, 6, -0.5), (6, 3, -0.1), (7, 8, -0.2)], "prev int, next int, logprob double")
+    sources = spark.createDataFrame([(1, [5]), (2, [99]), (3, [7]), (4, [3])], "src_id bigint, tokens array<int>")
+    got = {r.src_id: (r.state, r.ids) for r in decode_corpus(sources, scores, k=2, max_len=5).collect()}
+    assert got == {1: ("finished", [5, 6]), 2: ("live", [99]), 3: ("live", [7, 8]), 4: ("finished", [])}

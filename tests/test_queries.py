@@ -13,7 +13,9 @@ def con(sf):
 
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
 def test_same_as_sql(spark, con, sf, name):
-    assert compare.compare(spark, con, sf, name, QUERIES[name]) in ("ok", "no rows")
+    # the smallest input has no run as long as one logging step
+    allowed = ("ok", "no rows") if name == "running_loss" else ("ok",)
+    assert compare.compare(spark, con, sf, name, QUERIES[name]) in allowed
 
 
 def test_entry_points(spark):

@@ -97,11 +97,12 @@ def test_translations(spark, tmp_path, kind):
     spark.createDataFrame(rows, f"translation {kind}").write.parquet(str(tmp_path / "test"))
     df, path = R.read_first_available(spark, [str(tmp_path / "train"), str(tmp_path / "test")], "ja")
     assert path.endswith("test")
-    assert sorted(map(tuple, df.collect())) == [("ja", "hello", "kon"), ("ja", "only", "")]
+    assert sorted(map(tuple, df.drop("line_no").collect())) == [("ja", "hello", "kon"), ("ja", "only", "")]
+    assert sorted(r.line_no for r in df.collect()) == [0, 1]
     zh = R.read_translations(spark, path, "zh")
     assert sorted(r.tgt for r in zh.collect()) == ["", ""]
     empty, none = R.read_first_available(spark, [str(tmp_path / "nope")], "ja")
-    assert none is None and empty.isEmpty() and empty.columns == ["lang", "src", "tgt"]
+    assert none is None and empty.isEmpty() and empty.columns == ["line_no", "lang", "src", "tgt"]
 
 
 def test_run_history(spark, tmp_path):
@@ -138,3 +139,23 @@ def test_write_corpus(spark, tmp_path):
     assert sorted(lines) == sorted(want)
     assert write_corpus([df.where("lang = 'vi'")], str(tmp_path / "none")) is None
     assert not (tmp_path / "none").exists()
+
+
+def test_records_are_numbered(spark, tmp_path):
+    from bitexture.operators import corpus as C
+
+    path = str(tmp_path / "records")
+    rows = [({"en": f"source {i}", "vi": f"target {i}"},) for i in range(50)]
+    spark.createDataFrame(rows, "translation map<string,string>").repartition(3).write.parquet(path)
+    df = R.read_translations(spark, path, "vi")
+    assert sorted(r.line_no for r in df.collect()) == list(range(50))
+    assert C.cap_per_language(df, 10).count() == 10
+
+
+def test_small_input_has_all_splits(spark, tmp_path):
+    lines = tmp_path / "five.txt"
+    lines.write_text("".join(f"line {i}\n" for i in range(5)))
+    folder = str(tmp_path / "splits")
+    paths, reused = X.reuse_or_split(spark, str(lines), folder)
+    assert not reused and X.reuse_or_split(spark, str(lines), folder) == (paths, True)
+    assert sum(spark.read.schema("value string").text(p).count() for p in paths.values()) == 5

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from bitexture.functions import predicates as P
 from bitexture.functions import text as X
 from bitexture.operators.lookup import lookup_join
+from bitexture.session import stored
 
 MODEL_NAME = "Transformer"
 
@@ -49,15 +50,21 @@ def translate_documents(docs: DataFrame, memory: DataFrame, key: str = "doc_id")
     ``memory`` must be unique per direction and sentence and already tidied.
     Sentences repeated across documents are salted in the lookup.
     """
+    return docs.join(_translated(docs, memory, key, []), key)
+
+
+def _translated(docs, memory, key, carry):
+    """``key, *carry, translated``: columns of ``carry`` go along with the
+    sentences, which saves a join with the documents."""
     sentences = docs.select(
-        key, "src_lang", "tgt_lang", F.posexplode_outer(X.split_sentences(F.col("text"))).alias("pos", "src")
+        key, *carry, "src_lang", "tgt_lang", F.posexplode_outer(X.split_sentences(F.col("text"))).alias("pos", "src")
     )
     on = ["src_lang", "tgt_lang", "src"]
     hit = lookup_join(sentences, memory.select(*on, "tgt"), on, "left", spread=[key, "pos"])
     part = F.when(F.col("tgt") != "", F.struct("pos", "tgt"))
-    parts = hit.groupBy(key).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    parts = hit.groupBy(key, *carry).agg(F.sort_array(F.collect_list(part)).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["tgt"]), " ")
-    return docs.join(parts.select(key, text.alias("translated")), key)
+    return parts.select(key, *carry, text.alias("translated"))
 
 
 def process_requests(
@@ -70,21 +77,28 @@ def process_requests(
     """Whole request handling: validate, normalize, route, translate directly
     or over English, fill empty results, build the response."""
     checked = check_requests(df, languages, english)
-    memory = clean_memory(memory)
+    memory = stored(clean_memory(memory), "memory")  # read in both hops
     good = checked.where(F.col("status") == 200)
-
-    def hop(rows, source, target, text):
-        return translate_documents(
-            rows.select(key, "target_lang", source.alias("src_lang"), target.alias("tgt_lang"), text.alias("text")),
-            memory,
+    # the first hop ends in the target language or in English
+    first = _translated(
+        good.select(
             key,
-        )
-
-    # each request takes one route only
-    direct = hop(good.where(~F.col("pivot")), F.col("source_lang"), F.col("target_lang"), F.col("source"))
-    inward = hop(good.where("pivot"), F.col("source_lang"), F.lit(english), F.col("source"))
-    onward = hop(inward, F.lit(english), F.col("target_lang"), F.col("translated"))
-    results = direct.select(key, "translated").unionByName(onward.select(key, "translated"))
+            "target_lang",
+            "pivot",
+            F.col("source_lang").alias("src_lang"),
+            F.when(F.col("pivot"), F.lit(english)).otherwise(F.col("target_lang")).alias("tgt_lang"),
+            F.col("source").alias("text"),
+        ),
+        memory,
+        key,
+        ["target_lang", "pivot"],
+    )
+    first = stored(first, "first-hop")  # read for its ends and for the second hop
+    onward = first.where("pivot").select(
+        key, F.lit(english).alias("src_lang"), F.col("target_lang").alias("tgt_lang"), F.col("translated").alias("text")
+    )
+    second = _translated(onward, memory, key, [])
+    results = first.where(~F.col("pivot")).select(key, "translated").unionByName(second)
     out = checked.join(results, key, "left")
     ok = F.col("status") == 200
     return out.select(

@@ -12,6 +12,7 @@ from bitexture.operators import corpus as C
 from bitexture.operators.bleu import best_sentences, corpus_bleu, sentence_bleu, worst_sentences
 from bitexture.operators.requests import translate_batch
 from bitexture.operators.shuffle import seeded_shuffle
+from bitexture.session import stored
 from bitexture.sources.text import write_tagged_tsv
 
 MAX_PAIRS = 100_000
@@ -38,7 +39,7 @@ def write_corpus(
 ) -> DataFrame | None:
     """Builds, shuffles and writes the corpus; returns pairs per language and
     in total. Nothing is written, and None returned, if no pair is valid."""
-    lines = build_corpus(sources, cap, tags)
+    lines = stored(build_corpus(sources, cap, tags), "lines")
     if lines.isEmpty():
         return None
     shuffled = seeded_shuffle(lines, ["lang", "line_no", "direction"], seed)
@@ -62,6 +63,7 @@ def evaluate(
 ) -> Evaluation:
     """Translates ``src`` of ``id, src, tgt`` and scores it against ``tgt``:
     corpus BLEU, sentence BLEU, and the ``k`` best and worst sentences."""
-    hyps = translate_batch(pairs, make_translator).select("id", "hyp", F.col("tgt").alias("ref"))
-    scored = sentence_bleu(hyps, tokenizer)
+    # the caller's model runs once, and each sentence is scored once
+    hyps = stored(translate_batch(pairs, make_translator).select("id", "hyp", F.col("tgt").alias("ref")), "hypotheses")
+    scored = stored(sentence_bleu(hyps, tokenizer), "scores")
     return Evaluation(hyps, corpus_bleu(hyps, tokenizer), scored, best_sentences(scored, k), worst_sentences(scored, k))

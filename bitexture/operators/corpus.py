@@ -11,6 +11,7 @@ from bitexture.functions import predicates as P
 from bitexture.functions import text as X
 from bitexture.operators.lookup import lookup_join
 from bitexture.operators.ranks import integer_levels, rank_cuts
+from bitexture.session import stored
 
 
 def clean_pairs(df: DataFrame) -> DataFrame:
@@ -42,18 +43,28 @@ def _up_to_cap(df: DataFrame, cap: int) -> DataFrame:
     """Rows read until the cap-th valid pair of their language, cleaned."""
     if cap <= 0:
         return df.where(F.lit(False))
-    cuts = rank_cuts(
-        df.select("lang", "line_no", "src", "tgt"),
-        ["lang"],
-        ["line_no"],
-        integer_levels("line_no"),
-        F.array(F.lit(cap)),
-        valid_raw(),
-    )
-    # one row per language that reaches its cap
-    stops = F.broadcast(cuts.select("lang", F.col("cut.line_no").alias("stop")))
-    read = F.col("stop").isNull() | (F.col("line_no") <= F.col("stop"))
-    return clean_pairs(df.join(stops, "lang", "left").where(read).select(*df.columns))
+    base = df.select("lang", "line_no", "src", "tgt")
+    reach = cap + cap // 4
+    while True:
+        # raw rows up to rank ``reach`` of each language; counting them cleans
+        # nothing, and only they are cleaned to find the cap-th valid pair
+        limits = _stops(base.select("lang", "line_no"), reach, None, "limit")
+        stops = _stops(_read_until(base, limits, "limit"), cap, valid_raw(), "stop")
+        # languages that go on behind their limit without a cap so far
+        if limits.join(stops, "lang", "left_anti").isEmpty():
+            return clean_pairs(_read_until(df, stops, "stop"))
+        reach *= 4
+
+
+def _stops(rows: DataFrame, rank: int, where: Column | None, name: str) -> DataFrame:
+    """``lang, name``: the line of that rank; one row per language that has it."""
+    cuts = rank_cuts(rows, ["lang"], ["line_no"], integer_levels("line_no"), F.array(F.lit(rank)), where)
+    return stored(cuts.select("lang", F.col("cut.line_no").alias(name)), name)
+
+
+def _read_until(df: DataFrame, stops: DataFrame, name: str) -> DataFrame:
+    read = F.col(name).isNull() | (F.col("line_no") <= F.col(name))
+    return df.join(F.broadcast(stops), "lang", "left").where(read).select(*df.columns)
 
 
 def cap_per_language(df: DataFrame, cap: int) -> DataFrame:

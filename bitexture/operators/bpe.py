@@ -176,6 +176,8 @@ def bpe_ids(words: Column, model: BpeModel, unk: str = "[UNK]") -> Column:
     shared = model.vocab.sparkSession.sparkContext.broadcast((ids, ranks, ids[unk], specials))
 
     def encode(batch: pa.Array) -> pa.Array:
+        import heapq
+
         import numpy as np
         import pyarrow as arrow
         import pyarrow.compute as pc
@@ -185,14 +187,25 @@ def bpe_ids(words: Column, model: BpeModel, unk: str = "[UNK]") -> Column:
         def word_ids(word):
             if word in specials:
                 return [ids[word]]
-            parts = list(word)
-            while len(parts) > 1:
-                found = [(ranks[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
-                if not found:
-                    break
-                i = min(found)[1]
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            return [ids.get(p, unk_id) for p in parts]
+            # linked symbols, and a heap of the pairs by rank and place; a pair
+            # whose symbols have changed meanwhile is stale
+            parts, n = list(word), len(word)
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            heap = [(ranks[p], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+            heapq.heapify(heap)
+            while heap:
+                _, i, left, right = heapq.heappop(heap)
+                j = after[i]
+                if parts[i] != left or j >= n or parts[j] != right:
+                    continue
+                parts[i], parts[j], after[i] = left + right, None, after[j]
+                if after[i] < n:
+                    before[after[i]] = i
+                for a in (before[i], i):
+                    b = after[a] if a >= 0 else n
+                    if b < n and (rank := ranks.get((parts[a], parts[b]))) is not None:
+                        heapq.heappush(heap, (rank, a, parts[a], parts[b]))
+            return [ids.get(p, unk_id) for p in parts if p is not None]
 
         coded = pc.dictionary_encode(batch.flatten())
         distinct = arrow.array([word_ids(w) for w in coded.dictionary.to_pylist()], arrow.list_(arrow.int32()))

@@ -108,14 +108,27 @@ def decode_ids(ids: Column, vocab: DataFrame, special_ids: Sequence[int] = ()) -
     ids outside the vocabulary are left out."""
     tokens, numbers = vocab_rows(vocab)
     skip = set(special_ids)
-    table = {i: t for t, i in zip(tokens, numbers) if i not in skip}
-    shared = vocab.sparkSession.sparkContext.broadcast(table)
+    kept = [(t, i) for t, i in zip(tokens, numbers) if i not in skip]
+    shared = vocab.sparkSession.sparkContext.broadcast(([t for t, _ in kept], [i for _, i in kept]))
 
-    def text(batch):
-        get = shared.value.get
-        return batch.map(lambda row: " ".join(t for t in map(get, row) if t is not None), na_action="ignore")
+    def text(batch: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow as arrow
+        import pyarrow.compute as pc
 
-    return F.pandas_udf(text, T.StringType())(ids)
+        names = arrow.array(shared.value[0], arrow.string())
+        flat = batch.flatten()
+        at = pc.index_in(flat, value_set=arrow.array(shared.value[1], flat.type))
+        known = pc.is_valid(at)
+        # known ids before each id, then before each row
+        before = np.concatenate([[0], np.cumsum(known.to_numpy(zero_copy_only=False))])
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(batch.value_lengths(), 0).to_numpy(zero_copy_only=False))])
+        offsets = arrow.array(before[ends.astype("int64")].astype("int32"))
+        rows = arrow.ListArray.from_arrays(offsets, names.take(at.filter(known)))
+        joined = pc.binary_join(rows, " ")
+        return pc.if_else(pc.is_valid(batch), joined, arrow.scalar(None, arrow.string()))
+
+    return F.arrow_udf(text, T.StringType())(ids)
 
 
 def decode_text(

@@ -301,16 +301,24 @@ def lane_pairs(nodes: DataFrame) -> dict[int, np.ndarray]:
     return dict(enumerate(out.reshape(PROBE_LANES, BITS, BITS)))
 
 
-def _bucket_pairs(members: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """All pairs of the buckets of up to ``BUCKET_PAIRS`` members, and the
-    members of larger ones with the smallest of their bucket (``pivot``)."""
+def _with_pivots(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Members of buckets of two or more, with the size of their bucket
+    (``__n``) and its smallest member (``pivot``)."""
     sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("node").alias("pivot")).where("__n > 1")
-    shared = stored(members.join(sizes, keys), "probes")
-    few = shared.where(F.col("__n") <= BUCKET_PAIRS).drop("__n", "pivot")
-    a = few.withColumnRenamed("node", "a")
-    b = few.select(*keys, F.col("node").alias("b"))
-    pairs = a.join(b, keys).where("a > b").select("a", "b")
-    return pairs, shared.where(F.col("__n") > BUCKET_PAIRS).drop("__n")
+    return stored(members.join(sizes, keys), "probes")
+
+
+def _bucket_pairs(shared: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of the buckets of up to ``BUCKET_PAIRS`` members whose ``root``
+    differs: those with one root are in one group already."""
+    few = shared.where(F.col("__n") <= BUCKET_PAIRS)
+    a = few.select(*keys, F.col("node").alias("a"), F.col("root").alias("ra"))
+    b = few.select(*keys, F.col("node").alias("b"), F.col("root").alias("rb"))
+    return a.join(b, keys).where("a > b AND ra <> rb").select("a", "b")
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    return shared.where("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
 
 
 def near_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -325,10 +333,10 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", t
     lane are candidates (98 of 100 pairs right at the limit). Candidates are
     linked if their check lanes, over five-word shingles, are close enough.
 
-    Copies are one node. Buckets of up to ``BUCKET_PAIRS`` nodes are compared
-    pair by pair. Larger ones (big groups of near copies) are split by the
-    groups of the next lane, and every member is compared with the smallest
-    member of its bucket and of its parts. Rows without key have no result;
+    Copies are one node. Every member of a bucket is compared with the smallest
+    one first; then, in buckets of up to ``BUCKET_PAIRS`` nodes, all pairs that
+    are not in one group by now. Larger buckets are split by the groups of the
+    next lane, and the parts are treated likewise. Rows without key have no result;
     texts without words are one group. Components are named by the smallest key.
     """
     longs = T.ArrayType(T.LongType())
@@ -346,21 +354,35 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", t
         for i, sig in enumerate(lanes)
     ]))
     keyed = nodes.select("node", F.explode(every).alias("s")).select("node", "s.*")
-    pairs, large = _bucket_pairs(keyed, ["part", "key"])
+    checks = nodes.select("node", "__check")
+
+    def close(candidates: DataFrame) -> DataFrame:
+        both = candidates.join(checks.withColumnsRenamed({"node": "a", "__check": "ca"}), "a").join(
+            checks.withColumnsRenamed({"node": "b", "__check": "cb"}), "b"
+        )
+        apart = [F.bit_count(F.col("ca")[i].bitwiseXOR(F.col("cb")[i])) for i in range(CHECK_LANES)]
+        return both.where(sum(apart[1:], apart[0]) <= bits_apart(similarity, CHECK_LANES)).select("a", "b")
+
+    # every member with the smallest of its bucket first: what that ties needs
+    # no other comparison, which spares most pairs of a big group of near copies
+    shared = _with_pivots(keyed, ["part", "key"])
+    tied = stored(close(_stars(shared).distinct()), "tied")
+    groups = stored(smallest_reachable(tied), "groups")
+
+    def rooted(members: DataFrame) -> DataFrame:
+        return members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    pairs = _bucket_pairs(rooted(shared), ["part", "key"])
     # parts of large buckets, by the groups of the lane after theirs
+    large = shared.where(F.col("__n") > BUCKET_PAIRS).select("part", "key", "node")
     probes = nodes.select("node", "__probe")
     after = F.element_at(F.array(*lanes), (F.floor(F.col("part") / 10_000).cast("int") + 1) % PROBE_LANES + 1)
     split = large.join(probes, "node").select("node", "part", "key", F.explode(after).alias("s"))
     split = split.select("node", "part", "key", F.col("s.part").alias("part2"), F.col("s.key").alias("key2"))
-    inner, rest = _bucket_pairs(split, ["part", "key", "part2", "key2"])
-    stars = [x.where("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")) for x in (large, rest)]
-    candidates = pairs.unionByName(inner).unionByName(stars[0]).unionByName(stars[1]).distinct()
-    checks = nodes.select("node", "__check")
-    both = candidates.join(checks.withColumnsRenamed({"node": "a", "__check": "ca"}), "a").join(
-        checks.withColumnsRenamed({"node": "b", "__check": "cb"}), "b"
-    )
-    apart = sum((F.bit_count(F.col("ca")[i].bitwiseXOR(F.col("cb")[i])) for i in range(1, CHECK_LANES)), F.bit_count(F.col("ca")[0].bitwiseXOR(F.col("cb")[0])))
-    links = both.where(apart <= bits_apart(similarity, CHECK_LANES)).select("a", "b")
+    within = _with_pivots(split, ["part", "key", "part2", "key2"])
+    inner = _bucket_pairs(rooted(within), ["part", "key", "part2", "key2"])
+    rest = _stars(within.where(F.col("__n") > BUCKET_PAIRS))
+    links = tied.unionByName(close(pairs.unionByName(inner).unionByName(rest).distinct()))
     roots = smallest_reachable(links)
     named = nodes.join(roots, "node", "left").select(*whole, F.coalesce("root", "node").alias("component_id"))
     return rows.join(named, whole).select(F.col("__id").alias(key), "component_id")

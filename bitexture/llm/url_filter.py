@@ -12,7 +12,7 @@ BITS_PER_URL = 16
 BITS_SET = 5
 #: Filters up to this size are broadcast; a larger one is joined by shuffle.
 BROADCAST_WORDS = 1 << 20
-#: Rules up to this number are tried on each row; more are joined by host.
+#: Rules are tried on each row; a longer table is refused.
 INLINE_RULES = 256
 
 

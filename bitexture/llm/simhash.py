@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -125,17 +127,17 @@ def estimated_cost(bits: tuple[int, ...], share: np.ndarray, n: int, threshold:
     return signatures + n * n / 2 * close
 
 
-def plan_partitions(pairs: np.ndarray, n: int, distance: int) -> list[Partition]:
+def plan_partitions(pairs: np.ndarray, n: int, distance: int, fewest: int = 1) -> list[Partition]:
     """Groups of correlated bits with a threshold each.
 
     Thresholds ``t`` add up to ``distance - groups + 1``: fingerprints within
     ``distance`` are then within ``t`` in at least one group. Dynamic programming
-    finds the cheapest thresholds for 1 to ``distance + 1`` groups; -1 leaves a
-    group out.
+    finds the cheapest thresholds for ``fewest`` to ``distance + 1`` groups; -1
+    leaves a group out.
     """
     n = max(n, 1)
     share, best = pairs.diagonal() / n, None
-    for parts in range(1, distance + 2):
+    for parts in range(fewest, distance + 2):
         groups = correlated_groups(pairs, n, parts)
         # spent[u]: cheapest thresholds with sum of (t + 1) = u so far
         spent: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
@@ -240,19 +242,45 @@ def near_duplicates(
     )
 
 
-#: Lanes of 64 bits that are searched, and those that decide.
+#: Lanes of 64 bits that views are dealt from, and lanes that decide.
 PROBE_LANES, PROBE_WORDS = 12, 2
 CHECK_LANES, CHECK_WORDS = 8, 5
+#: Bits of a group, two groups to a view. Random texts meet in a group with odds
+#: of 2 ** -GROUP_BITS, so wider groups (up to 32) suit more texts.
+GROUP_BITS = 28
+#: Pairs right at the limit that may meet in no group of any view.
+MISSED = 0.02
 _LANES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, PROBE_LANES + CHECK_LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def bit_differs(similarity: float, words: int = CHECK_WORDS) -> float:
+    """Chance that a bit differs in texts whose five-word shingles have that
+    resemblance: angle / pi. Sets of resemblance J have the cosine 2 J / (1 + J),
+    and shorter shingles outlast scattered changes more often."""
+    cosine = (2 * similarity / (1 + similarity)) ** (words / CHECK_WORDS)
+    return float(np.arccos(cosine) / np.pi)
+
+
+def view_count(similarity: float, group_bits: int) -> int:
+    """Views of two groups each after which at most ``MISSED`` of the pairs
+    right at the limit agree in no group."""
+    agree = (1 - bit_differs(similarity, PROBE_WORDS)) ** group_bits
+    return math.ceil(math.log(MISSED) / (2 * math.log1p(-agree)))
+
+
+def dealt_views(views: int, width: int) -> np.ndarray:
+    """Which of the probe bits each view has: shuffled decks of all bits, dealt
+    until there are enough views. One deck gives views without common bits."""
+    rng, hands = np.random.Generator(np.random.PCG64(11)), PROBE_LANES * BITS // width
+    decks = [rng.permutation(PROBE_LANES * BITS)[: hands * width].reshape(hands, width) for _ in range(-(-views // hands))]
+    return np.concatenate(decks)[:views]
+
+
 def bits_apart(similarity: float, lanes: int) -> int:
-    """Differing bits allowed for texts of that resemblance: SimHash bits differ
-    with probability angle / pi, and sets of resemblance J have the cosine
-    2 J / (1 + J). The margin is 1.3 standard deviations, so that nine of ten
-    texts right at the limit are found."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    n = lanes * BITS
+    """Differing bits allowed for texts of that resemblance: what is expected and
+    1.3 standard deviations, so that nine of ten texts right at the limit are
+    found."""
+    p, n = bit_differs(similarity), lanes * BITS
     return int(n * p + 1.3 * (n * p * (1 - p)) ** 0.5)
 
 
@@ -267,38 +295,53 @@ def _lanes(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(hashes)).view(np.int64)
 
 
-def _long_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    few, many = Shingler(PROBE_WORDS), Shingler(CHECK_WORDS)
-    for batch in batches:
-        probe, check = [], []
-        for t in batch.column(1):
-            words = few.words(t.as_py())
-            probe.append(_lanes(few.runs(words), _LANES[:PROBE_LANES]))
-            check.append(_lanes(many.runs(words), _LANES[PROBE_LANES:]))
+def _long_fingerprints(dealt: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Views (numbers of as many bits as a view has), check lanes, and a digest
+    of both that names texts with equal fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few, many = Shingler(PROBE_WORDS), Shingler(CHECK_WORDS)
+        views = np.zeros((len(dealt), BITS), np.uint8)
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probe, longs), pa.array(check, longs)], names=["__id", "__probe", "__check"])
+        for batch in batches:
+            same, probe, check = [], [], []
+            for t in batch.column(1):
+                words = few.words(t.as_py())
+                bits = _lanes(few.runs(words), _LANES[:PROBE_LANES])
+                views[:, BITS - dealt.shape[1] :] = np.unpackbits(bits.view(np.uint8))[dealt]
+                probe.append(np.packbits(views, axis=1).view(">i8").ravel().astype(np.int64))
+                check.append(_lanes(many.runs(words), _LANES[PROBE_LANES:]))
+                same.append(hashlib.blake2b(bits.tobytes() + check[-1].tobytes(), digest_size=16).digest())
+            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(probe, longs), pa.array(check, longs)]
+            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__same", "__probe", "__check"])
+
+    return run
 
 
-def lane_pairs(nodes: DataFrame) -> dict[int, np.ndarray]:
-    """``bit_pairs`` of every probe lane, in one pass."""
+def view_pairs(nodes: DataFrame, views: int, width: int) -> list[np.ndarray]:
+    """``bit_pairs`` of every view, in one pass."""
+    upper = np.triu_indices(width)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((PROBE_LANES, BITS, BITS))
+        total = np.zeros((views, width, width))
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, PROBE_LANES)
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, views)
             for at in range(0, len(x), _CHUNK):
-                rows = np.ascontiguousarray(x[at : at + _CHUNK].astype(">i8")).view(np.uint8).reshape(-1, PROBE_LANES, 8)
-                b = np.unpackbits(rows, axis=2)[:, :, ::-1].astype(np.float32)
-                for lane in range(PROBE_LANES):
-                    total[lane] += b[:, lane].T @ b[:, lane]
-        pair = pa.array(np.arange(total.size), pa.int32())
-        yield pa.RecordBatch.from_arrays([pair, pa.array(total.ravel().astype(np.int64))], names=["pair", "n"])
+                rows = np.ascontiguousarray(x[at : at + _CHUNK].astype(">i8")).view(np.uint8).reshape(-1, views, 8)
+                for v in range(views):
+                    # bit i of the number is column i
+                    b = np.unpackbits(rows[:, v], axis=1)[:, : -width - 1 : -1].astype(np.float32)
+                    total[v] += b.T @ b
+        half = total[:, upper[0], upper[1]].ravel().astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(half.size), pa.int32()), pa.array(half)], names=["pair", "n"])
 
     summed = nodes.select("__probe").mapInArrow(count, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    out = np.zeros(PROBE_LANES * BITS * BITS)
-    for pair, n in summed.collect():  # one row per lane and pair of bits
-        out[pair] = n
-    return dict(enumerate(out.reshape(PROBE_LANES, BITS, BITS)))
+    half = np.zeros(views * len(upper[0]))
+    for pair, n in summed.collect():  # one row per view and pair of bits
+        half[pair] = n
+    out = np.zeros((views, width, width))
+    out[:, upper[0], upper[1]] = out[:, upper[1], upper[0]] = half.reshape(views, -1)
+    return list(out)
 
 
 def _with_pivots(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -321,32 +364,39 @@ def _stars(shared: DataFrame) -> DataFrame:
     return shared.where("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
 
 
-def near_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(
+    docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", group_bits: int = GROUP_BITS
+) -> DataFrame:
     """``key, component_id`` for texts whose five-word shingles resemble one
     another by ``similarity`` or more: long fingerprints, generalised pigeonhole
-    search in each lane, and the distance over all check bits as the verdict.
+    search in views of them, and the distance over all check bits as the verdict.
 
     A 64-bit fingerprint that must agree in all but two bits sees only texts
-    that are nearly equal. So ``PROBE_LANES`` independent fingerprints of word
-    pairs are searched: in each lane the bits are grouped by correlation and
-    given thresholds for distance 2, and texts that meet in any group of any
-    lane are candidates (98 of 100 pairs right at the limit). Candidates are
-    linked if their check lanes, over five-word shingles, are close enough.
+    that are nearly equal. So 768 bits from word pairs are dealt into views of
+    ``2 * group_bits``: in each view the bits are grouped by correlation and
+    given thresholds for distance 1, and texts that meet in any group of any
+    view are candidates. There are as many views as find 98 of 100 pairs right
+    at the limit, whatever the number of texts. Candidates are linked if their
+    check lanes, over five-word shingles, are close enough.
 
     Copies are one node. Every member of a bucket is compared with the smallest
     one first; then, in buckets of up to ``BUCKET_PAIRS`` nodes, all pairs that
     are not in one group by now. Larger buckets are split by the groups of the
-    next lane, and the parts are treated likewise. Rows without key have no result;
+    next view, and the parts are treated likewise. Rows without key have no result;
     texts without words are one group. Components are named by the smallest key.
     """
-    longs = T.ArrayType(T.LongType())
-    kind = T.StructType().add("__id", docs.schema[key].dataType).add("__probe", longs).add("__check", longs)
+    if not 1 <= group_bits <= BITS // 2:
+        raise ValueError("a group has 1 to 32 bits")
+    longs, views = T.ArrayType(T.LongType()), view_count(similarity, group_bits)
+    kind = T.StructType().add("__id", docs.schema[key].dataType).add("__same", T.BinaryType())
+    kind = kind.add("__probe", longs).add("__check", longs)
     source = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).where(F.col("__id").isNotNull())
-    rows = stored(source.mapInArrow(_long_fingerprints, kind), "fingerprints")
-    whole = ["__probe", "__check"]
-    nodes = stored(rows.groupBy(*whole).agg(F.min("__id").cast("bigint").alias("node")), "nodes")
+    prints = source.mapInArrow(_long_fingerprints(dealt_views(views, 2 * group_bits)), kind)
+    rows = stored(prints, "fingerprints")
+    alike = [F.any_value(c).alias(c) for c in ("__probe", "__check")]
+    nodes = stored(rows.groupBy("__same").agg(F.min("__id").cast("bigint").alias("node"), *alike), "nodes")
     n = nodes.count()
-    plans = [plan_partitions(pairs, n, 2) for _, pairs in sorted(lane_pairs(nodes).items())]
+    plans = [plan_partitions(pairs, n, 1, fewest=2) for pairs in view_pairs(nodes, views, 2 * group_bits)]
     lanes = [signatures(F.col("__probe")[i], plan) for i, plan in enumerate(plans)]
 
     every = F.flatten(F.array(*[
@@ -373,10 +423,10 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", t
         return members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     pairs = _bucket_pairs(rooted(shared), ["part", "key"])
-    # parts of large buckets, by the groups of the lane after theirs
+    # parts of large buckets, by the groups of the view after theirs
     large = shared.where(F.col("__n") > BUCKET_PAIRS).select("part", "key", "node")
     probes = nodes.select("node", "__probe")
-    after = F.element_at(F.array(*lanes), (F.floor(F.col("part") / 10_000).cast("int") + 1) % PROBE_LANES + 1)
+    after = F.element_at(F.array(*lanes), (F.floor(F.col("part") / 10_000).cast("int") + 1) % views + 1)
     split = large.join(probes, "node").select("node", "part", "key", F.explode(after).alias("s"))
     split = split.select("node", "part", "key", F.col("s.part").alias("part2"), F.col("s.key").alias("key2"))
     within = _with_pivots(split, ["part", "key", "part2", "key2"])
@@ -384,5 +434,5 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", t
     rest = _stars(within.where(F.col("__n") > BUCKET_PAIRS))
     links = tied.unionByName(close(pairs.unionByName(inner).unionByName(rest).distinct()))
     roots = smallest_reachable(links)
-    named = nodes.join(roots, "node", "left").select(*whole, F.coalesce("root", "node").alias("component_id"))
-    return rows.join(named, whole).select(F.col("__id").alias(key), "component_id")
+    named = nodes.join(roots, "node", "left").select("__same", F.coalesce("root", "node").alias("component_id"))
+    return rows.select("__id", "__same").join(named, "__same").select(F.col("__id").alias(key), "component_id")

@@ -351,13 +351,20 @@ def _with_pivots(members: DataFrame, keys: list[str]) -> DataFrame:
     return stored(members.join(sizes, keys), "probes")
 
 
-def _bucket_pairs(shared: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of the buckets of up to ``BUCKET_PAIRS`` members whose ``root``
-    differs: those with one root are in one group already."""
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Whether check lanes are close enough."""
+    apart = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(CHECK_LANES)]
+    return sum(apart[1:], apart[0]) <= bits_apart(similarity, CHECK_LANES)
+
+
+def _bucket_links(shared: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """Links in the buckets of up to ``BUCKET_PAIRS`` members between those
+    whose ``root`` differs: with one root they are in one group already. Members
+    bring their check lanes, so pairs that are too far apart never leave the join."""
     few = shared.where(F.col("__n") <= BUCKET_PAIRS)
-    a = few.select(*keys, F.col("node").alias("a"), F.col("root").alias("ra"))
-    b = few.select(*keys, F.col("node").alias("b"), F.col("root").alias("rb"))
-    return a.join(b, keys).where("a > b AND ra <> rb").select("a", "b")
+    a = few.select(*keys, F.col("node").alias("a"), F.col("root").alias("ra"), F.col("__check").alias("ca"))
+    b = few.select(*keys, F.col("node").alias("b"), F.col("root").alias("rb"), F.col("__check").alias("cb"))
+    return a.join(b, keys).where("a > b AND ra <> rb").where(_near("ca", "cb", similarity)).select("a", "b")
 
 
 def _stars(shared: DataFrame) -> DataFrame:
@@ -410,8 +417,7 @@ def near_groups(
         both = candidates.join(checks.withColumnsRenamed({"node": "a", "__check": "ca"}), "a").join(
             checks.withColumnsRenamed({"node": "b", "__check": "cb"}), "b"
         )
-        apart = [F.bit_count(F.col("ca")[i].bitwiseXOR(F.col("cb")[i])) for i in range(CHECK_LANES)]
-        return both.where(sum(apart[1:], apart[0]) <= bits_apart(similarity, CHECK_LANES)).select("a", "b")
+        return both.where(_near("ca", "cb", similarity)).select("a", "b")
 
     # every member with the smallest of its bucket first: what that ties needs
     # no other comparison, which spares most pairs of a big group of near copies
@@ -420,9 +426,10 @@ def near_groups(
     groups = stored(smallest_reachable(tied), "groups")
 
     def rooted(members: DataFrame) -> DataFrame:
-        return members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        known = checks.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return members.join(known, "node")
 
-    pairs = _bucket_pairs(rooted(shared), ["part", "key"])
+    pairs = _bucket_links(rooted(shared), ["part", "key"], similarity)
     # parts of large buckets, by the groups of the view after theirs
     large = shared.where(F.col("__n") > BUCKET_PAIRS).select("part", "key", "node")
     probes = nodes.select("node", "__probe")
@@ -430,9 +437,9 @@ def near_groups(
     split = large.join(probes, "node").select("node", "part", "key", F.explode(after).alias("s"))
     split = split.select("node", "part", "key", F.col("s.part").alias("part2"), F.col("s.key").alias("key2"))
     within = _with_pivots(split, ["part", "key", "part2", "key2"])
-    inner = _bucket_pairs(rooted(within), ["part", "key", "part2", "key2"])
+    inner = _bucket_links(rooted(within), ["part", "key", "part2", "key2"], similarity)
     rest = _stars(within.where(F.col("__n") > BUCKET_PAIRS))
-    links = tied.unionByName(close(pairs.unionByName(inner).unionByName(rest).distinct()))
+    links = tied.unionByName(close(rest.distinct())).unionByName(pairs).unionByName(inner)
     roots = smallest_reachable(links)
     named = nodes.join(roots, "node", "left").select("__same", F.coalesce("root", "node").alias("component_id"))
     return rows.select("__id", "__same").join(named, "__same").select(F.col("__id").alias(key), "component_id")

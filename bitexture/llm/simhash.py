@@ -242,15 +242,16 @@ def near_duplicates(
     )
 
 
-#: Lanes of 64 bits that views are dealt from, and lanes that decide.
+#: Lanes of 64 bits that views are dealt from.
 PROBE_LANES, PROBE_WORDS = 12, 2
-CHECK_LANES, CHECK_WORDS = 8, 5
+#: Words of the shingles that decide.
+CHECK_WORDS = 5
 #: Bits of a group, two groups to a view. Random texts meet in a group with odds
 #: of 2 ** -GROUP_BITS, so wider groups (up to 32) suit more texts.
 GROUP_BITS = 28
 #: Pairs right at the limit that may meet in no group of any view.
 MISSED = 0.02
-_LANES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, PROBE_LANES + CHECK_LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LANES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, PROBE_LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def bit_differs(similarity: float, words: int = CHECK_WORDS) -> float:
@@ -276,14 +277,6 @@ def dealt_views(views: int, width: int) -> np.ndarray:
     return np.concatenate(decks)[:views]
 
 
-def bits_apart(similarity: float, lanes: int) -> int:
-    """Differing bits allowed for texts of that resemblance: what is expected and
-    1.3 standard deviations, so that nine of ten texts right at the limit are
-    found."""
-    p, n = bit_differs(similarity), lanes * BITS
-    return int(n * p + 1.3 * (n * p * (1 - p)) ** 0.5)
-
-
 def _lanes(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """One 64-bit SimHash per factor."""
     ones = np.zeros(len(factors) * BITS, np.int64)
@@ -295,29 +288,53 @@ def _lanes(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(hashes)).view(np.int64)
 
 
+def set_digest(hashes: np.ndarray) -> bytes:
+    """Names texts with equal sets of shingles."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def _long_fingerprints(dealt: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Views (numbers of as many bits as a view has), check lanes, and a digest
-    of both that names texts with equal fingerprints."""
+    """Digest and size of the set of five-word shingles, and views (numbers of
+    as many bits as a view has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few, many = Shingler(PROBE_WORDS), Shingler(CHECK_WORDS)
         views = np.zeros((len(dealt), BITS), np.uint8)
-        longs = pa.list_(pa.int64())
         for batch in batches:
-            same, probe, check = [], [], []
+            same, sizes, probe = [], [], []
             for t in batch.column(1):
                 words = few.words(t.as_py())
-                bits = _lanes(few.runs(words), _LANES[:PROBE_LANES])
+                bits = _lanes(few.runs(words), _LANES)
                 views[:, BITS - dealt.shape[1] :] = np.unpackbits(bits.view(np.uint8))[dealt]
                 probe.append(np.packbits(views, axis=1).view(">i8").ravel().astype(np.int64))
-                check.append(_lanes(many.runs(words), _LANES[PROBE_LANES:]))
-                same.append(hashlib.blake2b(bits.tobytes() + check[-1].tobytes(), digest_size=16).digest())
-            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(probe, longs), pa.array(check, longs)]
-            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__same", "__probe", "__check"])
+                hashes = np.unique(many.runs(words))
+                same.append(set_digest(hashes))
+                sizes.append(len(hashes))
+            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(probe, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__same", "__size", "__probe"])
 
     return run
 
 
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest and set of the five-word shingles."""
+    shingle = Shingler(CHECK_WORDS)
+    for batch in batches:
+        sets = [np.unique(shingle(t.as_py())) for t in batch.column(0)]
+        columns = [pa.array(map(set_digest, sets), pa.binary()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["__same", "__set"])
+
+
+def resembling(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose shingle sets (``node, __set``) have at least that
+    resemblance, counted shingle by shingle."""
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "__set": "sa"}), "a").join(
+        sets.withColumnsRenamed({"node": "b", "__set": "sb"}), "b"
+    )
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b")
+
+
 def view_pairs(nodes: DataFrame, views: int, width: int) -> list[np.ndarray]:
     """``bit_pairs`` of every view, in one pass."""
     upper = np.triu_indices(width)
@@ -351,20 +368,18 @@ def _with_pivots(members: DataFrame, keys: list[str]) -> DataFrame:
     return stored(members.join(sizes, keys), "probes")
 
 
-def _near(a: str, b: str, similarity: float) -> Column:
-    """Whether check lanes are close enough."""
-    apart = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(CHECK_LANES)]
-    return sum(apart[1:], apart[0]) <= bits_apart(similarity, CHECK_LANES)
+def _sizes_fit(a: str, b: str, similarity: float) -> Column:
+    """Sets whose sizes differ more can't resemble one another so much."""
+    return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6
 
 
-def _bucket_links(shared: DataFrame, keys: list[str], similarity: float) -> DataFrame:
-    """Links in the buckets of up to ``BUCKET_PAIRS`` members between those
-    whose ``root`` differs: with one root they are in one group already. Members
-    bring their check lanes, so pairs that are too far apart never leave the join."""
+def _bucket_pairs(shared: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """Pairs in the buckets of up to ``BUCKET_PAIRS`` members whose ``root``
+    differs: with one root they are in one group already."""
     few = shared.where(F.col("__n") <= BUCKET_PAIRS)
-    a = few.select(*keys, F.col("node").alias("a"), F.col("root").alias("ra"), F.col("__check").alias("ca"))
-    b = few.select(*keys, F.col("node").alias("b"), F.col("root").alias("rb"), F.col("__check").alias("cb"))
-    return a.join(b, keys).where("a > b AND ra <> rb").where(_near("ca", "cb", similarity)).select("a", "b")
+    a = few.select(*keys, F.col("node").alias("a"), F.col("root").alias("ra"), F.col("__size").alias("na"))
+    b = few.select(*keys, F.col("node").alias("b"), F.col("root").alias("rb"), F.col("__size").alias("nb"))
+    return a.join(b, keys).where("a > b AND ra <> rb").where(_sizes_fit("na", "nb", similarity)).select("a", "b")
 
 
 def _stars(shared: DataFrame) -> DataFrame:
@@ -376,15 +391,16 @@ def near_groups(
 ) -> DataFrame:
     """``key, component_id`` for texts whose five-word shingles resemble one
     another by ``similarity`` or more: long fingerprints, generalised pigeonhole
-    search in views of them, and the distance over all check bits as the verdict.
+    search in views of them, and the resemblance itself as the verdict.
 
     A 64-bit fingerprint that must agree in all but two bits sees only texts
     that are nearly equal. So 768 bits from word pairs are dealt into views of
     ``2 * group_bits``: in each view the bits are grouped by correlation and
     given thresholds for distance 1, and texts that meet in any group of any
     view are candidates. There are as many views as find 98 of 100 pairs right
-    at the limit, whatever the number of texts. Candidates are linked if their
-    check lanes, over five-word shingles, are close enough.
+    at the limit, whatever the number of texts. Candidates are linked if
+    their sets of five-word shingles, compared hash by hash, resemble one another
+    by ``similarity``: no link is below it.
 
     Copies are one node. Every member of a bucket is compared with the smallest
     one first; then, in buckets of up to ``BUCKET_PAIRS`` nodes, all pairs that
@@ -396,11 +412,11 @@ def near_groups(
         raise ValueError("a group has 1 to 32 bits")
     longs, views = T.ArrayType(T.LongType()), view_count(similarity, group_bits)
     kind = T.StructType().add("__id", docs.schema[key].dataType).add("__same", T.BinaryType())
-    kind = kind.add("__probe", longs).add("__check", longs)
+    kind = kind.add("__size", T.IntegerType()).add("__probe", longs)
     source = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).where(F.col("__id").isNotNull())
     prints = source.mapInArrow(_long_fingerprints(dealt_views(views, 2 * group_bits)), kind)
     rows = stored(prints, "fingerprints")
-    alike = [F.any_value(c).alias(c) for c in ("__probe", "__check")]
+    alike = [F.any_value(c).alias(c) for c in ("__size", "__probe")]
     nodes = stored(rows.groupBy("__same").agg(F.min("__id").cast("bigint").alias("node"), *alike), "nodes")
     n = nodes.count()
     plans = [plan_partitions(pairs, n, 1, fewest=2) for pairs in view_pairs(nodes, views, 2 * group_bits)]
@@ -411,25 +427,26 @@ def near_groups(
         for i, sig in enumerate(lanes)
     ]))
     keyed = nodes.select("node", F.explode(every).alias("s")).select("node", "s.*")
-    checks = nodes.select("node", "__check")
-
-    def close(candidates: DataFrame) -> DataFrame:
-        both = candidates.join(checks.withColumnsRenamed({"node": "a", "__check": "ca"}), "a").join(
-            checks.withColumnsRenamed({"node": "b", "__check": "cb"}), "b"
-        )
-        return both.where(_near("ca", "cb", similarity)).select("a", "b")
-
     # every member with the smallest of its bucket first: what that ties needs
     # no other comparison, which spares most pairs of a big group of near copies
     shared = _with_pivots(keyed, ["part", "key"])
+    met = shared.select("node").distinct().join(nodes.select("node", "__same"), "node")
+    # an id may be that of several texts; the digest tells them apart
+    texts = source.join(met.select(F.col("node").alias("__id")), "__id", "left_semi").select("__text")
+    found = texts.mapInArrow(_shingle_sets, T.StructType().add("__same", T.BinaryType()).add("__set", longs))
+    sets = stored(found.join(met, "__same").select("node", "__set").dropDuplicates(["node"]), "sets")
+
+    def close(candidates: DataFrame) -> DataFrame:
+        return resembling(candidates, sets, similarity)
+
     tied = stored(close(_stars(shared).distinct()), "tied")
     groups = stored(smallest_reachable(tied), "groups")
 
     def rooted(members: DataFrame) -> DataFrame:
-        known = checks.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        known = nodes.select("node", "__size").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
         return members.join(known, "node")
 
-    pairs = _bucket_links(rooted(shared), ["part", "key"], similarity)
+    pairs = _bucket_pairs(rooted(shared), ["part", "key"], similarity)
     # parts of large buckets, by the groups of the view after theirs
     large = shared.where(F.col("__n") > BUCKET_PAIRS).select("part", "key", "node")
     probes = nodes.select("node", "__probe")
@@ -437,9 +454,9 @@ def near_groups(
     split = large.join(probes, "node").select("node", "part", "key", F.explode(after).alias("s"))
     split = split.select("node", "part", "key", F.col("s.part").alias("part2"), F.col("s.key").alias("key2"))
     within = _with_pivots(split, ["part", "key", "part2", "key2"])
-    inner = _bucket_links(rooted(within), ["part", "key", "part2", "key2"], similarity)
+    inner = _bucket_pairs(rooted(within), ["part", "key", "part2", "key2"], similarity)
     rest = _stars(within.where(F.col("__n") > BUCKET_PAIRS))
-    links = tied.unionByName(close(rest.distinct())).unionByName(pairs).unionByName(inner)
+    links = tied.unionByName(close(rest.unionByName(pairs).unionByName(inner).distinct()))
     roots = smallest_reachable(links)
     named = nodes.join(roots, "node", "left").select("__same", F.coalesce("root", "node").alias("component_id"))
     return rows.select("__id", "__same").join(named, "__same").select(F.col("__id").alias(key), "component_id")

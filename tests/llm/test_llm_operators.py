@@ -222,6 +222,33 @@ def test_near_groups(spark, make_docs, odd_docs):
     assert len(simhash.near_groups(odd_docs).collect()) == 8
 
 
+def edited_blocks(rng, lowest, highest, n, ids=0):
+    """Texts of 150 to 600 words and near copies with a block appended, cut off or
+    replaced, whose resemblance is within the limits: rows ``id, text``, ids 2 i
+    and 2 i + 1 of a pair, and the resemblance of each pair."""
+    rows, likeness = [], []
+    for i in range(n):
+        size = int(rng.integers(150, 600))
+        text = [f"w{x}" for x in rng.integers(0, 5000, size)]
+        s = rng.uniform(lowest, highest)
+        if i % 3 == 2:  # a replaced block changes both texts
+            k = max(1, int((1 - s) / (1 + s) * size) - 4)
+            at = int(rng.integers(0, size - k))
+            other = text[:at] + [f"x{i}y{j}" for j in range(k)] + text[at + k :]
+        else:
+            other = text[: int(s * (size - 4)) + 5]
+        a, b = ({tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in (text, other))
+        likeness.append(len(a & b) / len(a | b))
+        rows += [(ids + 2 * i, " ".join(text)), (ids + 2 * i + 1, " ".join(other))]
+    return rows, likeness
+
+
+def test_groups_are_not_below_the_limit(spark, make_docs):
+    rows, likeness = edited_blocks(np.random.default_rng(8), 0.74, 0.79, 60)
+    assert min(likeness) > 0.7 and max(likeness) < 0.8
+    assert all(r.doc_id == r.component_id for r in simhash.near_groups(make_docs(rows)).collect())
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://Www.A.com:80/x/index.html?utm_source=1&b=2&a=1#f", "https://a.com/x?a=1&b=2", "x://", "s://h?q", "s://h#f", "://b/c"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string").withColumn("rule", F.lit(1))

@@ -242,50 +242,37 @@ def near_duplicates(
     )
 
 
-#: Lanes of 64 bits that views are dealt from.
-PROBE_LANES, PROBE_WORDS = 12, 2
-#: Words of the shingles that decide.
+#: Words of the shingles that resemblance is measured on.
 CHECK_WORDS = 5
-#: Bits of a group, two groups to a view. Random texts meet in a group with odds
-#: of 2 ** -GROUP_BITS, so wider groups (up to 32) suit more texts.
-GROUP_BITS = 28
-#: Pairs right at the limit that may meet in no group of any view.
-MISSED = 0.02
-_LANES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, PROBE_LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Minima of a band. Texts of resemblance s have all of them in common with odds
+#: of s ** BAND_ROWS, however their differences are spread.
+BAND_ROWS = 6
+#: Pairs right at the limit that may have no band in common.
+MISSED = 0.001
 
 
-def bit_differs(similarity: float, words: int = CHECK_WORDS) -> float:
-    """Chance that a bit differs in texts whose five-word shingles have that
-    resemblance: angle / pi. Sets of resemblance J have the cosine 2 J / (1 + J),
-    and shorter shingles outlast scattered changes more often."""
-    cosine = (2 * similarity / (1 + similarity)) ** (words / CHECK_WORDS)
-    return float(np.arccos(cosine) / np.pi)
+def band_count(similarity: float, rows: int = BAND_ROWS) -> int:
+    """Bands after which at most ``MISSED`` of the pairs right at the limit have
+    none in common."""
+    return math.ceil(math.log(MISSED) / math.log1p(-(similarity**rows)))
 
 
-def view_count(similarity: float, group_bits: int) -> int:
-    """Views of two groups each after which at most ``MISSED`` of the pairs
-    right at the limit agree in no group."""
-    agree = (1 - bit_differs(similarity, PROBE_WORDS)) ** group_bits
-    return math.ceil(math.log(MISSED) / (2 * math.log1p(-agree)))
+class Bands:
+    """MinHash keys of a set of shingle hashes, one for each band."""
 
+    def __init__(self, bands: int, rows: int) -> None:
+        rng = np.random.Generator(np.random.PCG64(7))
+        self.shape = bands, rows
+        self.factors = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.steps = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+        self.places = rng.integers(1, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def dealt_views(views: int, width: int) -> np.ndarray:
-    """Which of the probe bits each view has: shuffled decks of all bits, dealt
-    until there are enough views. One deck gives views without common bits."""
-    rng, hands = np.random.Generator(np.random.PCG64(11)), PROBE_LANES * BITS // width
-    decks = [rng.permutation(PROBE_LANES * BITS)[: hands * width].reshape(hands, width) for _ in range(-(-views // hands))]
-    return np.concatenate(decks)[:views]
-
-
-def _lanes(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """One 64-bit SimHash per factor."""
-    ones = np.zeros(len(factors) * BITS, np.int64)
-    for at in range(0, len(hashes), _CHUNK // 4):
-        part = scrambled(hashes[at : at + _CHUNK // 4, None] * factors[None, :])
-        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1)
-        for a in range(0, len(bits), 255):  # sums of 255 bits fit into a byte
-            ones += np.add.reduce(bits[a : a + 255], axis=0, dtype=np.uint8)
-    return np.packbits(ones * 2 > len(hashes)).view(np.int64)
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        least = np.full(len(self.factors), 2**64 - 1, np.uint64)
+        for at in range(0, len(hashes), _CHUNK // 4):
+            part = hashes[at : at + _CHUNK // 4, None] * self.factors[None, :] + self.steps[None, :]
+            np.minimum(least, part.min(0), out=least)
+        return scrambled((scrambled(least.reshape(self.shape)) * self.places).sum(1, dtype=np.uint64)).view(np.int64)
 
 
 def set_digest(hashes: np.ndarray) -> bytes:
@@ -293,25 +280,20 @@ def set_digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _long_fingerprints(dealt: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Digest and size of the set of five-word shingles, and views (numbers of
-    as many bits as a view has)."""
+def _banded(bands: Bands) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Digest, size and band keys of the set of five-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few, many = Shingler(PROBE_WORDS), Shingler(CHECK_WORDS)
-        views = np.zeros((len(dealt), BITS), np.uint8)
+        shingle = Shingler(CHECK_WORDS)
         for batch in batches:
-            same, sizes, probe = [], [], []
-            for t in batch.column(1):
-                words = few.words(t.as_py())
-                bits = _lanes(few.runs(words), _LANES)
-                views[:, BITS - dealt.shape[1] :] = np.unpackbits(bits.view(np.uint8))[dealt]
-                probe.append(np.packbits(views, axis=1).view(">i8").ravel().astype(np.int64))
-                hashes = np.unique(many.runs(words))
-                same.append(set_digest(hashes))
-                sizes.append(len(hashes))
-            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(probe, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__same", "__size", "__probe"])
+            sets = [np.unique(shingle(t.as_py())) for t in batch.column(1)]
+            columns = [
+                batch.column(0),
+                pa.array(map(set_digest, sets), pa.binary()),
+                pa.array(map(len, sets), pa.int32()),
+                pa.array([bands(h) for h in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__same", "__size", "__bands"])
 
     return run
 
@@ -335,32 +317,6 @@ def resembling(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b")
 
 
-def view_pairs(nodes: DataFrame, views: int, width: int) -> list[np.ndarray]:
-    """``bit_pairs`` of every view, in one pass."""
-    upper = np.triu_indices(width)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((views, width, width))
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, views)
-            for at in range(0, len(x), _CHUNK):
-                rows = np.ascontiguousarray(x[at : at + _CHUNK].astype(">i8")).view(np.uint8).reshape(-1, views, 8)
-                for v in range(views):
-                    # bit i of the number is column i
-                    b = np.unpackbits(rows[:, v], axis=1)[:, : -width - 1 : -1].astype(np.float32)
-                    total[v] += b.T @ b
-        half = total[:, upper[0], upper[1]].ravel().astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(half.size), pa.int32()), pa.array(half)], names=["pair", "n"])
-
-    summed = nodes.select("__probe").mapInArrow(count, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    half = np.zeros(views * len(upper[0]))
-    for pair, n in summed.collect():  # one row per view and pair of bits
-        half[pair] = n
-    out = np.zeros((views, width, width))
-    out[:, upper[0], upper[1]] = out[:, upper[1], upper[0]] = half.reshape(views, -1)
-    return list(out)
-
-
 def _with_pivots(members: DataFrame, keys: list[str]) -> DataFrame:
     """Members of buckets of two or more, with the size of their bucket
     (``__n``) and its smallest member (``pivot``)."""
@@ -387,46 +343,37 @@ def _stars(shared: DataFrame) -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", group_bits: int = GROUP_BITS
+    docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", band_rows: int = BAND_ROWS
 ) -> DataFrame:
     """``key, component_id`` for texts whose five-word shingles resemble one
-    another by ``similarity`` or more: long fingerprints, generalised pigeonhole
-    search in views of them, and the resemblance itself as the verdict.
+    another by ``similarity`` or more: search by bands of MinHash values of these
+    shingles, and the resemblance itself as the verdict.
 
     A 64-bit fingerprint that must agree in all but two bits sees only texts
-    that are nearly equal. So 768 bits from word pairs are dealt into views of
-    ``2 * group_bits``: in each view the bits are grouped by correlation and
-    given thresholds for distance 1, and texts that meet in any group of any
-    view are candidates. There are as many views as find 98 of 100 pairs right
-    at the limit, whatever the number of texts. Candidates are linked if
-    their sets of five-word shingles, compared hash by hash, resemble one another
-    by ``similarity``: no link is below it.
-
-    Copies are one node. Every member of a bucket is compared with the smallest
-    one first; then, in buckets of up to ``BUCKET_PAIRS`` nodes, all pairs that
-    are not in one group by now. Larger buckets are split by the groups of the
-    next view, and the parts are treated likewise. Rows without key have no result;
-    texts without words are one group. Components are named by the smallest key.
+    that are nearly equal, and how many bits of one differ follows from how the
+    changes are spread. Minima of the shingles agree with odds of just the
+    resemblance, for scattered words and blocks alike. Texts with all
+    ``band_rows`` minima of any band in common are candidates; there are as many
+    bands as find 999 of 1 000 pairs right at the limit, whatever the number of
+    texts. Candidates are linked if their sets of five-word shingles, compared
+    hash by hash, resemble one another by ``similarity``: no link is below it.
+
+    Texts with one set of shingles are one node. Every member of a bucket is
+    compared with the smallest one first; then, in buckets of up to
+    ``BUCKET_PAIRS`` nodes, all pairs that are not in one group by now. Larger
+    buckets are split by the next band, and the parts are treated likewise. Rows
+    without key have no result; texts without words are one group. Components
+    are named by the smallest key.
     """
-    if not 1 <= group_bits <= BITS // 2:
-        raise ValueError("a group has 1 to 32 bits")
-    longs, views = T.ArrayType(T.LongType()), view_count(similarity, group_bits)
+    longs, bands = T.ArrayType(T.LongType()), band_count(similarity, band_rows)
     kind = T.StructType().add("__id", docs.schema[key].dataType).add("__same", T.BinaryType())
-    kind = kind.add("__size", T.IntegerType()).add("__probe", longs)
+    kind = kind.add("__size", T.IntegerType()).add("__bands", longs)
     source = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).where(F.col("__id").isNotNull())
-    prints = source.mapInArrow(_long_fingerprints(dealt_views(views, 2 * group_bits)), kind)
-    rows = stored(prints, "fingerprints")
-    alike = [F.any_value(c).alias(c) for c in ("__size", "__probe")]
+    rows = stored(source.mapInArrow(_banded(Bands(bands, band_rows)), kind), "fingerprints")
+    alike = [F.any_value(c).alias(c) for c in ("__size", "__bands")]
     nodes = stored(rows.groupBy("__same").agg(F.min("__id").cast("bigint").alias("node"), *alike), "nodes")
-    n = nodes.count()
-    plans = [plan_partitions(pairs, n, 1, fewest=2) for pairs in view_pairs(nodes, views, 2 * group_bits)]
-    lanes = [signatures(F.col("__probe")[i], plan) for i, plan in enumerate(plans)]
-
-    every = F.flatten(F.array(*[
-        F.transform(sig, lambda s, i=i: F.struct((s["part"] + i * 10_000).alias("part"), s["key"].alias("key")))
-        for i, sig in enumerate(lanes)
-    ]))
-    keyed = nodes.select("node", F.explode(every).alias("s")).select("node", "s.*")
+    keyed = nodes.select("node", "__size", F.posexplode("__bands").alias("part", "key"))
+
     # every member with the smallest of its bucket first: what that ties needs
     # no other comparison, which spares most pairs of a big group of near copies
     shared = _with_pivots(keyed, ["part", "key"])
@@ -443,18 +390,15 @@ def near_groups(
     groups = stored(smallest_reachable(tied), "groups")
 
     def rooted(members: DataFrame) -> DataFrame:
-        known = nodes.select("node", "__size").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        return members.join(known, "node")
+        return members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     pairs = _bucket_pairs(rooted(shared), ["part", "key"], similarity)
-    # parts of large buckets, by the groups of the view after theirs
-    large = shared.where(F.col("__n") > BUCKET_PAIRS).select("part", "key", "node")
-    probes = nodes.select("node", "__probe")
-    after = F.element_at(F.array(*lanes), (F.floor(F.col("part") / 10_000).cast("int") + 1) % views + 1)
-    split = large.join(probes, "node").select("node", "part", "key", F.explode(after).alias("s"))
-    split = split.select("node", "part", "key", F.col("s.part").alias("part2"), F.col("s.key").alias("key2"))
-    within = _with_pivots(split, ["part", "key", "part2", "key2"])
-    inner = _bucket_pairs(rooted(within), ["part", "key", "part2", "key2"], similarity)
+    # parts of large buckets, by the band after theirs
+    large = shared.where(F.col("__n") > BUCKET_PAIRS).select("part", "key", "node", "__size")
+    after = F.col("__bands")[(F.col("part") + 1) % bands]
+    split = large.join(nodes.select("node", "__bands"), "node").select("node", "__size", "part", "key", after.alias("key2"))
+    within = _with_pivots(split, ["part", "key", "key2"])
+    inner = _bucket_pairs(rooted(within), ["part", "key", "key2"], similarity)
     rest = _stars(within.where(F.col("__n") > BUCKET_PAIRS))
     links = tied.unionByName(close(rest.unionByName(pairs).unionByName(inner).distinct()))
     roots = smallest_reachable(links)

@@ -249,6 +249,13 @@ def test_groups_are_not_below_the_limit(spark, make_docs):
     assert all(r.doc_id == r.component_id for r in simhash.near_groups(make_docs(rows)).collect())
 
 
+def test_edited_blocks_are_found(spark, make_docs):
+    rows, likeness = edited_blocks(np.random.default_rng(9), 0.81, 0.93, 150)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(make_docs(rows)).collect()}
+    assert min(likeness) >= 0.8 and max(likeness) < 0.95
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(150)) >= 148
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://Www.A.com:80/x/index.html?utm_source=1&b=2&a=1#f", "https://a.com/x?a=1&b=2", "x://", "s://h?q", "s://h#f", "://b/c"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string").withColumn("rule", F.lit(1))

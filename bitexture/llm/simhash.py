@@ -11,7 +11,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -249,6 +249,8 @@ CHECK_WORDS = 5
 BAND_ROWS = 6
 #: Pairs right at the limit that may have no band in common.
 MISSED = 0.001
+#: How many times as many members are pivots by the next round.
+ROUND_GROWTH = 32
 
 
 def band_count(similarity: float, rows: int = BAND_ROWS) -> int:
@@ -317,29 +319,47 @@ def resembling(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b")
 
 
-def _with_pivots(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Members of buckets of two or more, with the size of their bucket
-    (``__n``) and its smallest member (``pivot``)."""
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("node").alias("pivot")).where("__n > 1")
-    return stored(members.join(sizes, keys), "probes")
-
-
 def _sizes_fit(a: str, b: str, similarity: float) -> Column:
     """Sets whose sizes differ more can't resemble one another so much."""
     return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6
 
 
-def _bucket_pairs(shared: DataFrame, keys: list[str], similarity: float) -> DataFrame:
-    """Pairs in the buckets of up to ``BUCKET_PAIRS`` members whose ``root``
-    differs: with one root they are in one group already."""
-    few = shared.where(F.col("__n") <= BUCKET_PAIRS)
-    a = few.select(*keys, F.col("node").alias("a"), F.col("root").alias("ra"), F.col("__size").alias("na"))
-    b = few.select(*keys, F.col("node").alias("b"), F.col("root").alias("rb"), F.col("__size").alias("nb"))
-    return a.join(b, keys).where("a > b AND ra <> rb").where(_sizes_fit("na", "nb", similarity)).select("a", "b")
+def linked_members(members: DataFrame, similarity: float, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``node, root`` of the nodes with links: ``verified`` says which pairs are
+    linked, and is asked for all pairs of each bucket but those that links tie
+    already.
 
-
-def _stars(shared: DataFrame) -> DataFrame:
-    return shared.where("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    ``members`` (stored) are ``part, key, node, __size, __rank``, ranks from 1 by
+    node within buckets of two or more. In each round members up to a rank are
+    pivots: they are compared with the members after them that are in another
+    group by now. The rest of a bucket goes on to the next round, with
+    ``ROUND_GROWTH`` times as many pivots, unless it is one group. A bucket
+    ends when every member has been a pivot or is tied to all that are left, so
+    no pair is skipped for the size of its bucket.
+    """
+    spark = members.sparkSession
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    last, reach = 0, 1
+    while True:
+        left = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if last:
+            several = left.groupBy("part", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
+            left = left.join(several.select("part", "key"), ["part", "key"], "left_semi")
+        left = stored(left, "members")
+        if left.isEmpty():
+            return roots
+        first = left.where(F.col("__rank") <= reach).select(
+            "part", "key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("__rank").alias("ka"), F.col("__size").alias("na")
+        )
+        other = left.select(
+            "part", "key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("__rank").alias("kb"), F.col("__size").alias("nb")
+        )
+        met = first.join(other, ["part", "key"]).where("ka < kb AND ra <> rb").where(_sizes_fit("na", "nb", similarity))
+        links = links.unionByName(stored(verified(met.select("a", "b").distinct()), "linked"))
+        roots = stored(smallest_reachable(links), "groups")
+        members = left.where(F.col("__rank") > reach).select("part", "key", "node", "__size", "__rank")
+        last, reach = reach, reach * ROUND_GROWTH
 
 
 def near_groups(
@@ -358,12 +378,10 @@ def near_groups(
     texts. Candidates are linked if their sets of five-word shingles, compared
     hash by hash, resemble one another by ``similarity``: no link is below it.
 
-    Texts with one set of shingles are one node. Every member of a bucket is
-    compared with the smallest one first; then, in buckets of up to
-    ``BUCKET_PAIRS`` nodes, all pairs that are not in one group by now. Larger
-    buckets are split by the next band, and the parts are treated likewise. Rows
-    without key have no result; texts without words are one group. Components
-    are named by the smallest key.
+    Texts with one set of shingles are one node. Pairs of a bucket are left out
+    only where links tie them already (``linked_members``). Rows without key have
+    no result; texts without words are one group. Components are named by the
+    smallest key.
     """
     longs, bands = T.ArrayType(T.LongType()), band_count(similarity, band_rows)
     kind = T.StructType().add("__id", docs.schema[key].dataType).add("__same", T.BinaryType())
@@ -374,33 +392,15 @@ def near_groups(
     nodes = stored(rows.groupBy("__same").agg(F.min("__id").cast("bigint").alias("node"), *alike), "nodes")
     keyed = nodes.select("node", "__size", F.posexplode("__bands").alias("part", "key"))
 
-    # every member with the smallest of its bucket first: what that ties needs
-    # no other comparison, which spares most pairs of a big group of near copies
-    shared = _with_pivots(keyed, ["part", "key"])
+    bucket = Window.partitionBy("part", "key")
+    ranked = keyed.withColumn("__n", F.count(F.lit(1)).over(bucket)).withColumn("__rank", F.row_number().over(bucket.orderBy("node")))
+    shared = stored(ranked.where("__n > 1").drop("__n"), "probes")
     met = shared.select("node").distinct().join(nodes.select("node", "__same"), "node")
     # an id may be that of several texts; the digest tells them apart
     texts = source.join(met.select(F.col("node").alias("__id")), "__id", "left_semi").select("__text")
     found = texts.mapInArrow(_shingle_sets, T.StructType().add("__same", T.BinaryType()).add("__set", longs))
     sets = stored(found.join(met, "__same").select("node", "__set").dropDuplicates(["node"]), "sets")
 
-    def close(candidates: DataFrame) -> DataFrame:
-        return resembling(candidates, sets, similarity)
-
-    tied = stored(close(_stars(shared).distinct()), "tied")
-    groups = stored(smallest_reachable(tied), "groups")
-
-    def rooted(members: DataFrame) -> DataFrame:
-        return members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    pairs = _bucket_pairs(rooted(shared), ["part", "key"], similarity)
-    # parts of large buckets, by the band after theirs
-    large = shared.where(F.col("__n") > BUCKET_PAIRS).select("part", "key", "node", "__size")
-    after = F.col("__bands")[(F.col("part") + 1) % bands]
-    split = large.join(nodes.select("node", "__bands"), "node").select("node", "__size", "part", "key", after.alias("key2"))
-    within = _with_pivots(split, ["part", "key", "key2"])
-    inner = _bucket_pairs(rooted(within), ["part", "key", "key2"], similarity)
-    rest = _stars(within.where(F.col("__n") > BUCKET_PAIRS))
-    links = tied.unionByName(close(rest.unionByName(pairs).unionByName(inner).distinct()))
-    roots = smallest_reachable(links)
+    roots = linked_members(shared, similarity, lambda pairs: resembling(pairs, sets, similarity))
     named = nodes.join(roots, "node", "left").select("__same", F.coalesce("root", "node").alias("component_id"))
     return rows.select("__id", "__same").join(named, "__same").select(F.col("__id").alias(key), "component_id")

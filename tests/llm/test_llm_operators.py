@@ -256,6 +256,15 @@ def test_edited_blocks_are_found(spark, make_docs):
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(150)) >= 148
 
 
+def test_no_pair_of_a_large_bucket_is_skipped(spark):
+    # 150 members of one bucket; none resembles the smallest, and links join
+    # members 40 apart
+    rows = [(0, 7, i, 100, i + 1) for i in range(150)]
+    members = spark.createDataFrame(rows, "part int, key bigint, node bigint, __size int, __rank int")
+    roots = simhash.linked_members(members, 0.8, lambda pairs: pairs.where("a > 0 AND b > 0 AND abs(a - b) = 40"))
+    assert {(r.node, r.root) for r in roots.collect()} == {(i, (i - 1) % 40 + 1) for i in range(1, 150)}
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://Www.A.com:80/x/index.html?utm_source=1&b=2&a=1#f", "https://a.com/x?a=1&b=2", "x://", "s://h?q", "s://h#f", "://b/c"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string").withColumn("rule", F.lit(1))

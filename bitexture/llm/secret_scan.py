@@ -30,7 +30,6 @@ NAME_SCORES = {
     "credential": 0.9, "credentials": 0.9, "private": 0.6, "auth": 0.6, "bearer": 0.8, "access": 0.4, "key": 0.5,
     "signing": 0.4, "encryption": 0.4, "api": 0.4, "pass": 0.7, "pw": 0.6, "salt": 0.5,
 }
-_STEMS = tuple(s.encode() for s in ("passw", "pwd", "passphrase", "secret", "token", "apikey", "credential", "private", "auth", "bearer", "key", "_pass", "_pw", "salt"))
 _PLACEHOLDERS = re.compile(
     r"(?i)(?:x+|\*+|\.+|none|null|true|false|nil|undefined|changeme|example|placeholder|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(?\w+.*)\Z"
 )
@@ -73,11 +72,11 @@ def literal_score(value: str) -> float:
 
 
 def name_literal_pairs(text: str) -> Iterator[tuple[str, int, int]]:
-    """``name, start, end`` of each literal that reaches a name, by ``name =
+    """``name, start, end`` of each literal when it reaches a name, by ``name =
     "..."``, ``"name": ...``, ``name: bare`` and the like. A name on the right
     side stands for the literals that were assigned to it before (constants
     propagate, also through ``+``)."""
-    known: dict[str, tuple[tuple[int, int], ...]] = {}
+    known: dict[str, dict[tuple[int, int], None]] = {}
     tokens = [(m.lastgroup, m) for m in _TOKEN.finditer(text) if m.lastgroup != "comment"]
     i, n = 0, len(tokens)
     while i < n - 2:
@@ -105,8 +104,12 @@ def name_literal_pairs(text: str) -> Iterator[tuple[str, int, int]]:
                 break
             j += 1
         if found:
-            known[name] = tuple(dict.fromkeys((known.get(name, ()) if tokens[i + 1][1].group() == "+=" else ()) + tuple(found)))[-16:]
-            for start, end in known[name]:
+            if tokens[i + 1][1].group() != "+=" or name not in known:
+                known[name] = {}
+            holds = known[name]
+            fresh = [span for span in dict.fromkeys(found) if span not in holds]
+            holds.update(dict.fromkeys(fresh))
+            for start, end in fresh:
                 yield name, start, end
         i = max(i + 1, j if kind == "text" or found else i + 1)
 
@@ -127,8 +130,7 @@ def base_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
 
 def literal_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
     """Literals that a sensitive name holds, scored by name and shape."""
-    low = raw.lower()
-    if not any(stem in low for stem in _STEMS) or (b"=" not in low and b":" not in low):
+    if b"=" not in raw and b":" not in raw:  # one of them is in every assignment
         return []
     best: dict[tuple[int, int], float] = {}
     for name, start, end in name_literal_pairs(text):

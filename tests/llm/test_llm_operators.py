@@ -90,6 +90,17 @@ def test_secret_names_and_constants():
     assert secret_scan.scan("to\u212aen = abcdefgh")[0] == []
 
 
+def test_every_sensitive_name_is_scanned():
+    value = "Xk29fLq81z"
+    names = [n for n, s in secret_scan.NAME_SCORES.items() if s >= secret_scan.THRESHOLD]
+    lines = [f'{n} = "{value}"' for n in [*names, "dbPass", "api_access", "sec_ret"]]
+    for line in [*lines, f"pass: {value}", f'SMTP-PASS="{value}"', f'db.pass="{value}"']:
+        assert [line[a:b] for _, a, b in secret_scan.literal_spans(line, line.encode())] == [value], line
+    values = [f"Xk29fLq{i}z" for i in range(10, 60)]
+    for many in ("db_pass = " + " + ".join(f'"{v}"' for v in values), "\n".join(f'db_pass += "{v}"' for v in values)):
+        assert {many[a:b] for _, a, b in secret_scan.literal_spans(many, many.encode())} == set(values)
+
+
 def test_secret_scan_rows(spark, odd_docs):
     out = secret_scan.scan_secrets(odd_docs.withColumn("spans", F.lit(1))).collect()
     assert len(out) == 10 and all(r.spans == "" for r in out)

@@ -1,4 +1,5 @@
-"""SimHash fingerprints, linked by generalised pigeonhole search."""
+"""SimHash fingerprints, linked by generalised pigeonhole search; near copies by
+MinHash bands and exact resemblance."""
 
 from __future__ import annotations
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitexture.llm import decontamination, html_extract, line_dedup, mixing, secret_scan, sharding, simhash, sketches, toxicity, url_filter
+from bitexture.llm import decontamination, html_extract, line_dedup, mixing, secret_scan, sharding, simhash, sketches, token_counts, toxicity, url_filter
 from bitexture.llm.pipeline import TOXIC_FROM, held_out
 from bitexture.plans.registry import Query, Run
 
@@ -19,6 +19,9 @@ URL_RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
+#: Tokenizer file and limit of the token counts.
+TOKENIZER = "byte_bpe_50k.json"
+TOKEN_LIMIT = 512
 #: Pages whose id this divides give the list of URLs for the filter.
 LIST_EVERY = 100
 
@@ -158,3 +161,13 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     listed = pages.where(F.col("page_id") % LIST_EVERY == 0).select("url")
     out = url_filter.judge_urls(pages, listed, URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict", "canonical", "listed")
+
+
+@query()
+def op13_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document under a byte-level tokenizer."""
+    import public_tokenizers
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = token_counts.with_token_counts(docs, public_tokenizers.path(TOKENIZER), TOKEN_LIMIT)
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")

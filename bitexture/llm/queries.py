@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitexture.llm import decontamination, html_extract, line_dedup, mixing, secret_scan, sharding, simhash, sketches, token_counts, toxicity, url_filter
+from bitexture.llm import clustering, decontamination, html_extract, line_dedup, mixing, secret_scan, sharding, simhash, sketches, token_counts, toxicity, url_filter
 from bitexture.llm.pipeline import TOXIC_FROM, held_out
 from bitexture.plans.registry import Query, Run
 
@@ -163,6 +163,45 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "canonical", "listed")
 
 
+def _assign_sql(rounds: int) -> str:
+    """Rounds of assignment and means, as chained table expressions."""
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(
+            f"""near{i} AS MATERIALIZED (SELECT row_id, any_value(vec_id) AS vec_id, any_value(v) AS v,
+                  min({{'d': list_sum(list_transform(list_zip(v, cv), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': c}}) AS best
+                FROM kept, cents{i} GROUP BY row_id)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""means{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS cv FROM (
+                      SELECT c, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+                        SELECT best.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM near{i}) GROUP BY 1, 2) GROUP BY 1),
+                    cents{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.cv, o.cv) AS cv FROM cents{i} o LEFT JOIN means{i} m USING (c))"""
+            )
+    return ", ".join(parts)
+
+
+@query(
+    f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id,
+           list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+         WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+         cents0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS INTEGER) AS c, v AS cv
+           FROM kept WHERE vec_id IS NOT NULL QUALIFY c < 16),
+         {_assign_sql(3)}
+       SELECT vec_id, best.c AS cluster, best.d AS distance,
+         CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+         sha256(array_to_string(cv, ',')) AS centroid_sha256
+       FROM near3 JOIN cents3 ON c = best.c"""
+)
+def op11_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest of 16 centroids of every vector, after three rounds."""
+    out = clustering.cluster_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return out.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", sha256(F.concat_ws(",", F.col("centroid").cast("array<string>"))).alias("centroid_sha256")
+    )
+
+
 @query()
 def op13_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every document under a byte-level tokenizer."""

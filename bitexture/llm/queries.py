@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitexture.llm import clustering, decontamination, html_extract, line_dedup, mixing, secret_scan, sharding, simhash, sketches, token_counts, toxicity, url_filter
+from bitexture.llm import clustering, decontamination, html_extract, line_dedup, mixing, secret_scan, sharding, simhash, sketches, token_counts, toxicity, url_filter, whitening
 from bitexture.llm.pipeline import TOXIC_FROM, held_out
 from bitexture.plans.registry import Query, Run
 
@@ -202,6 +202,13 @@ def op11_centroids(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Whitened components of every vector."""
+    out = whitening.whiten_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 @query()
 def op13_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every document under a byte-level tokenizer."""

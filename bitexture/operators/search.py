@@ -1,13 +1,17 @@
 """Candidate search over score tables.
 
 ``next_scores``: ``prev, next, logprob``, the log probability of each next
-token. ``beams``: ``src_id, log_prob, tokens``. All sources move together, one
-output position per step.
+token; with a column ``src_id`` every source has scores of its own. ``beams``:
+``src_id, log_prob, tokens``.
+
+With one score table for all, the sources move together, one output position
+per step. Scores of their own are gathered by source once, and the whole search
+of a source is one expression over its row: no exchange per position.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitexture.functions.arrays import BOS_ID, EOS_ID, MAX_LEN, PAD_ID, drop_special
@@ -20,26 +24,37 @@ BEAM_SIZE = 5
 DIGITS = 6
 
 
+# A score table of at most so many rows may be sent to all tasks.
+MAX_BROADCAST = 500_000
+
+
+def _states(next_scores: DataFrame) -> list[str]:
+    """Columns that a continuation depends on."""
+    return ["src_id", "prev"] if "src_id" in next_scores.columns else ["prev"]
+
+
 def top_next(next_scores: DataFrame, k: int = BEAM_SIZE) -> DataFrame:
-    """The ``k`` best next tokens per token. Spark keeps ``k`` rows per token
-    in each task before the shuffle, so frequent tokens stay cheap."""
-    w = Window.partitionBy("prev").orderBy(F.desc("logprob"), "next")
+    """The ``k`` best next tokens per token (and source, where there is one).
+    Spark keeps ``k`` rows per token in each task before the shuffle, so
+    frequent tokens stay cheap."""
+    states = _states(next_scores)
+    w = Window.partitionBy(*states).orderBy(F.desc("logprob"), "next")
     return (
         next_scores.withColumn("__r", F.row_number().over(w))
         .where(F.col("__r") <= k)
-        .select("prev", "next", "logprob")
+        .select(*states, "next", "logprob")
     )
 
 
 def beam_expand(beams: DataFrame, next_scores: DataFrame, k: int = BEAM_SIZE, eos: int = EOS_ID) -> DataFrame:
-    """Every live beam takes its ``k`` best next tokens. The reduced score
-    table has ``k`` rows per vocabulary entry and is broadcast."""
-    return _expand(beams, F.broadcast(top_next(next_scores, k)), eos)
+    """Every live beam takes its ``k`` best next tokens, from the scores of its
+    own source where they have a ``src_id``."""
+    return _expand(beams, top_next(next_scores, k), eos)
 
 
 def _expand(beams, best, eos):
     live = beams.withColumn("prev", F.element_at("tokens", -1)).where(F.col("prev") != eos)
-    return live.join(best, "prev").select(
+    return live.join(best, _states(best)).select(
         "src_id",
         F.round(F.col("log_prob") + F.col("logprob"), DIGITS).alias("log_prob"),
         F.concat("tokens", F.array("next")).alias("tokens"),
@@ -103,16 +118,22 @@ def decode_corpus(
     alpha: float = LENGTH_PENALTY,
 ) -> DataFrame:
     """Beam search for a whole table: ``sources`` has ``src_id`` and the first
-    ``tokens``; returns the best ids per source.
+    ``tokens``; returns the best ids per source. With a column ``src_id`` in
+    ``next_scores`` a source is continued by its own scores only.
 
     A live beam whose last token has no continuation stays as it is, as its
     source's answer if nothing else ends, so every source has one row.
 
-    Step ``i`` handles position ``i`` of all sources. Live beams are
-    checkpointed each step (their size is at most ``k`` per source); finished
-    hypotheses of a step are reduced to the best one per source.
+    With one table for all, step ``i`` handles position ``i`` of all sources.
+    Live beams are checkpointed each step (their size is at most ``k`` per
+    source); finished hypotheses of a step are reduced to the best one per
+    source. A table of more than ``MAX_BROADCAST`` rows is joined by shuffle.
     """
+    if "src_id" in next_scores.columns:
+        return _decode_each(sources, next_scores, k, max_len, eos, alpha)
     best = checkpointed(top_next(next_scores, k))
+    if best.count() <= MAX_BROADCAST:
+        best = F.broadcast(best)
     live = sources.select(
         "src_id", F.lit(0.0).alias("log_prob"), F.col("tokens").cast("array<int>").alias("tokens")
     )
@@ -120,7 +141,7 @@ def decode_corpus(
     last = None
     for _ in range(max_len):
         done.append(_stuck(live, best, eos, alpha))
-        step = checkpointed(beam_prune(_expand(live, F.broadcast(best), eos), k, eos, alpha))
+        step = checkpointed(beam_prune(_expand(live, best, eos), k, eos, alpha))
         done.append(_best_finished(step))
         live = step.where(F.col("state") == "live")
         last = live
@@ -135,7 +156,7 @@ def decode_corpus(
 
 def _stuck(live, best, eos, alpha):
     """Beams that no token can follow; those that have ended count as such."""
-    ends = live.withColumn("prev", F.element_at("tokens", -1)).join(F.broadcast(best), "prev", "left_anti")
+    ends = live.withColumn("prev", F.element_at("tokens", -1)).join(best, "prev", "left_anti")
     score = F.round(length_penalized(F.col("log_prob"), F.size("tokens"), alpha), DIGITS)
     state = F.when(F.col("prev") == eos, "finished").otherwise("live")
     return ends.select("src_id", "log_prob", "tokens", score.alias("score"), state.alias("state"))
@@ -147,3 +168,83 @@ def _best_finished(step):
         F.max_by(F.struct("log_prob", "tokens", "score", "state"), order).alias("b")
     )
     return one.select("src_id", "b.log_prob", "b.tokens", "b.score", "b.state")
+
+
+_BEAM = "struct<log_prob:double,tokens:array<int>>"
+_ANSWER = "struct<ended:boolean,score:double,order:array<int>>"
+
+
+def scores_by_source(next_scores: DataFrame, k: int = BEAM_SIZE) -> DataFrame:
+    """``src_id, scores``: the ``k`` best next tokens of every token of a source
+    as one map. Its size is bounded by the vocabulary, whatever the source."""
+    options = F.sort_array(F.collect_list(F.struct((-F.col("logprob")).alias("cost"), "next")))
+    each = top_next(next_scores, k).groupBy("src_id", "prev").agg(options.alias("options"))
+    entry = F.struct("prev", F.transform("options", lambda o: F.struct(o["next"].cast("int").alias("next"), (-o["cost"]).alias("logprob"))))
+    return each.groupBy("src_id").agg(F.map_from_entries(F.collect_list(entry)).alias("scores"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _decode_each(sources, next_scores, k, max_len, eos, alpha) -> DataFrame:
+    """The search of ``decode_corpus`` over rows that hold their own scores."""
+    scored = sources.select("src_id", F.col("tokens").cast("array<int>").alias("tokens")).join(
+        scores_by_source(next_scores, k), "src_id", "left"
+    )
+    scores = F.col("scores")
+
+    def rate(log_prob, tokens):
+        return F.round(length_penalized(log_prob, F.size(tokens), alpha), DIGITS)
+
+    def last(tokens):
+        return F.element_at(tokens, -1)
+
+    def options(beam):
+        return F.when(last(beam["tokens"]) != eos, F.try_element_at(scores, last(beam["tokens"])))
+
+    def answer(ended, log_prob, tokens):
+        # the smallest token list wins a tie
+        return F.struct(ended, rate(log_prob, tokens), F.transform(tokens, lambda t: -t)).cast(_ANSWER)
+
+    def grown(beam, option):
+        tokens = F.concat(beam["tokens"], F.array(option["next"]))
+        log_prob = F.round(beam["log_prob"] + option["logprob"], DIGITS)
+        ended = option["next"] == eos
+        return F.struct(ended.alias("ended"), (-rate(log_prob, tokens)).alias("cost"), tokens.alias("tokens"), log_prob.alias("log_prob"))
+
+    def step(state, _):
+        live, no_options = state["live"], F.array().cast("array<struct<next:int,logprob:double>>")
+        # unfinished ones first, each kind best first
+        found = F.array_sort(
+            F.flatten(F.transform(live, lambda b: F.transform(F.coalesce(options(b), no_options), lambda o: grown(b, o))))
+        )
+        stuck = F.transform(
+            F.filter(live, lambda b: options(b).isNull()), lambda b: answer(last(b["tokens"]) == eos, b["log_prob"], b["tokens"])
+        )
+
+        def after(candidates):
+            going = F.slice(F.filter(candidates, lambda c: ~c["ended"]), 1, k)
+            ended = F.slice(F.filter(candidates, lambda c: c["ended"]), 1, 1)
+            answers = F.concat(F.array(state["best"]), stuck, F.transform(ended, lambda c: answer(F.lit(True), c["log_prob"], c["tokens"])))
+            beams = F.transform(going, lambda c: F.struct(c["log_prob"].alias("log_prob"), c["tokens"].alias("tokens")))
+            return F.struct(beams.cast(f"array<{_BEAM}>").alias("live"), F.array_max(answers).cast(_ANSWER).alias("best"))
+
+        return _let(found, after)
+
+    start = F.struct(
+        F.array(F.struct(F.lit(0.0), F.col("tokens")).cast(_BEAM)).alias("live"), F.lit(None).cast(_ANSWER).alias("best")
+    )
+
+    def end(state):
+        left = F.transform(state["live"], lambda b: answer(F.lit(False), b["log_prob"], b["tokens"]))
+        return F.array_max(F.concat(F.array(state["best"]), left))
+
+    found = scored.select("src_id", F.aggregate(F.sequence(F.lit(1), F.lit(max_len)), start, step, end).alias("b"))
+    return found.select(
+        "src_id",
+        F.col("b.score").alias("score"),
+        F.when(F.col("b.ended"), "finished").otherwise("live").alias("state"),
+        drop_special(F.transform("b.order", lambda t: -t), (PAD_ID, BOS_ID, EOS_ID)).alias("ids"),
+    )

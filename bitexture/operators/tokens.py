@@ -137,8 +137,9 @@ def decode_text(
     return df.withColumn(name, decode_ids(F.col(column), vocab, special_ids))
 
 
-def symbol_pair_counts(words: DataFrame, symbols: str = "symbols", freq: str = "n") -> DataFrame:
-    """``left, right, n``: adjacent symbol pairs weighted by word frequency."""
+def symbol_pair_counts(words: DataFrame, symbols: str = "symbols", freq: str = "n", keys: Sequence[str] = ()) -> DataFrame:
+    """``left, right, n``: adjacent symbol pairs weighted by word frequency,
+    within ``keys`` if there are any."""
     s = F.col(symbols)
     last = F.size(s) - 1
     pairs = F.zip_with(
@@ -146,8 +147,8 @@ def symbol_pair_counts(words: DataFrame, symbols: str = "symbols", freq: str = "
     )
     return (
         words.where(F.size(s) > 1)
-        .select(F.inline(pairs), F.col(freq).alias("__n"))
-        .groupBy("left", "right")
+        .select(*keys, F.inline(pairs), F.col(freq).alias("__n"))
+        .groupBy(*keys, "left", "right")
         .agg(F.sum("__n").alias("n"))
     )
 
@@ -168,13 +169,15 @@ def token_length_stats(df: DataFrame, ids: str = "ids", limit: int = MAX_LEN) ->
     )
 
 
-def bigram_scores(ids: DataFrame, column: str = "ids", digits: int = 6) -> DataFrame:
+def bigram_scores(ids: DataFrame, column: str = "ids", digits: int = 6, keys: Sequence[str] = ()) -> DataFrame:
     """``prev, next, n, logprob`` from adjacent ids between begin and end
-    markers; ``logprob`` is rounded so that sums do not depend on order."""
+    markers, counted within ``keys`` if there are any; ``logprob`` is rounded so
+    that sums do not depend on order."""
     seq = F.concat(F.array(F.lit(BOS_ID)), F.col(column), F.array(F.lit(EOS_ID)))
-    counts = symbol_pair_counts(ids.select(seq.alias("symbols"), F.lit(1).cast("bigint").alias("n")))
-    w = Window.partitionBy("left")  # at most one row per vocabulary entry
+    counts = symbol_pair_counts(ids.select(*keys, seq.alias("symbols"), F.lit(1).cast("bigint").alias("n")), keys=keys)
+    w = Window.partitionBy(*keys, "left")  # at most one row per vocabulary entry
     return counts.select(
+        *keys,
         F.col("left").alias("prev"),
         F.col("right").alias("next"),
         "n",

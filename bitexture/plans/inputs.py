@@ -220,6 +220,12 @@ def bigrams(spark: SparkSession, sf: str) -> DataFrame:
     return bigram_scores(line_ids(spark, sf))
 
 
+def document_bigrams(spark: SparkSession, sf: str) -> DataFrame:
+    """``src_id, prev, next, n, logprob``: bigrams within each document."""
+    doc = F.floor(F.col("line_no") / LINES_PER_DOC).cast("bigint").alias("src_id")
+    return bigram_scores(line_ids(spark, sf).select(doc, "ids"), keys=["src_id"])
+
+
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
     """``page_id, text``: page text with entities spaced out, as a model that
     splits punctuation writes them."""
@@ -471,6 +477,13 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                SELECT unnest(list_concat([2], ids)) AS prev, unnest(list_concat(ids, [3])) AS next FROM line_ids)
              GROUP BY 1, 2)""",
     ),
+    "document_bigrams": (
+        ("line_ids",),
+        """SELECT src_id, prev, next, n, round(ln(n / sum(n) OVER (PARTITION BY src_id, prev)), 6) AS logprob FROM (
+             SELECT src_id, prev, next, count(*) AS n FROM (
+               SELECT line_no // 4294967296 AS src_id, unnest(list_concat([2], ids)) AS prev, unnest(list_concat(ids, [3])) AS next
+               FROM line_ids) GROUP BY 1, 2, 3)""",
+    ),
     "page_text": (
         (),
         r"""SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&([a-z]+);', '& \1 ;', 'g') AS text

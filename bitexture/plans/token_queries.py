@@ -255,19 +255,20 @@ def length_penalized(spark, sf):
 _STEPS, _BEAM = 5, 5
 
 
-def _sql_decode() -> str:
+def _sql_decode(table: str = "bigrams", keys: str = "prev", steps: int = _STEPS) -> str:
     """The search written out, one block of tables per output position."""
+    on = "prev = tokens[-1]" + (" AND b.src_id = l.src_id" if "src_id" in keys else "")
     parts = [
-        """best AS MATERIALIZED (SELECT prev, next, logprob FROM (
-             SELECT *, row_number() OVER (PARTITION BY prev ORDER BY logprob DESC, next) AS r FROM bigrams) WHERE r <= 5)""",
+        f"""best AS MATERIALIZED (SELECT {keys}, next, logprob FROM (
+             SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY logprob DESC, next) AS r FROM {table}) WHERE r <= 5)""",
         """live0 AS MATERIALIZED (SELECT doc_id AS src_id, 0.0::DOUBLE AS log_prob, [2, ids[1]] AS tokens, 0.0::DOUBLE AS score FROM (
              SELECT line_no // 4294967296 AS doc_id, arg_min(ids, line_no) AS ids FROM line_ids WHERE len(ids) > 0 GROUP BY 1))""",
     ]
-    for i in range(1, _STEPS + 1):
+    for i in range(1, steps + 1):
         parts.append(
             f"""step{i} AS MATERIALIZED (SELECT *, round(log_prob / pow(len(tokens), 0.7), 6) AS score, tokens[-1] = 3 AS ended FROM (
-                  SELECT src_id, round(log_prob + logprob, 6) AS log_prob, list_append(tokens, next) AS tokens
-                  FROM live{i - 1} JOIN best ON prev = tokens[-1]))"""
+                  SELECT l.src_id, round(log_prob + logprob, 6) AS log_prob, list_append(tokens, next) AS tokens
+                  FROM live{i - 1} l JOIN best b ON {on}))"""
         )
         parts.append(
             f"""live{i} AS MATERIALIZED (SELECT src_id, log_prob, tokens, score FROM (
@@ -275,12 +276,12 @@ def _sql_decode() -> str:
                 WHERE r <= {_BEAM})"""
         )
     pool = " UNION ALL ".join(
-        [f"SELECT src_id, tokens, score, 'finished' AS state FROM step{i} WHERE ended" for i in range(1, _STEPS + 1)]
-        + [f"SELECT src_id, tokens, score, 'live' FROM live{_STEPS}"]
+        [f"SELECT src_id, tokens, score, 'finished' AS state FROM step{i} WHERE ended" for i in range(1, steps + 1)]
+        + [f"SELECT src_id, tokens, score, 'live' FROM live{steps}"]
     )
     body = f"""SELECT src_id, score, state, array_to_string(list_filter(tokens, lambda x: x NOT IN (0, 2, 3)), ' ') AS ids FROM (
         SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY state, score DESC, tokens) AS r FROM ({pool})) WHERE r = 1"""
-    return q("SELECT @", "bigrams").replace("SELECT @", ", " + ",\n".join(parts) + "\n" + body)
+    return q("SELECT @", table).replace("SELECT @", ", " + ",\n".join(parts) + "\n" + body)
 
 
 @query(_sql_decode())
@@ -290,6 +291,28 @@ def decode_corpus(spark, sf):
     return out.select("src_id", "score", "state", _text("ids").alias("ids"))
 
 
+_EXPANDED_EACH = """, best AS (SELECT src_id, prev, next, logprob FROM (
+    SELECT *, row_number() OVER (PARTITION BY src_id, prev ORDER BY logprob DESC, next) AS r FROM document_bigrams) WHERE r <= 5),
+  start AS (SELECT line_no // 4294967296 AS src_id, [2, arg_min(ids, line_no)[1]] AS tokens FROM line_ids WHERE len(ids) > 0 GROUP BY 1)
+  SELECT s.src_id, logprob AS log_prob, array_to_string(list_append(tokens, next), ' ') AS tokens
+  FROM start s JOIN best b ON b.src_id = s.src_id AND prev = tokens[-1]"""
+
+
+@query(q("SELECT @", "document_bigrams").replace("SELECT @", _EXPANDED_EACH))
+def beam_expand_each(spark, sf):
+    """One step of every document by its own bigrams."""
+    out = H.beam_expand(start_beams(spark, sf), I.document_bigrams(spark, sf))
+    return out.select("src_id", "log_prob", _text("tokens").alias("tokens"))
+
+
+@query(_sql_decode("document_bigrams", "src_id, prev", A.MAX_LEN))
+def decode_each(spark, sf):
+    """Beam search from every document's first token by the document's own
+    bigrams, at the default number of positions."""
+    out = H.decode_corpus(start_beams(spark, sf), I.document_bigrams(spark, sf), k=_BEAM)
+    return out.select("src_id", "score", "state", _text("ids").alias("ids"))
+
+
 def _small_model(spark, sf):
     return B.train_bpe(I.doc_lines(spark, sf), "line", vocab_size=160)
 

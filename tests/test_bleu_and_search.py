@@ -148,3 +148,38 @@ def test_every_source_is_answered(spark):
     sources = spark.createDataFrame([(1, [5]), (2, [99]), (3, [7]), (4, [3])], "src_id bigint, tokens array<int>")
     got = {r.src_id: (r.state, r.ids) for r in decode_corpus(sources, scores, k=2, max_len=5).collect()}
     assert got == {1: ("finished", [5, 6]), 2: ("live", [99]), 3: ("live", [7, 8]), 4: ("finished", [])}
+
+
+@pytest.mark.parametrize("k,max_len", [(1, 4), (3, 6), (5, 12)])
+def test_sources_with_scores_of_their_own(spark, k, max_len):
+    rng = random.Random(k)
+    tables = {
+        i: {p: {n: round(-rng.random() * 3, 6) for n in rng.sample(range(3, 12), 6)} for p in range(2, 12) if p != 3}
+        for i in range(12)
+    }
+    rows = [(i, p, n, lp) for i, t in tables.items() for p, row in t.items() for n, lp in row.items()]
+    scores = spark.createDataFrame(rows, "src_id int, prev int, next int, logprob double")
+    sources = spark.createDataFrame([(i, [2, 5]) for i in tables], "src_id int, tokens array<int>")
+    found = H.decode_corpus(sources, scores, k, max_len)
+    got = {r.src_id: r.ids for r in found.collect()}
+    # the same first token, but scores of their own
+    assert got == {i: python_search([2, 5], t, k, max_len) for i, t in tables.items()}
+    assert len({tuple(v) for v in got.values()}) > 6
+    first = {(r.src_id, r.tokens[-1]) for r in H.beam_expand(sources.selectExpr("src_id", "0D AS log_prob", "tokens"), scores, k).collect()}
+    assert first == {(i, n) for i, t in tables.items() for n in sorted(t[5], key=lambda n: (-t[5][n], n))[:k]}
+
+
+def test_no_exchange_per_position(spark):
+    scores = spark.createDataFrame([(1, 5, 6, -0.5)], "src_id bigint, prev int, next int, logprob double")
+    sources = spark.createDataFrame([(1, [5])], "src_id bigint, tokens array<int>")
+    plans = [H.decode_corpus(sources, scores, 2, n)._jdf.queryExecution().executedPlan().toString() for n in (2, 64)]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange") <= 4
+
+
+def test_every_source_is_answered_by_its_own_scores(spark):
+    scores = spark.createDataFrame(
+        [(1, 5, 6, -0.5), (1, 6, 3, -0.1), (3, 7, 8, -0.2), (4, 3, 9, -0.1), (5, 5, 7, -0.5)], "src_id bigint, prev int, next int, logprob double"
+    )
+    sources = spark.createDataFrame([(1, [5]), (2, [5]), (3, [7]), (4, [3]), (5, [5])], "src_id bigint, tokens array<int>")
+    got = {r.src_id: (r.state, r.ids) for r in H.decode_corpus(sources, scores, k=2, max_len=5).collect()}
+    assert got == {1: ("finished", [5, 6]), 2: ("live", [5]), 3: ("live", [7, 8]), 4: ("finished", []), 5: ("live", [5, 7])}

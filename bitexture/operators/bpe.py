@@ -1,18 +1,22 @@
 """Byte-pair vocabulary training and encoding.
 
-Training reads the corpus once, for word counts; the merge loop then works on
-the table of distinct words. A word is a string of bracketed symbol codes,
-``<104><105>``, so a merge is one plain ``replace``: special tokens have the
-lowest codes, then characters by code point, then merged symbols in order.
+Training reads the corpus once, for word counts; after that it works on the
+table of distinct words. A word is an array of symbol codes: special tokens have
+the lowest codes, then characters by code point, then merged symbols in order.
 Codes thus grow with vocabulary ids, and ties between equally frequent pairs
 fall as they do in the usual trainer: smaller left id, then smaller right id.
+
+Merges are found one at a time, but many of them in one round over the words:
+see ``train_bpe``.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +28,20 @@ from bitexture.operators.tokens import (
     VOCAB_SIZE,
     decode_text,
     pretokenize,
+    symbol_pair_counts,
     vocab_rows,
     word_freq,
 )
-from bitexture.session import checkpointed
+from bitexture.session import discard, stored
 
 _CODE_POINTS = 0x110000
-_CANDIDATES = 256
-_ROUNDS_PER_CHECKPOINT = 8
+#: Most frequent pairs that a round considers.
+TOP_PAIRS = 4_096
+#: Stretches of words, and symbols in them, that the driver may hold in a round.
+MAX_STRETCHES = 200_000
+MAX_SYMBOLS = 2_000_000
+#: Merges that may be broadcast.
+MAX_MERGES = 2_000_000
 MIN_FREQUENCY = 2
 
 
@@ -45,40 +55,170 @@ class BpeModel:
     specials: tuple[str, ...]
 
 
-def _choose(pairs: list, known: set[str], text_of, room: int) -> list:
-    """Longest run of top pairs that one-merge-at-a-time training would take
-    next, in this order.
+class _Symbols:
+    """Codes, texts and ids of all symbols so far, and the merges."""
+
+    def __init__(self, specials: Sequence[str], alphabet: Sequence[int], vocab_size: int) -> None:
+        self.ids: dict[str, int] = {t: i for i, t in enumerate(specials)}
+        self.text_code, self.code_text = dict(self.ids), {i: t for t, i in self.ids.items()}
+        self.vocab_size = vocab_size
+        for c in alphabet:
+            char = chr(c - len(specials))
+            self.ids.setdefault(char, len(self.ids))
+            self.code_text[c], self.text_code[char] = char, c
+        self.merges: list[tuple[int, str, str, str]] = []
+        self._next = _CODE_POINTS + len(specials)
 
-    Merging a pair only creates pairs that hold its symbol, and none of these
-    can be more frequent than the pair it replaces, which shared a symbol with
-    the merged one. So the run may go on while pairs are disjoint and strictly
-    more frequent than the first pair that shares a symbol with the run. A pair
-    of two equal symbols, or one whose text is already a symbol, ends the run.
+    @property
+    def full(self) -> bool:
+        return len(self.ids) >= self.vocab_size
+
+    def merge(self, left: int, right: int) -> tuple[int, bool]:
+        """Code of the merged symbol, and whether it was there before."""
+        text = self.code_text[left] + self.code_text[right]
+        known = text in self.text_code
+        if not known:
+            self.text_code[text], self._next = self._next, self._next + 1
+        code = self.text_code[text]
+        self.code_text[code] = text
+        self.ids.setdefault(text, len(self.ids))
+        self.merges.append((len(self.merges), self.code_text[left], self.code_text[right], text))
+        return code, known
+
+
+def _replaced(codes: list[int], left: int, right: int, target: int) -> list[int]:
+    out, i, n = [], 0, len(codes)
+    while i < n:
+        if codes[i] == left and i + 1 < n and codes[i + 1] == right:
+            out.append(target)
+            i += 2
+        else:
+            out.append(codes[i])
+            i += 1
+    return out
+
+
+def certain_merges(
+    stretches: list[tuple[list[int], int]], beyond: tuple[int, int, int] | None, min_frequency: int, symbols: _Symbols
+) -> list[tuple[int, int, int]]:
+    """The next merges ``left, right, target``, as far as they are certain.
+
+    ``stretches`` are the longest pieces of words in which every adjacent pair
+    is one of the most frequent pairs of the corpus, with their frequency, and
+    ``beyond`` (``-n, left, right``) is the first pair that is not. A pair that
+    comes before it can only be made of symbols whose first ends were such
+    pairs as well: merging replaces pairs by pairs that are no more frequent.
+    So its count is the one within the stretches, and the merges are those of
+    training one at a time until the best pair comes after ``beyond``. A merge
+    whose text is a symbol already may make other pairs more frequent; it is the
+    last of its round.
+
+    An index from pairs to stretches keeps the work to those that change.
     """
-    blocked_at = None
-    used: set[int] = set()
-    for p in pairs:
-        if p.left in used or p.right in used:
-            blocked_at = p.n
+    words = [codes for codes, _ in stretches]
+    weights = [n for _, n in stretches]
+    counts: dict[tuple[int, int], int] = {}
+    where: dict[tuple[int, int], set[int]] = {}
+    for i, codes in enumerate(words):
+        for pair in zip(codes, codes[1:]):
+            counts[pair] = counts.get(pair, 0) + weights[i]
+            where.setdefault(pair, set()).add(i)
+    heap = [(-n, *pair) for pair, n in counts.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[int, int, int]] = []
+    while heap and not symbols.full:
+        top = heapq.heappop(heap)
+        pair = top[1:]
+        if counts.get(pair) != -top[0]:
+            continue  # counted anew meanwhile
+        if -top[0] < max(min_frequency, 1) or (beyond is not None and top > beyond):
             break
-        used.update((p.left, p.right))
-    if blocked_at is None and len(pairs) == _CANDIDATES:
-        blocked_at = pairs[-1].n
-    run, seen = [], set()
-    used = set()
-    for p in pairs:
-        if run and ((blocked_at is not None and p.n <= blocked_at) or p.left in used or p.right in used):
+        target, known = symbols.merge(*pair)
+        merges.append((*pair, target))
+        if known:
             break
-        text = text_of(p.left) + text_of(p.right)
-        clash = text in known or text in seen
-        run.append((p.left, p.right, text))
-        used.update((p.left, p.right))
-        if not clash:
-            seen.add(text)
-            room -= 1
-        if clash or p.left == p.right or room <= 0:
-            break
-    return run
+        changed: dict[tuple[int, int], int] = {}
+        for i in where.pop(pair):
+            before, n = words[i], weights[i]
+            after = _replaced(before, *pair, target)
+            if len(after) == len(before):
+                continue  # was merged into others since
+            words[i] = after
+            for p in zip(before, before[1:]):
+                changed[p] = changed.get(p, 0) - n
+            for p in zip(after, after[1:]):
+                changed[p] = changed.get(p, 0) + n
+                where.setdefault(p, set()).add(i)
+        for p, delta in changed.items():
+            if delta:
+                counts[p] = counts.get(p, 0) + delta
+                if counts[p] > 0:
+                    heapq.heappush(heap, (-counts[p], *p))
+    return merges
+
+
+def _pair_keys(batch: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All codes of a batch, where its words begin and end, and for every code
+    but the last one number for it and the next (-1 across words)."""
+    sizes = batch.value_lengths().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    keys = flat[:-1] << 32 | flat[1:]
+    inner = ends[1:-1]
+    keys[inner[(inner > 0) & (inner < len(flat))] - 1] = -1
+    return flat, ends, keys
+
+
+def _stretches(words: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """``codes, n``: the distinct longest pieces of words that have adjacent
+    pairs of ``pairs`` only, two symbols or more, with their frequency."""
+    wanted = np.sort(np.array([left << 32 | right for left, right in pairs], np.int64))
+
+    def cut(batch: pa.Array) -> pa.Array:
+        flat, ends, keys = _pair_keys(batch)
+        inside = np.isin(keys, wanted)
+        # a piece begins at a code whose pair with the one before isn't wanted
+        linked = np.concatenate([[False], inside])[: len(flat)]
+        starts = np.flatnonzero(~linked)
+        sizes = np.diff(np.append(starts, len(flat)))
+        long = np.flatnonzero(sizes > 1)
+        pieces = pa.ListArray.from_arrays(
+            pa.array(np.append(starts, len(flat)).astype(np.int32)), pa.array(flat.astype(np.int32))
+        ).take(pa.array(long))
+        rows = np.searchsorted(starts[long], ends)
+        return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pieces)
+
+    each = F.arrow_udf(cut, T.ArrayType(T.ArrayType(T.IntegerType())))("codes")
+    return words.select(F.explode(each).alias("codes"), "n").groupBy("codes").agg(F.sum("n").alias("n"))
+
+
+def _merged(words: DataFrame, merges: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """The words after ``merges`` in this order; words of one symbol go."""
+    ranks = {(left, right): (i, target) for i, (left, right, target) in enumerate(merges)}
+    wanted = np.sort(np.array([left << 32 | right for left, right in ranks], np.int64))
+
+    def apply(batch: pa.Array) -> pa.Array:
+        flat, ends, keys = _pair_keys(batch)
+        hits = np.flatnonzero(np.isin(keys, wanted))
+        rows = np.unique(np.searchsorted(ends, hits, side="right") - 1)
+        parts, at = [], 0
+        offsets = np.diff(ends)
+        for row in rows:
+            codes, last = flat[ends[row] : ends[row + 1]].tolist(), -1
+            while True:
+                later = [r for p in zip(codes, codes[1:]) if (r := ranks.get(p)) is not None and r[0] > last]
+                if not later:
+                    break
+                last, target = min(later)
+                codes = _replaced(codes, *merges[last][:2], target)
+            parts += [flat[at : ends[row]], np.array(codes, np.int64)]
+            offsets[row], at = len(codes), ends[row + 1]
+        parts.append(flat[at:])
+        values = np.concatenate(parts).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(offsets)]).astype(np.int32)), pa.array(values))
+
+    new = F.arrow_udf(apply, T.ArrayType(T.IntegerType()))("codes")
+    return words.select("n", new.alias("codes")).where(F.size("codes") > 1)
 
 
 def train_bpe(
@@ -93,76 +233,60 @@ def train_bpe(
     ``min_frequency``. Special tokens come first, then characters in code point
     order, then merged symbols.
 
-    The driver sees at most 256 candidate pairs per round, and the vocabulary.
-    Several merges are applied in one round only where their order is certain.
+    A round counts the pairs of all words and takes the ``TOP_PAIRS`` most
+    frequent ones. The pieces of words that are made of such pairs, counted by
+    distinct piece, are all it takes to know the next merges exactly, down to
+    the first pair that is not among them (``certain_merges``), often thousands.
+    They are then applied to the words where they are. The driver sees the top
+    pairs, the vocabulary, and at most ``MAX_STRETCHES`` pieces with
+    ``MAX_SYMBOLS`` symbols: while there are more, the round takes fewer pairs,
+    down to one, whose pieces are not needed. Words are written once a round.
     """
     spark = texts.sparkSession
     shift = len(specials)  # codes below are those of the special tokens
-    points = F.transform(F.split("token", ""), lambda ch: F.ascii(ch) + shift)
-    code = F.concat(F.lit("<"), F.array_join(points, "><"), F.lit(">"))
+    codes = F.transform(F.split("token", ""), lambda ch: F.ascii(ch) + shift)
     # the loop computes on few rows with much work each: keep all cores busy
-    words = word_freq(texts, column).select("n", code.alias("word"))
-    words = checkpointed(words.repartition(spark.sparkContext.defaultParallelism))
+    words = word_freq(texts, column).select("n", codes.alias("codes"))
+    words = stored(words.repartition(spark.sparkContext.defaultParallelism), "words")
     # distinct characters: bounded by the number of code points
-    alphabet = [
-        r.c
-        for r in words.select(F.explode(_codes("word")).alias("c")).distinct().orderBy("c").collect()
-    ]
-    ids: dict[str, int] = {t: i for i, t in enumerate(specials)}
-    code_text: dict[int, str] = {}
-    text_code = dict(ids)
-    for c in alphabet:
-        char = chr(c - shift)
-        ids.setdefault(char, len(ids))
-        code_text[c], text_code[char] = char, c
-
-    merges: list[tuple[int, str, str, str]] = []
-    next_code, rounds = _CODE_POINTS + shift, 0
-    while len(ids) < vocab_size:
+    alphabet = sorted(r.c for r in words.select(F.explode("codes").alias("c")).distinct().collect())
+    symbols = _Symbols(specials, alphabet, vocab_size)
+    while not symbols.full:
+        # the last one only says where certainty ends
         top = (
-            _coded_pairs(words)
+            symbol_pair_counts(words.withColumnRenamed("codes", "symbols"))
             .where(F.col("n") >= max(min_frequency, 1))
             .orderBy(F.desc("n"), "left", "right")
-            .limit(_CANDIDATES)
+            .limit(TOP_PAIRS + 1)
             .collect()
         )
         if not top:
             break
-        expr = F.col("word")
-        for left, right, text in _choose(top, set(ids), code_text.__getitem__, vocab_size - len(ids)):
-            if text in text_code:
-                target = text_code[text]
-            else:
-                target, next_code = next_code, next_code + 1
-                text_code[text] = target
-            code_text[target] = text
-            ids.setdefault(text, len(ids))
-            merges.append((len(merges), code_text[left], code_text[right], text))
-            expr = F.replace(expr, F.lit(f"<{left}><{right}>"), F.lit(f"<{target}>"))
-        # a word that is one symbol has no pairs left
-        words = words.select("n", expr.alias("word")).where(F.col("word").contains("><"))
-        rounds += 1
-        if rounds % _ROUNDS_PER_CHECKPOINT == 0:
-            words = checkpointed(words)
-    vocab = spark.createDataFrame(sorted(ids.items(), key=lambda kv: kv[1]), "token string, id int")
-    table = spark.createDataFrame(merges, "rank int, left string, right string, merged string")
+        take = min(TOP_PAIRS, len(top))
+        while True:
+            beyond = (-top[take].n, top[take].left, top[take].right) if take < len(top) else None
+            pairs = [(r.left, r.right) for r in top[:take]]
+            if take == 1:
+                pieces = [(list(pairs[0]), top[0].n)]
+                break
+            found = stored(_stretches(words, pairs), "stretches")
+            rows, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()
+            small = rows <= MAX_STRETCHES and size <= MAX_SYMBOLS
+            pieces = [(r.codes, r.n) for r in found.collect()] if small else []
+            discard(found)
+            if small:
+                break
+            take = max(1, take // 4)
+        merges = certain_merges(pieces, beyond, min_frequency, symbols)
+        after = stored(_merged(words, merges), "words")
+        discard(words)
+        words = after
+    discard(words)
+    vocab = spark.createDataFrame(sorted(symbols.ids.items(), key=lambda kv: kv[1]), "token string, id int")
+    table = spark.createDataFrame(symbols.merges, "rank int, left string, right string, merged string")
     return BpeModel(vocab, table, tuple(specials))
 
 
-def _codes(word: str) -> Column:
-    return F.regexp_extract_all(word, F.lit("[0-9]+"), F.lit(0)).cast("array<int>")
-
-
-def _coded_pairs(words: DataFrame) -> DataFrame:
-    """``left, right, n``: adjacent codes weighted by word frequency. The
-    look-ahead finds overlapping pairs; they are counted as text and parsed
-    once per distinct pair."""
-    pair = F.regexp_extract_all("word", F.lit("(?=<([0-9]+><[0-9]+)>)"), F.lit(1))
-    counts = words.select("n", F.explode(pair).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
-    ends = F.split("pair", "><")
-    return counts.select(ends[0].cast("int").alias("left"), ends[1].cast("int").alias("right"), "n")
-
-
 def bpe_ids(words: Column, model: BpeModel, unk: str = "[UNK]") -> Column:
     """Array of words to array of ids, as a Column.
 
@@ -170,15 +294,13 @@ def bpe_ids(words: Column, model: BpeModel, unk: str = "[UNK]") -> Column:
     word of an Arrow batch is encoded once. No shuffle, whatever words repeat.
     """
     ids = dict(zip(*vocab_rows(model.vocab)))
-    # there are fewer merges than vocabulary entries and texts that clash
-    ranks = {(r.left, r.right): r["rank"] for r in model.merges.collect()}
+    ranks = {(r.left, r.right): r["rank"] for r in model.merges.limit(MAX_MERGES + 1).collect()}
+    if len(ranks) > MAX_MERGES:
+        raise ValueError("too many merges to broadcast")
     specials = frozenset(model.specials)
     shared = model.vocab.sparkSession.sparkContext.broadcast((ids, ranks, ids[unk], specials))
 
     def encode(batch: pa.Array) -> pa.Array:
-        import heapq
-
-        import numpy as np
         import pyarrow as arrow
         import pyarrow.compute as pc
 

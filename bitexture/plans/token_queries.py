@@ -313,20 +313,21 @@ def decode_each(spark, sf):
     return out.select("src_id", "score", "state", _text("ids").alias("ids"))
 
 
-def _small_model(spark, sf):
-    return B.train_bpe(I.doc_lines(spark, sf), "line", vocab_size=160)
+def _model(spark, sf):
+    """A vocabulary of the default size."""
+    return B.train_bpe(I.doc_lines(spark, sf), "line")
 
 
 @query()
 def train_bpe(spark, sf):
-    """Merges of a small vocabulary over all lines."""
-    return _small_model(spark, sf).merges
+    """Merges of the vocabulary of all lines."""
+    return _model(spark, sf).merges
 
 
 @query()
 def bpe_encode(spark, sf):
     """All lines encoded with a vocabulary trained on them, and decoded."""
-    model = _small_model(spark, sf)
+    model = _model(spark, sf)
     ids = B.bpe_encode(I.doc_lines(spark, sf).select("line_no", "line"), model, "line").drop("line")
     out = B.bpe_decode(ids.withColumn("id_text", _text("ids")), model)
     return out.select("line_no", F.col("id_text").alias("ids"), "text")
@@ -336,7 +337,7 @@ def bpe_encode(spark, sf):
 def encode_dataset(spark, sf):
     """Tagged pairs as fixed-length id arrays."""
     pairs = I.line_pairs(spark, sf).select("line_no", "src", "tgt")
-    out = B.encode_dataset(pairs, _small_model(spark, sf))
+    out = B.encode_dataset(pairs, _model(spark, sf))
     return out.select("line_no", _text("src_ids").alias("src_ids"), _text("tgt_ids").alias("tgt_ids"))
 
 

@@ -83,6 +83,27 @@ def test_larger_vocabularies_agree(spark, tmp_path):
         assert {r.token: r.id for r in model.vocab.collect()} == library(texts, size, tmp_path).get_vocab()
 
 
+@pytest.mark.parametrize("top,stretches", [(1, 10), (3, 10**6), (40, 25), (4_096, 10**6)])
+def test_any_number_of_pairs_per_round_gives_the_same_merges(spark, tmp_path, monkeypatch, top, stretches):
+    """Few pairs a round, or more pieces of words than the driver may hold."""
+    monkeypatch.setattr(B, "TOP_PAIRS", top)
+    monkeypatch.setattr(B, "MAX_STRETCHES", stretches)
+    texts = corpus(40, seed=3) + ["aaaa aaaaaaa baaaab abababa", "aaa", "abcabcabc bcbc cabab"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    size = 75
+    model = B.train_bpe(df, vocab_size=size)
+    assert {r.token: r.id for r in model.vocab.collect()} == library(texts, size, tmp_path).get_vocab()
+
+
+def test_a_merge_with_a_known_text_ends_the_round():
+    symbols = B._Symbols([], [ord(c) for c in "abc"], 100)
+    a, b, c = (ord(x) for x in "abc")
+    # ab + c and a + bc are one symbol
+    merges = B.certain_merges([([a, b, c], 5), ([b, c], 6), ([a, b], 7), ([a, b, c], 9)], None, 1, symbols)
+    assert len(merges) == len(symbols.merges) > 1
+    assert all(symbols.code_text[t] == symbols.code_text[x] + symbols.code_text[y] for x, y, t in merges)
+
+
 def test_tokenizer_round_trip(spark, trained, tmp_path):
     _, df, model, tok = trained
     write_tokenizer(model, f"{tmp_path}/tok", 2, "corpus.txt")

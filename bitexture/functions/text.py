@@ -201,12 +201,18 @@ def placeholder_if_empty(c: Column, text: str = NO_TRANSLATION) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", F.lit(text)).otherwise(c)
 
 
+_WIDE = r"\x{10000}-\x{10FFFF}"
+
+
 def char_count(c: Column) -> Column:
-    return F.length(c).cast("bigint")
+    """Length in UTF-16 units, as a page counts its input: a sign beyond the
+    basic plane counts twice."""
+    wide = F.when(c.rlike(f"[{_WIDE}]"), F.length(F.regexp_replace(c, f"[^{_WIDE}]", ""))).otherwise(0)
+    return (F.length(c) + wide).cast("bigint")
 
 
 def over_limit(c: Column, limit: int = CHAR_LIMIT) -> Column:
-    return F.length(c) > limit
+    return char_count(c) > limit
 
 
 def epoch_from_name(c: Column, prefix: str = "transformer_ep", suffix: str = ".pt") -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,9 +30,13 @@ def valid() -> Column:
     return P.is_valid_pair(F.col("src"), F.col("tgt"))
 
 
-def valid_raw() -> Column:
-    """Validity of a raw pair, that is of its cleaned form."""
-    return P.is_valid_pair(X.preprocess_text(F.col("src")), X.preprocess_text(F.col("tgt")))
+def stripped_pairs(df: DataFrame) -> DataFrame:
+    """Both sides without outer white space, otherwise as they are."""
+    return df.withColumns({c: X.strip_unicode(F.coalesce(c, F.lit(""))) for c in ("src", "tgt")})
+
+
+def non_empty() -> Column:
+    return P.non_empty_pair(F.col("src"), F.col("tgt"))
 
 
 def valid_pairs(df: DataFrame) -> DataFrame:
@@ -39,50 +44,89 @@ def valid_pairs(df: DataFrame) -> DataFrame:
     return clean_pairs(df.where(P.maybe_valid_pair(F.col("src"), F.col("tgt")))).where(valid())
 
 
-def _up_to_cap(df: DataFrame, cap: int) -> DataFrame:
-    """Rows read until the cap-th valid pair of their language, cleaned."""
-    if cap <= 0:
-        return df.where(F.lit(False))
-    base = df.select("lang", "line_no", "src", "tgt")
-    reach = cap + cap // 4
-    while True:
-        # raw rows up to rank ``reach`` of each language; counting them cleans
-        # nothing, and only they are cleaned to find the cap-th valid pair
-        limits = _stops(base.select("lang", "line_no"), reach, None, "limit")
-        stops = _stops(_read_until(base, limits, "limit"), cap, valid_raw(), "stop")
-        # languages that go on behind their limit without a cap so far
-        if limits.join(stops, "lang", "left_anti").isEmpty():
-            return clean_pairs(_read_until(df, stops, "stop"))
-        reach *= 4
-
+#: Languages of one table; each has limits of its own in the filters.
+MAX_LANGUAGES = 1_000
+_GROWTH = 4
+_NO_LANGUAGE = "\0"
 
-def _stops(rows: DataFrame, rank: int, where: Column | None, name: str) -> DataFrame:
-    """``lang, name``: the line of that rank; one row per language that has it."""
-    cuts = rank_cuts(rows, ["lang"], ["line_no"], integer_levels("line_no"), F.array(F.lit(rank)), where)
-    return stored(cuts.select("lang", F.col("cut.line_no").alias(name)), name)
 
+def _lines_between(spans: dict[str | None, tuple[int, int]]) -> Column:
+    """Rows whose line is behind the first and up to the second number of its
+    language: plain comparisons, which file statistics can answer."""
+    out = F.lit(False)
+    for lang, (after, upto) in spans.items():
+        here = F.col("lang").isNull() if lang is None else F.col("lang") == lang
+        out = out | (here & (F.col("line_no") > after) & (F.col("line_no") <= upto))
+    return out
 
-def _read_until(df: DataFrame, stops: DataFrame, name: str) -> DataFrame:
-    read = F.col(name).isNull() | (F.col("line_no") <= F.col(name))
-    return df.join(F.broadcast(stops), "lang", "left").where(read).select(*df.columns)
 
+def _up_to_cap(df: DataFrame, cap: int, clean: Callable[[DataFrame], DataFrame], keep: Column) -> DataFrame:
+    """Rows read until the cap-th kept one of their language, cleaned, with
+    ``__ok`` where they are kept.
 
-def cap_per_language(df: DataFrame, cap: int) -> DataFrame:
+    One pass over languages and line numbers says how dense the lines of each
+    language are. Then a prefix of each language is read and cleaned that should
+    hold the cap; where it doesn't, the lines behind it follow, four times as
+    many. No row is cleaned twice, the limits are literals that reach the scan,
+    and what lies behind the cap is not read.
+    """
+    base = df.where(F.col("line_no").isNotNull())
+    found = base.groupBy("lang").agg(F.count(F.lit(1)), F.min("line_no"), F.max("line_no")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    nothing = clean(base.where(F.lit(False))).withColumn("__ok", keep)
+    if cap <= 0 or not found:
+        return nothing
+    last, spans, kept = {}, {}, {}
+    for lang, n, low, high in found:
+        reach = min(1.0, 1.5 * cap / n)
+        last[lang], kept[lang] = high, 0
+        spans[lang] = (low - 1, high if reach == 1 else low + int((high - low) * reach))
+    first = {lang: after for lang, (after, _) in spans.items()}
+    parts = []
+    while spans:
+        part = stored(clean(base.where(_lines_between(spans))).withColumn("__ok", keep), "prefix")
+        parts.append(part)
+        for lang, n in part.where("__ok").groupBy("lang").count().collect():  # one row per language
+            kept[lang] += n
+        spans = {
+            lang: (upto, min(last[lang], upto + _GROWTH * (upto - first[lang])))
+            for lang, (_, upto) in spans.items()
+            if kept[lang] < cap and upto < last[lang]
+        }
+    prefix = union_languages(*parts)
+    full = [lang for lang, n in kept.items() if n >= cap]
+    if not full:
+        return prefix
+    named = prefix.where("__ok").select(F.coalesce("lang", F.lit(_NO_LANGUAGE)).alias("lang"), "line_no")
+    cuts = rank_cuts(named, ["lang"], ["line_no"], integer_levels("line_no"), F.array(F.lit(cap)))
+    # one row per language
+    stops = {None if r.lang == _NO_LANGUAGE else r.lang: r.cut.line_no for r in cuts.collect()}
+    return prefix.where(_lines_between({lang: (first[lang], stops.get(lang, last[lang])) for lang in first}))
+
+
+def cap_per_language(
+    df: DataFrame, cap: int, clean: Callable[[DataFrame], DataFrame] = clean_pairs, keep: Column | None = None
+) -> DataFrame:
     """The first ``cap`` valid pairs of each language in line order, cleaned.
 
-    The cap is turned into a last line number per language, so pairs are
-    filtered, never sorted or shuffled. ``line_no`` must be unique per
-    language.
+    The caller's own ``clean`` (which must keep ``lang`` and ``line_no``) and
+    ``keep``, a condition on its result, may replace cleaning and validity:
+    ``clean=stripped_pairs, keep=non_empty()`` keeps all that is not empty. The
+    cap is turned into a last line number per language, so pairs are filtered,
+    never sorted or shuffled. ``line_no`` must be unique per language; rows
+    without one are left out.
     """
-    return _up_to_cap(df, cap).where(valid())
+    return _up_to_cap(df, cap, clean, valid() if keep is None else keep).where("__ok").drop("__ok")
 
 
-def load_stats(df: DataFrame, cap: int) -> DataFrame:
+def load_stats(
+    df: DataFrame, cap: int, clean: Callable[[DataFrame], DataFrame] = clean_pairs, keep: Column | None = None
+) -> DataFrame:
     """``lang, raw, valid, skipped`` over the rows read until the cap stopped
     the load; later rows are not counted."""
     return (
-        _up_to_cap(df, cap)
-        .select("lang", valid().alias("__ok"))
+        _up_to_cap(df, cap, clean, valid() if keep is None else keep)
         .groupBy("lang")
         .agg(
             F.count(F.lit(1)).alias("raw"),

@@ -7,10 +7,14 @@ losses are large: their running sums go through ``running_sums``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bitexture.functions.arrays import PAD_ID
 from bitexture.functions.scores import smoothed_nll
@@ -19,6 +23,9 @@ from bitexture.operators.ranks import integer_levels, running_sums
 PATIENCE = 5
 LOG_EVERY = 500
 AVERAGED = 5
+#: Values of a block, and blocks whose sums a task holds at a time.
+BLOCK_VALUES = 4_096
+_HELD_BLOCKS = 1_024
 
 
 def masked_token_loss(tokens: DataFrame, keys: Sequence[str], pad: int = PAD_ID, smoothing: float = 0.0) -> DataFrame:
@@ -115,19 +122,85 @@ def running_step(runs: DataFrame, batches: str = "n_batches") -> DataFrame:
     return runs.withColumn("step_num", F.sum(batches).over(w))
 
 
-def average_vectors(params: DataFrame, keys: Sequence[str] = ("name",)) -> DataFrame:
-    """Element-wise mean of equally named arrays across checkpoints. Values
-    are summed per position before the shuffle, so a name shared by many
-    checkpoints costs one partial row per position and task."""
+def _block_sums(key_kinds: list[pa.DataType], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of the blocks that a task sees, by keys and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = [pa.array([k[i] for k in sums], kind) for i, kind in enumerate(key_kinds)]
+            rows = list(sums.values())
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())]
+            columns.append(pa.array([r[2] for r in rows], pa.list_(pa.float64())))
+            return pa.RecordBatch.from_arrays([*keys, *columns], names=names)
+
+        for batch in batches:
+            keys = list(zip(*[c.to_pylist() for c in batch.columns[:-3]]))
+            sizes, counts, values = batch.columns[-3:]
+            for key, size, n, block in zip(keys, sizes.to_pylist(), counts.to_pylist(), values):
+                held = block.values
+                if held.null_count:
+                    raise ValueError(f"a NULL among the values of {key}")
+                x = held.to_numpy(zero_copy_only=False)
+                seen = sums.get(key)
+                if seen is None:
+                    sums[key] = [size, n, x.astype(np.float64)]
+                elif seen[0] != size:
+                    raise ValueError(f"arrays of {seen[0]} and {size} values under {key}")
+                else:
+                    seen[1] += n
+                    seen[2] += x
+                if len(sums) >= _HELD_BLOCKS:
+                    yield out()
+                    sums = {}
+        if sums:
+            yield out()
+
+    return run
+
+
+def average_blocks(params: DataFrame, keys: Sequence[str] = ("name",)) -> DataFrame:
+    """``keys, block, values``: element-wise mean of equally named arrays across
+    checkpoints, in blocks of ``BLOCK_VALUES`` values.
+
+    Arrays are cut into blocks, never into single values. Blocks are summed
+    inside the tasks first, so a name that many checkpoints share costs one row
+    per block and task, and then per block. Arrays of unequal length under one
+    name, and NULLs in them, are refused; NULL arrays don't count.
+    """
     keys = list(keys)
-    return (
-        params.select(*keys, F.posexplode("values").alias("pos", "v"))
-        .groupBy(*keys, "pos")
-        .agg(F.avg(F.col("v").cast("double")).alias("v"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("__a"))
-        .select(*keys, F.transform("__a", lambda x: x["v"]).alias("values"))
+    place = [*keys, "block"]
+    blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("values") / BLOCK_VALUES).cast("int") - 1, F.lit(0)))
+    cut = params.where(F.col("values").isNotNull()).select(
+        *keys, F.col("values").cast("array<double>").alias("values"), F.explode(blocks).alias("block")
     )
+    each = cut.select(
+        *place,
+        F.size("values").cast("bigint").alias("__size"),
+        F.lit(1).cast("bigint").alias("__n"),
+        F.slice("values", F.col("block") * BLOCK_VALUES + 1, F.lit(BLOCK_VALUES)).alias("__sum"),
+    )
+    names = each.columns
+    kinds = [to_arrow_type(each.schema[c].dataType) for c in place]
+    sums = _block_sums(kinds, names)
+
+    def total(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sums(group):
+            n, values = batch.column(len(place) + 1)[0].as_py(), batch.column(len(place) + 2)[0].values.to_numpy()
+            columns = [*batch.columns[: len(place)], pa.array([values / n], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*place, "values"])
+
+    out = T.StructType([each.schema[c] for c in place]).add("values", T.ArrayType(T.DoubleType()))
+    return each.mapInArrow(sums, each.schema).groupBy(*place).applyInArrow(total, out)
+
+
+def average_vectors(params: DataFrame, keys: Sequence[str] = ("name",)) -> DataFrame:
+    """``keys, values``: the blocks of ``average_blocks`` put together, for
+    export. A whole array is one row here."""
+    keys = list(keys)
+    blocks = average_blocks(params, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", "values"))).alias("__b"))
+    return blocks.select(*keys, F.flatten(F.transform("__b", lambda b: b["values"])).alias("values"))
 
 
 def param_count(params: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

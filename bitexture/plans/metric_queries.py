@@ -57,7 +57,10 @@ def _with_counts(body):
     return q("SELECT @", "hypotheses").replace("SELECT @", f", {_SQL_COUNTS} {body}")
 
 
-@query(_with_counts(f"SELECT *, round({_SCORE}, 6) AS bleu FROM (SELECT {_SUMS} FROM stats)"))
+SQL_CORPUS_BLEU = _with_counts(f"SELECT *, round({_SCORE}, 6) AS bleu FROM (SELECT {_SUMS} FROM stats)")
+
+
+@query(SQL_CORPUS_BLEU)
 def corpus_bleu(spark, sf):
     out = B.corpus_bleu(I.hypotheses(spark, sf), "none")
     return out.withColumn("bleu", F.round("bleu", 6))
@@ -93,12 +96,13 @@ def _scored(spark, sf):
     return B.sentence_bleu(I.hypotheses(spark, sf), "none").withColumn("score", F.round("score", 6))
 
 
-@query(
-    _with_counts(
-        f"""SELECT 'best' AS side, * FROM (SELECT id, round({_SCORE}, 6) AS score FROM stats ORDER BY 2 DESC, 1 LIMIT 5)
-            UNION ALL SELECT 'worst', * FROM (SELECT id, round({_SCORE}, 6) AS score FROM stats ORDER BY 2, 1 LIMIT 5)"""
-    )
+SQL_BEST_AND_WORST = _with_counts(
+    f"""SELECT 'best' AS side, * FROM (SELECT id, round({_SCORE}, 6) AS score FROM stats ORDER BY 2 DESC, 1 LIMIT 5)
+        UNION ALL SELECT 'worst', * FROM (SELECT id, round({_SCORE}, 6) AS score FROM stats ORDER BY 2, 1 LIMIT 5)"""
 )
+
+
+@query(SQL_BEST_AND_WORST)
 def best_and_worst(spark, sf):
     # read twice, scored once
     scored = checkpointed(_scored(spark, sf).select("id", "score"))

@@ -174,9 +174,14 @@ def placeholder_if_empty(spark, sf):
     return I.requests(spark, sf).select("req_id", X.placeholder_if_empty(t).alias("text"))
 
 
-@query("SELECT conv_id, turn, length(text) AS n_chars, length(text) > 500 AS over_limit FROM conversations")
+@query(
+    r"""SELECT conv_id, turn, n AS n_chars, n > 500 AS over_limit FROM (
+          SELECT conv_id, turn, length(t) + length(regexp_replace(t, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS n FROM (
+            SELECT *, CASE WHEN conv_id % 3 = 0 THEN replace(text, 'e', chr(128512)) ELSE text END AS t FROM conversations))"""
+)
 def char_limit(spark, sf):
-    t = F.col("text")
+    """Lengths as the page counts them; every third text has wide signs."""
+    t = F.when(F.col("conv_id") % 3 == 0, F.replace("text", F.lit("e"), F.lit("\U0001f600"))).otherwise(F.col("text"))
     return I.table(spark, sf, "conversations").select(
         "conv_id", "turn", X.char_count(t).alias("n_chars"), X.over_limit(t).alias("over_limit")
     )

@@ -453,3 +453,21 @@ def encode_dataset_given(spark, sf):
     pairs = I.line_pairs(spark, sf).select("line_no", "src", "tgt")
     out = B.encode_dataset(pairs, _given_model(spark))
     return out.select("line_no", _text("src_ids").alias("src_ids"), _text("tgt_ids").alias("tgt_ids"))
+
+
+@query(
+    q("SELECT @", "word_freq", "line_tokens").replace(
+        "SELECT @",
+        f""", {_sql_word_ids('word_freq')}, opened AS (SELECT line_no, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM line_tokens),
+        encoded AS (SELECT line_no, flatten(list(ids ORDER BY pos)) AS ids FROM opened JOIN word_ids USING (token) GROUP BY 1),
+        named AS (SELECT line_no, string_agg(symbol, ' ' ORDER BY k) AS text FROM (
+          SELECT line_no, unnest(ids) AS id, generate_subscripts(ids, 1) AS k FROM encoded) JOIN given USING (id)
+          WHERE id >= {len(K.SPECIAL_TOKENS)} GROUP BY 1)
+        SELECT line_no, coalesce(text, '') AS text FROM line_tokens LEFT JOIN named USING (line_no)""",
+    )
+)
+def tokenizer_round_trip(spark, sf):
+    """All lines encoded and decoded by a tokenizer with a given model."""
+    tokenizer = B.Tokenizer(_given_model(spark))
+    lines = I.doc_lines(spark, sf).select("line_no", "line")
+    return tokenizer.decode(tokenizer.encode(lines, "line")).select("line_no", "text")

@@ -4,6 +4,7 @@ read, only path and length."""
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +19,27 @@ def _list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     found = [p for p in paths if path_exists(spark, p)]
     if not found:
         return spark.createDataFrame([], _FILES)
-    return spark.read.format("binaryFile").load(found).select("path", "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(found)
+    return files.select("path", "length")
 
 
 def input_manifest(spark: SparkSession, required: Mapping[str, str]) -> DataFrame:
-    """``name, path, present, mb`` for each required file. The list comes from
-    the caller's code."""
-    files = _list_files(spark, list(required.values()))
-    wanted = spark.createDataFrame(list(required.items()), "name string, path string")
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    sizes = files.select(plain.alias("path"), "length")
-    return wanted.withColumn("__key", plain).join(
-        sizes.withColumnRenamed("path", "__key"), "__key", "left"
-    ).select(
-        "name",
-        "path",
-        F.col("length").isNotNull().alias("present"),
-        F.round(F.col("length") / 1e6, 1).alias("mb"),
-    )
+    """``name, path, present, mb`` for each required file; for a folder, of all
+    files below it. The list comes from the caller's code and is short."""
+
+    def entry(name: str, path: str) -> DataFrame:
+        sizes = _list_files(spark, [path]).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"))
+        return sizes.select(
+            F.lit(name).alias("name"),
+            F.lit(path).alias("path"),
+            (F.col("n") > 0).alias("present"),
+            F.round(F.col("length") / 1e6, 1).alias("mb"),
+        )
+
+    entries = [entry(name, path) for name, path in required.items()]
+    if not entries:
+        return spark.createDataFrame([], "name string, path string, present boolean, mb double")
+    return reduce(DataFrame.unionAll, entries)
 
 
 def all_present(manifest: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from bitexture.operators.corpus import tagged_line
 from bitexture.operators.lookup import zip_lines
 from bitexture.operators.ranks import shuffle_key
 from bitexture.operators.shuffle import RATIOS, SPLITS, split_exact
-from bitexture.sources.paths import path_exists, path_size
+from bitexture.sources.paths import path_exists
 
-# A broadcast list of file blocks stays below this many rows.
-MAX_BLOCKS = 100_000
+# File blocks of one input; their list, of some 30 bytes each, goes to all tasks.
+MAX_BLOCKS = 8_000_000
 
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -22,39 +22,33 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     ``path`` in name order.
 
     Lines are numbered inside each file block as they are read; the blocks'
-    line counts, a small table, give every block its first number. Lines
-    themselves are neither sorted nor shuffled.
+    line counts give every block its first number. One row per block is sent to
+    the tasks, about one byte for every four million read, whatever the
+    input's size; lines themselves are neither sorted nor shuffled. An input of
+    more than ``MAX_BLOCKS`` blocks (a petabyte in usual ones) is refused.
     """
     lines = spark.read.text(path).select(
+        F.xxhash64("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_path").alias("__path"),
         F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__id"),
         "value",
     )
-    blocks = lines.groupBy("__path", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
-    earlier = Window.orderBy("__path", "__start").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        "__path", "__start", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base")
+    blocks = lines.groupBy("__file", "__start").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"), F.min("__path").alias("__path"), F.max("__path").alias("__other")
     )
-    if _block_bound(spark, path) <= MAX_BLOCKS:
-        blocks = F.broadcast(blocks)
+    earlier = Window.orderBy("__path", "__start").rowsBetween(Window.unboundedPreceding, -1)
+    lost = F.when(F.col("__path") != F.col("__other"), F.raise_error(F.lit("two files share a hash")))
+    many = F.when(F.count(F.lit(1)).over(earlier) >= MAX_BLOCKS, F.raise_error(F.lit(f"more than {MAX_BLOCKS} file blocks")))
+    before = F.coalesce(lost.cast("bigint"), many.cast("bigint"), F.sum("__n").over(earlier), F.lit(0))
+    blocks = blocks.select("__file", "__start", (before - F.col("__first")).alias("__shift"))
     # a block that was cut differently in the two reads must not pass silently
-    base = F.coalesce("__base", F.raise_error(F.lit("file blocks changed between reads")).cast("bigint"))
-    return lines.join(blocks, ["__path", "__start"], "left").select(
-        (base + F.col("__id") - F.col("__first")).alias("line_no"), "value"
+    shift = F.coalesce("__shift", F.raise_error(F.lit("file blocks changed between reads")).cast("bigint"))
+    return lines.join(F.broadcast(blocks), ["__file", "__start"], "left").select(
+        (shift + F.col("__id")).alias("line_no"), "value"
     )
 
 
-def _block_bound(spark: SparkSession, path: str) -> int:
-    """Upper bound of the number of blocks, from the file sizes."""
-    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    files, length = path_size(spark, path)
-    # a small input is cut finer than this, to a few blocks per core
-    return files + length // size + 4 * spark.sparkContext.defaultParallelism
-
-
 def read_parallel_text(spark: SparkSession, src_path: str, tgt_path: str) -> DataFrame:
     """``line_no, src, tgt`` from two line-aligned files, as long as the
     shorter one; empty if a file is missing."""
@@ -78,15 +72,20 @@ def parse_tagged(value: Column) -> Column:
     return F.struct(src.alias("src"), tgt.alias("tgt"), status.alias("status"))
 
 
+def _parsed(lines: DataFrame) -> DataFrame:
+    """``src, tgt, status``, computed once: what follows a generator isn't
+    merged into it."""
+    return lines.select(F.inline(F.array(parse_tagged(F.col("value")))))
+
+
 def parse_tagged_lines(lines: DataFrame) -> DataFrame:
     """Good rows ``src, tgt`` of a ``value`` table."""
-    return lines.select(parse_tagged(F.col("value")).alias("p")).where("p.status = 'ok'").select("p.src", "p.tgt")
+    return _parsed(lines).where("status = 'ok'").select("src", "tgt")
 
 
 def tagged_line_stats(lines: DataFrame) -> DataFrame:
     """One row: ``good, bad, blank`` line counts."""
-    status = lines.select(parse_tagged(F.col("value"))["status"].alias("s"))
-    return status.agg(*[F.count_if(F.col("s") == s).alias(n) for s, n in (("ok", "good"), ("bad", "bad"), ("blank", "blank"))])
+    return _parsed(lines).agg(*[F.count_if(F.col("status") == s).alias(n) for s, n in (("ok", "good"), ("bad", "bad"), ("blank", "blank"))])
 
 
 def read_tagged_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

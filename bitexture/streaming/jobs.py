@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from bitexture.functions import predicates as P
 from bitexture.operators.requests import check_requests
+from bitexture.session import stored
 
 TYPING_PAUSE = "500 milliseconds"
 
@@ -59,61 +63,97 @@ def _micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(at)
 
 
+def _bursts(kind: T.StructType, gap_us: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Bursts within one partition that is sorted by user, time and value. The
+    first and the last one may go on in another partition and are marked."""
+
+    def apart(a: pa.Array, b: pa.Array) -> np.ndarray:
+        same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False)
+        nulls = pc.and_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+        return ~(same | nulls)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_one: pa.RecordBatch | None = None  # the burst that the next batch may go on with
+        first = True
+        for batch in batches:
+            user, at, value = batch.columns
+            n = batch.num_rows
+            if not n:
+                continue
+            us = at.to_numpy(zero_copy_only=False)
+            cut = np.concatenate([[True], apart(user[1:], user[:-1]) | (np.diff(us) > gap_us)])
+            starts = np.flatnonzero(cut)
+            ends = np.append(starts[1:], n) - 1
+            since, sizes = us[starts].copy(), ends - starts + 1
+            if open_one is not None:
+                more = not apart(user[:1], open_one["u"])[0] and us[0] - open_one["to"][0].as_py() <= gap_us
+                if more:
+                    since[0] = open_one["from"][0].as_py()
+                    sizes[0] += open_one["n"][0].as_py()
+                else:
+                    yield open_one.append_column("edge", pa.array([first])).rename_columns(kind.fieldNames())
+                    first = False
+            found = pa.RecordBatch.from_arrays(
+                [user.take(pa.array(ends)), pa.array(since), pa.array(us[ends]), pa.array(sizes), value.take(pa.array(ends))],
+                names=["u", "from", "to", "n", "v"],
+            )
+            whole = found.slice(0, len(starts) - 1)
+            if whole.num_rows:
+                edge = np.zeros(whole.num_rows, bool)
+                edge[0], first = first, False
+                yield whole.append_column("edge", pa.array(edge)).rename_columns(kind.fieldNames())
+            open_one = found.slice(len(starts) - 1)
+        if open_one is not None:
+            yield open_one.append_column("edge", pa.array([True])).rename_columns(kind.fieldNames())
+
+    return run
+
+
 def debounce(
-    inputs: DataFrame,
-    gap_us: int = 500_000,
-    block_us: int = 86_400_000_000,
-    user: str = "user_id",
-    ts: str = "ts",
-    value: str = "text",
+    inputs: DataFrame, gap_us: int = 500_000, user: str = "user_id", ts: str = "ts", value: str = "text"
 ) -> DataFrame:
-    """Batch form of ``debounce_stream``, in two levels so that a user with
-    very many inputs is spread over time blocks.
-
-    Bursts are first formed inside blocks of ``block_us``. Only a burst that
-    starts or ends within a pause of its block's border can belong to a burst
-    of the next block; these few are joined up, all others are final.
+    """Batch form of ``debounce_stream``. Inputs are dealt by ranges of user and
+    time, so one user's inputs may fill all tasks; of equal ones those of
+    different input partitions may go apart.
+
+    Bursts are formed inside a partition in one pass. Only its first and last
+    one can belong to a burst of another partition: these two per partition are
+    joined up, all others are final. Inputs without time are left out; of the
+    last inputs at the same time the largest value counts.
     """
-    if block_us <= gap_us:
-        raise ValueError("a block must be longer than the pause")
-    us = _micros(inputs, ts)
-    gap = f"{gap_us} microseconds"
-    local = (
-        inputs.select(
-            user, value, F.timestamp_micros(us).alias("__at"), F.floor(us / block_us).cast("bigint").alias("__block")
-        )
-        .groupBy(user, "__block", F.session_window("__at", gap).alias("w"))
-        .agg(
-            # not the window's own bounds: a filter on a grouping column is
-            # moved below the grouping, where bursts are not formed yet
-            F.unix_micros(F.min("__at")).alias("__from"),
-            (F.unix_micros(F.max("__at")) + gap_us).alias("__to"),
-            F.count(F.lit(1)).alias("n_inputs"),
-            F.max_by(value, F.struct("__at", value)).alias(value),
-        )
-        .drop("w")
+    order = ["__user", "__us", "__value", "__part"]
+    dealt = (
+        inputs.select(F.col(user).alias("__user"), _micros(inputs, ts).alias("__us"), F.col(value).alias("__value"))
+        .where(F.col("__us").isNotNull())
+        .withColumn("__part", F.spark_partition_id())
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
     )
-    begins, ends = F.col("__block") * block_us, (F.col("__block") + 1) * block_us
-    near = (F.col("__from") - begins < gap_us) | (F.col("__to") >= ends)
-    out = [user, "__from", "__to", "n_inputs", value]
-    inner = local.where(~near).select(*out)
-    # rejoin border bursts: a session of [from, to) spans
-    border = (
-        local.where(near)
-        .groupBy(
-            user,
-            F.session_window(
-                F.timestamp_micros("__from"),
-                F.concat((F.col("__to") - F.col("__from")).cast("string"), F.lit(" microseconds")),
-            ).alias("w"),
+    kind = (
+        T.StructType().add("__user", inputs.schema[user].dataType).add("__from", T.LongType()).add("__to", T.LongType())
+        .add("__n", T.LongType()).add("__value", inputs.schema[value].dataType).add("__edge", T.BooleanType())
+    )
+    # written once: both uses below have to see the same ranges
+    local = stored(dealt.select("__user", "__us", "__value").mapInArrow(_bursts(kind, gap_us), kind), "bursts")
+    out = ["__user", "__from", "__to", "__n", "__value"]
+    inner = local.where(~F.col("__edge")).select(*out)
+    # two rows per partition; a session of [from, to + gap) spans
+    span = F.concat((F.col("__to") - F.col("__from") + gap_us).cast("string"), F.lit(" microseconds"))
+    edges = (
+        local.where(F.col("__edge"))
+        .groupBy("__user", F.session_window(F.timestamp_micros("__from"), span).alias("w"))
+        .agg(
+            F.min("__from").alias("__from"),
+            F.sum("__n").alias("__n"),
+            F.max_by("__value", F.struct("__to", "__value")).alias("__value"),
+            F.max("__to").alias("__to"),
         )
-        .agg(F.min("__from").alias("__from"), F.max("__to").alias("__to"), F.sum("n_inputs").alias("n_inputs"), F.max_by(value, "__to").alias(value))
         .select(*out)
     )
-    return inner.unionByName(border).select(
-        user,
+    return inner.unionByName(edges).select(
+        F.col("__user").alias(user),
         F.timestamp_micros("__from").alias("first_at"),
-        F.timestamp_micros("__to").alias("fires_at"),
-        "n_inputs",
-        value,
+        F.timestamp_micros(F.col("__to") + gap_us).alias("fires_at"),
+        F.col("__n").alias("n_inputs"),
+        F.col("__value").alias(value),
     )

@@ -226,3 +226,53 @@ def test_sparse_ids_stay_in_small_buckets(spark):
     assert [r.row_idx for r in got] == list(range(len(ids)))
     coarse = df.select(integer_levels("n")[0].alias("b")).agg(F.min("b"), F.max("b")).first()
     assert -(2**15) <= coarse[0] and coarse[1] < 2**15
+
+
+def test_cap_by_a_callers_rule(spark):
+    rows = [(i, "de" if i % 3 else "fr", f" s{i} " if i % 4 else "  ", "#t") for i in range(400)]
+    df = spark.createDataFrame(rows, "line_no bigint, lang string, src string, tgt string").repartition(5)
+    got = C.cap_per_language(df, 20, C.stripped_pairs, C.non_empty()).collect()
+    want = []
+    for lang in ("de", "fr"):
+        want += [(n, lang, s.strip(), t) for n, k, s, t in rows if k == lang and s.strip()][:20]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_cap_where_valid_lines_come_late(spark):
+    """The first prefix holds no valid pair, and lines are far apart."""
+    rows = [(n * n * 1000, "de", "x" if n < 900 else f"long {n}", "target") for n in range(1000)]
+    rows += [(n, None, f"long {n}", "target") for n in range(30)]
+    df = spark.createDataFrame(rows, "line_no bigint, lang string, src string, tgt string")
+    got = C.cap_per_language(df, 10).collect()
+    assert sorted((r.lang or "", r.line_no) for r in got) == [("", n) for n in range(10)] + [("de", n * n * 1000) for n in range(900, 910)]
+    stats = {r.lang: (r.raw, r.valid, r.skipped) for r in C.load_stats(df, 10).collect()}
+    assert stats == {"de": (910, 10, 900), None: (10, 10, 0)}
+
+
+def test_cap_limits_reach_the_scan(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id AS line_no", "IF(id % 2 = 0, 'de', 'fr') AS lang", "'a' AS src", "'b' AS tgt")
+    df.write.parquet(f"{tmp_path}/t")
+    limited = spark.read.parquet(f"{tmp_path}/t").where(C._lines_between({"de": (3, 50), "fr": (-1, 70)}))
+    plan = limited._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan and "LessThanOrEqual(line_no,50)" in plan
+    assert limited.count() == 24 + 35
+
+
+def test_average_blocks(spark, monkeypatch):
+    from bitexture.operators import runs as R
+
+    monkeypatch.setattr(R, "BLOCK_VALUES", 4)
+    rng = random.Random(1)
+    rows = [(c, n, [rng.random() for _ in range(size)]) for c in range(6) for n, size in (("a", 10), ("b", 4), ("c", 1), ("d", 0))]
+    df = spark.createDataFrame(rows + [(9, "a", None)], "ckpt int, name string, values array<float>").repartition(4)
+    got = {r.name: r["values"] for r in R.average_vectors(df).collect()}
+    for name, size in (("a", 10), ("b", 4), ("c", 1), ("d", 0)):
+        mine = [v for _, n, v in rows if n == name]
+        assert len(got[name]) == size
+        assert all(abs(x - sum(col) / 6) < 1e-6 for x, col in zip(got[name], zip(*mine)))
+    sizes = [len(r["values"]) for r in R.average_blocks(df).where("name = 'a'").orderBy("block").collect()]
+    assert sizes == [4, 4, 2]
+    for odd in ([1.0] * 9, [None] * 10):
+        more = df.unionByName(spark.createDataFrame([(7, "a", odd)], df.schema))
+        with pytest.raises(Exception, match="values"):
+            R.average_vectors(more).collect()

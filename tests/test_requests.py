@@ -104,9 +104,32 @@ def test_debounce_across_blocks(spark):
     df = spark.createDataFrame(rows, "user_id int, us bigint, text string").select(
         "user_id", F.timestamp_micros("us").alias("ts"), "text"
     )
-    for block in (1_000_000, 7_000_000, 10**12):
-        out = debounce(df, gap, block).select("user_id", F.unix_micros("first_at"), F.unix_micros("fires_at"), "n_inputs", "text")
-        assert sorted(map(tuple, out.collect())) == python_bursts(rows, gap), block
+    for partitions in ("1", "3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            out = debounce(df.repartition(5), gap).select("user_id", F.unix_micros("first_at"), F.unix_micros("fires_at"), "n_inputs", "text")
+            assert sorted(map(tuple, out.collect())) == python_bursts(rows, gap), partitions
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_debounce_odd_rows(spark):
+    # equal inputs of one user, NULL users and times, ties at one time
+    rows = [(1, 5_000_000, "x")] * 300 + [(None, 7, "n"), (None, 9, "m"), (2, None, "t"), (3, 1, "a"), (3, 1, "b"), (3, 1, None)]
+    df = spark.createDataFrame(rows, "user_id int, us bigint, text string").repartition(7)
+    out = debounce(df.select("user_id", F.timestamp_micros("us").alias("ts"), "text"))
+    assert sorted((r.user_id or 0, r.n_inputs, r.text) for r in out.collect()) == [(0, 2, "m"), (1, 300, "x"), (3, 3, "b")]
+    assert debounce(df.limit(0).select("user_id", F.timestamp_micros("us").alias("ts"), "text")).collect() == []
+
+
+def test_one_user_is_spread_over_all_tasks(spark):
+    df = spark.range(40_000).select(F.lit("u").alias("user_id"), F.timestamp_micros(F.col("id") * 1000).alias("ts"), F.col("id").cast("string").alias("text"))
+    out = debounce(df, 10)
+    sizes = sorted(r.n_inputs for r in out.collect())
+    assert sizes == [1] * 40_000
+    assert [(r.n_inputs, r.text) for r in debounce(df, 2_000).collect()] == [(40_000, "39999")]
 
 
 def test_debounce_stream_closes_bursts(spark, tmp_path):

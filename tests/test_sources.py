@@ -159,3 +159,24 @@ def test_small_input_has_all_splits(spark, tmp_path):
     paths, reused = X.reuse_or_split(spark, str(lines), folder)
     assert not reused and X.reuse_or_split(spark, str(lines), folder) == (paths, True)
     assert sum(spark.read.schema("value string").text(p).count() for p in paths.values()) == 5
+
+
+def test_lines_are_numbered_over_many_blocks(spark, tmp_path):
+    """Small blocks, several in a partition; the plan shuffles no line."""
+    from bitexture.sources.text import read_numbered_lines
+
+    lines = [f"line {i} " + "x" * (i % 37) for i in range(3000)]
+    for part in range(6):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"f{part}.txt").write_text("".join(f"{x}\n" for x in lines[part * 500 : part * 500 + 500]))
+    for size in ("2k", "100k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        try:
+            df = read_numbered_lines(spark, str(tmp_path / "in"))
+            assert sorted((r.line_no, r.value) for r in df.collect()) == list(enumerate(lines))
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitexture.functions.predicates import non_blank_line
-from bitexture.functions.text import flatten_newlines, strip_unicode, untab
+from bitexture.functions.text import WHITESPACE, flatten_newlines, strip_unicode, untab
 from bitexture.operators.corpus import tagged_line
 from bitexture.operators.lookup import zip_lines
 from bitexture.operators.ranks import shuffle_key
@@ -63,19 +63,27 @@ def read_parallel_text(spark: SparkSession, src_path: str, tgt_path: str) -> Dat
 def parse_tagged(value: Column) -> Column:
     """Struct ``src, tgt, status`` of a line: ``ok``, ``blank`` or ``bad`` (no
     TAB, or an empty side). Cut at the first TAB only."""
-    line = strip_unicode(value)
-    parts = F.split(line, "\t", 2)
-    src, tgt = strip_unicode(F.get(parts, F.lit(0))), strip_unicode(F.get(parts, F.lit(1)))
-    status = (
-        F.when(line == "", "blank").when(F.coalesce((src != "") & (tgt != ""), F.lit(False)), "ok").otherwise("bad")
+    return _parts(strip_unicode(value))
+
+
+def _parts(line: Column) -> Column:
+    """``parse_tagged`` of a stripped line. It begins and ends with a sign, so
+    with a TAB neither side is empty, and only the inner ends need stripping. A
+    pattern is used only for lines with several TABs."""
+    space = F.lit(WHITESPACE)
+    several = F.substring_index(line, "\t", 2) != line
+    after = F.when(several, F.get(F.split(line, "\t", 2), F.lit(1))).when(line.contains("\t"), F.substring_index(line, "\t", -1))
+    status = F.when(line == "", "blank").when(F.coalesce(line.contains("\t"), F.lit(False)), "ok").otherwise("bad")
+    return F.struct(
+        F.rtrim(F.substring_index(line, "\t", 1), space).alias("src"), F.ltrim(after, space).alias("tgt"), status.alias("status")
     )
-    return F.struct(src.alias("src"), tgt.alias("tgt"), status.alias("status"))
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
-    """``src, tgt, status``, computed once: what follows a generator isn't
-    merged into it."""
-    return lines.select(F.inline(F.array(parse_tagged(F.col("value")))))
+    """``src, tgt, status``. What follows a generator isn't merged into it, so
+    each line is stripped once and cut once."""
+    stripped = lines.select(F.inline(F.array(F.struct(strip_unicode(F.col("value")).alias("__line")))))
+    return stripped.select(F.inline(F.array(_parts(F.col("__line")))))
 
 
 def parse_tagged_lines(lines: DataFrame) -> DataFrame:

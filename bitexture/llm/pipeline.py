@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bitexture.llm.decontamination import contained_items
 from bitexture.llm.mixing import mix_sources
 from bitexture.llm.sharding import stratified_shards
-from bitexture.llm.simhash import near_groups
+from bitexture.llm.simhash import near_groups, text_md5
 from bitexture.llm.toxicity import score_toxicity, train
 from bitexture.session import shared_dir, stored
 
@@ -29,16 +29,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Documents
-    without id stay."""
-    groups = near_groups(docs).where(F.col("doc_id") != F.col("component_id"))
-    gone = stored(groups.select("doc_id").distinct(), "copies")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # rows that repeat an id
-    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if ids.isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """One document of each group: the one with the smallest id, of repeated
+    rows of it one. Decided by id and text together, so another text under an
+    id that is given away stays. Documents without id stay."""
+    groups = stored(near_groups(docs), "groups")
+    gone = stored(groups.where(~F.col("first")).select("doc_id", "text_md5").distinct(), "copies")
+    kept = docs.withColumn("__md5", text_md5("text"))
+    twin = [kept["doc_id"] == gone["doc_id"], kept["__md5"] == gone["text_md5"]]
+    kept = kept.join(gone, twin, "left_anti")
+    # rows that repeat an id and its text
+    again = groups.where("first").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if not again.isEmpty():
+        again = stored(again, "repeated")
+        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "__md5"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(once.select(kept.columns))
+    return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

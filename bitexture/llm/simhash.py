@@ -1,5 +1,5 @@
 """SimHash fingerprints, linked by generalised pigeonhole search; near copies by
-MinHash bands and exact resemblance."""
+these and MinHash bands, verified by exact resemblance."""
 
 from __future__ import annotations
 
@@ -12,13 +12,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitexture.llm.components import smallest_reachable
 from bitexture.llm.shingles import Shingler, scrambled
-from bitexture.session import stored
+from bitexture.operators.lookup import lookup_join
+from bitexture.session import discard, stored
 
 BITS = 64
 SEED = 42
@@ -245,12 +246,16 @@ def near_duplicates(
 
 #: Words of the shingles that resemblance is measured on.
 CHECK_WORDS = 5
+#: Fingerprint bits of these shingles in which the first candidates may differ.
+CHECK_DISTANCE = 2
 #: Minima of a band. Texts of resemblance s have all of them in common with odds
 #: of s ** BAND_ROWS, however their differences are spread.
 BAND_ROWS = 6
 #: Pairs right at the limit that may have no band in common.
 MISSED = 0.001
-#: How many times as many members are pivots by the next round.
+#: Members of a band's bucket up to which all its pairs are candidates.
+SMALL_BUCKET = 4
+#: How many times as many pivots the next round has.
 ROUND_GROWTH = 32
 
 
@@ -283,20 +288,31 @@ def set_digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def set_print(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes: the bits set in over half of them."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big") if len(hashes) else 0
+
+
 def _banded(bands: Bands) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Digest, size and band keys of the set of five-word shingles."""
+    """Digest, size, fingerprint and band keys of the set of five-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(CHECK_WORDS)
         for batch in batches:
-            sets = [np.unique(shingle(t.as_py())) for t in batch.column(1)]
+            sets = [np.unique(shingle(t.as_py())) for t in batch.column(2)]
             columns = [
                 batch.column(0),
+                batch.column(1),
                 pa.array(map(set_digest, sets), pa.binary()),
                 pa.array(map(len, sets), pa.int32()),
+                pa.array(np.fromiter(map(set_print, sets), np.uint64, len(sets)).view(np.int64)),
                 pa.array([bands(h) for h in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__same", "__size", "__bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__text", "__same", "__size", "__fp", "__bands"])
 
     return run
 
@@ -325,83 +341,207 @@ def _sizes_fit(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6
 
 
-def linked_members(members: DataFrame, similarity: float, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``node, root`` of the nodes with links: ``verified`` says which pairs are
-    linked, and is asked for all pairs of each bucket but those that links tie
-    already.
-
-    ``members`` (stored) are ``part, key, node, __size, __rank``, ranks from 1 by
-    node within buckets of two or more. In each round members up to a rank are
-    pivots: they are compared with the members after them that are in another
-    group by now. The rest of a bucket goes on to the next round, with
-    ``ROUND_GROWTH`` times as many pivots, unless it is one group. A bucket
-    ends when every member has been a pivot or is tied to all that are left, so
-    no pair is skipped for the size of its bucket.
+def linked_members(
+    members: DataFrame,
+    similarity: float,
+    verified: Callable[[DataFrame], DataFrame],
+    links: DataFrame | None = None,
+    meet: Callable[[str, str], Column] | None = None,
+) -> DataFrame:
+    """``node, root`` of the nodes with links: ``links`` (``a, b``) and those
+    that ``verified`` finds among the pairs of each bucket which ``meet`` lets
+    pass. It is asked for all of them but those that links tie already.
+
+    ``members`` are ``part, key, node, __size`` and maybe ``__pivot`` (a pair
+    counts only where its smaller text, by size and node, is one) and ``__pos``,
+    for ``meet(smaller, larger)``, which gets the prefixes of their columns. In
+    each round some pivots of every bucket, the smallest of each of 1, 32, 1 024,
+    ... parts of it, are compared with the members in other groups by now, and
+    then leave. A bucket ends when it has no pivots left or is one group, so no
+    pair is skipped for the size of its bucket. No bucket is sorted or collected,
+    and the members of a hot one are dealt over tasks.
     """
     spark = members.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    roots = spark.createDataFrame([], "node bigint, root bigint")
-    last, reach = 0, 1
+    columns = ["part", "key", "node", "__size", "__pivot", "__pos"]
+    for name, value in (("__pivot", F.lit(True)), ("__pos", F.lit(0))):
+        if name not in members.columns:
+            members = members.withColumn(name, value)
+    if links is None:
+        links = spark.createDataFrame([], "a bigint, b bigint")
+    members, parts = members.select(*columns), 1
+    roots = stored(smallest_reachable(links), "groups")
     while True:
-        left = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if last:
-            several = left.groupBy("part", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
-            left = left.join(several.select("part", "key"), ["part", "key"], "left_semi")
-        left = stored(left, "members")
+        known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ones = known.groupBy("part", "key").agg(
+            F.min("root").alias("x"), F.max("root").alias("y"), F.max("__pivot").alias("more")
+        )
+        going = open_ones.where("x < y AND more").select("part", "key")
+        left = stored(known.join(going, ["part", "key"], "left_semi"), "members")
         if left.isEmpty():
+            discard(left)
             return roots
-        first = left.where(F.col("__rank") <= reach).select(
-            "part", "key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("__rank").alias("ka"), F.col("__size").alias("na")
-        )
-        other = left.select(
-            "part", "key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("__rank").alias("kb"), F.col("__size").alias("nb")
+        place = F.pmod(F.xxhash64("node"), F.lit(parts))
+        chosen = (
+            left.where("__pivot")
+            .groupBy("part", "key", place.alias("__place"))
+            .agg(F.min(F.struct("node", "__size", "__pos", "root")).alias("p"))
+            .select("part", "key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "__size", "__pos", "root")])
         )
-        met = first.join(other, ["part", "key"]).where("ka < kb AND ra <> rb").where(_sizes_fit("na", "nb", similarity))
-        links = links.unionByName(stored(verified(met.select("a", "b").distinct()), "linked"))
-        roots = stored(smallest_reachable(links), "groups")
-        members = left.where(F.col("__rank") > reach).select("part", "key", "node", "__size", "__rank")
-        last, reach = reach, reach * ROUND_GROWTH
+        chosen = stored(chosen, "pivots")
+        others = left.select("part", "key", *[F.col(c).alias(f"o_{c}") for c in ("node", "__size", "__pos", "__pivot", "root")])
+        met = lookup_join(others, chosen, ["part", "key"], "inner", spread=["o_node"])
+        first = F.struct("p___size", "p_node") < F.struct("o___size", "o_node")
+        # the smaller one has to be a pivot
+        fits = F.when(first, F.lit(True) if meet is None else meet("p_", "o_"))
+        fits = fits.otherwise(F.col("o___pivot") if meet is None else F.col("o___pivot") & meet("o_", "p_"))
+        met = met.where(F.col("p_root") != F.col("o_root")).where(_sizes_fit("p___size", "o___size", similarity)).where(fits)
+        pairs = met.select(F.least("p_node", "o_node").alias("a"), F.greatest("p_node", "o_node").alias("b")).distinct()
+        found = verified(pairs)
+        # what was known is as good as a star of each group
+        stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        links = stored(stars.unionByName(found), "linked")
+        before, roots = roots, stored(smallest_reachable(links), "groups")
+        done = chosen.select("part", "key", F.col("p_node").alias("node"))
+        rest = left.join(done, ["part", "key", "node"], "left_anti").select(*columns)
+        members, parts = stored(rest, "members"), parts * ROUND_GROWTH
+        for table in (links, before, chosen, left):
+            discard(table)
+
+
+def _needed(a: str, b: str, similarity: float) -> Column:
+    """Shingles that sets of these sizes share if they resemble one another so much."""
+    return F.ceil((F.col(a) + F.col(b)) * (similarity / (1 + similarity)) - 1e-6)
+
+
+def prefix_members(sets: DataFrame, similarity: float) -> DataFrame:
+    """Members of buckets for ``linked_members``, of which exactly the pairs of
+    sets (``node, __set``) with a resemblance of ``similarity`` meet, and few
+    others: the first shingles of each set, from rare to common.
+
+    Sets that share ``o`` shingles have the first shared one among the first
+    ``size - o + 1`` of either, and they have to share four fifths of the larger
+    set, and more of the smaller one. Variants of one template that differ too
+    much have their own shingles first and never meet over the template.
+    """
+    each = sets.select("node", F.size("__set").alias("__size"), F.explode("__set").alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("__often"))
+    ranked = (
+        lookup_join(each, often, ["key"], "inner", spread=["node"])
+        .groupBy("node", "__size")
+        .agg(F.sort_array(F.collect_list(F.struct("__often", "key"))).alias("__all"))
+    )
+    whole, both = F.ceil(F.col("__size") * similarity - 1e-6), F.ceil(F.col("__size") * (2 * similarity / (1 + similarity)) - 1e-6)
+    first = F.slice("__all", F.lit(1), (F.col("__size") - whole + 1).cast("int"))
+    out = ranked.select("node", "__size", F.posexplode(first).alias("__at", "s"), (F.col("__size") - both + 1).alias("__most"))
+    return out.where("s.__often > 1").select(
+        F.lit(0).alias("part"), "s.key", "node", "__size", (F.col("__at") + 1 <= F.col("__most")).alias("__pivot"), (F.col("__at") + 1).alias("__pos")
+    )
+
+
+def _first_shared(similarity: float) -> Callable[[str, str], Column]:
+    """Whether a shingle at these places may be the first that two sets share,
+    if they share as many as they need."""
+
+    def meet(a: str, b: str) -> Column:
+        after = F.least(F.col(f"{a}__size") - F.col(f"{a}__pos"), F.col(f"{b}__size") - F.col(f"{b}__pos"))
+        return 1 + after >= _needed(f"{a}__size", f"{b}__size", similarity)
+
+    return meet
+
+
+def _print_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates ``a, b`` among nodes whose fingerprints differ in at most
+    ``CHECK_DISTANCE`` bits, by generalised pigeonhole search: nodes with one
+    fingerprint with the first of them, and the first ones of linked ones."""
+    prints = stored(nodes.groupBy("__fp").agg(F.min("node").alias("__first")), "prints")
+    links = linked_prints(prints, CHECK_DISTANCE)
+    a, b = (prints.select(F.col("__fp").alias(c), F.col("__first").alias(f"n{c}")) for c in "ab")
+    across = links.join(a, "a").join(b, "b").select("na", "nb")
+    same = lookup_join(nodes.select("node", "__fp"), prints, ["__fp"], "inner", spread=["node"]).where("node <> __first").select("node", "__first")
+    return across.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_groups(
     docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", band_rows: int = BAND_ROWS
 ) -> DataFrame:
-    """``key, component_id`` for texts whose five-word shingles resemble one
-    another by ``similarity`` or more: search by bands of MinHash values of these
-    shingles, and the resemblance itself as the verdict.
-
-    A 64-bit fingerprint that must agree in all but two bits sees only texts
-    that are nearly equal, and how many bits of one differ follows from how the
-    changes are spread. Minima of the shingles agree with odds of just the
-    resemblance, for scattered words and blocks alike. Texts with all
-    ``band_rows`` minima of any band in common are candidates; there are as many
-    bands as find 999 of 1 000 pairs right at the limit, whatever the number of
-    texts. Candidates are linked if their sets of five-word shingles, compared
-    hash by hash, resemble one another by ``similarity``: no link is below it.
-
-    Texts with one set of shingles are one node. Pairs of a bucket are left out
-    only where links tie them already (``linked_members``). Rows without key have
-    no result; texts without words are one group. Components are named by the
-    smallest key.
+    """``key, text_md5, component_id, first`` of every row with a key: groups of
+    texts whose five-word shingles resemble one another by ``similarity`` or
+    more, named by their smallest key. Exactly one combination of key and text
+    of a group is its ``first`` (smallest key, then smallest digest).
+
+    Candidates come from SimHash fingerprints of these shingles, searched by
+    correlated groups of bits with unequal thresholds (``linked_prints``). Texts
+    right at the limit differ in about ten of 64 bits, more than such a search
+    can bridge among many texts, so bands of ``band_rows`` minima of the same
+    shingles add candidates: as many bands as find 999 of 1 000 pairs right at
+    the limit, whatever the number of texts and however their differences are
+    spread. Every candidate is verified: sets of shingles are compared hash by
+    hash, and no link is below ``similarity``.
+
+    Texts with one set of shingles are one node. All pairs of a band's bucket are
+    candidates while it has few members; in a larger one its members are compared
+    with one pivot. Members of buckets that are no single group then are joined
+    exactly, by ``prefix_members``: variants of a template that are no near copies
+    don't meet there, real groups are tied by a few pivots.
+
+    Rows without key have no result; texts without words are one group. Keys may
+    repeat, with equal or other texts.
     """
     longs, bands = T.ArrayType(T.LongType()), band_count(similarity, band_rows)
-    kind = T.StructType().add("__id", docs.schema[key].dataType).add("__same", T.BinaryType())
-    kind = kind.add("__size", T.IntegerType()).add("__bands", longs)
-    source = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).where(F.col("__id").isNotNull())
+    ids = docs.schema[key].dataType
+    kind = T.StructType().add("__id", ids).add("__text", T.StringType()).add("__same", T.BinaryType())
+    kind = kind.add("__size", T.IntegerType()).add("__fp", T.LongType()).add("__bands", longs)
+    source = docs.select(F.col(key).alias("__id"), text_md5(text).alias("__md5"), F.col(text).alias("__text")).where(F.col("__id").isNotNull())
     rows = stored(source.mapInArrow(_banded(Bands(bands, band_rows)), kind), "fingerprints")
-    alike = [F.any_value(c).alias(c) for c in ("__size", "__bands")]
-    nodes = stored(rows.groupBy("__same").agg(F.min("__id").cast("bigint").alias("node"), *alike), "nodes")
+    alike = [F.any_value(c).alias(c) for c in ("__size", "__fp", "__bands")]
+    named = rows.groupBy("__same").agg(F.min(F.struct("__id", "__text")).alias("one"), *alike)
+    # numbers are given once, as the table is written
+    nodes = stored(named.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
     keyed = nodes.select("node", "__size", F.posexplode("__bands").alias("part", "key"))
+    sizes = keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("__n"), F.min("node").alias("__pivot")).where("__n > 1")
+    shared = stored(lookup_join(keyed, sizes, ["part", "key"], "inner", spread=["node"]), "probes")
+    few = shared.where(F.col("__n") <= SMALL_BUCKET)
+    a = few.select("part", "key", F.col("node").alias("a"), F.col("__size").alias("na"))
+    b = few.select("part", "key", F.col("node").alias("b"), F.col("__size").alias("nb"))
+    small = a.join(b, ["part", "key"]).where("a < b").where(_sizes_fit("na", "nb", similarity)).select("a", "b")
+    many = shared.where(F.col("__n") > SMALL_BUCKET)
+    large = many.where("node <> __pivot").select(F.col("__pivot").alias("a"), F.col("node").alias("b"))
+    pairs = stored(small.unionByName(large).unionByName(_print_pairs(nodes)).distinct(), "pairs")
+
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    met = ends.join(nodes.select("node", "__same", "one"), "node")
+    texts = source.join(met.select(F.col("one.__id").alias("__id"), F.col("one.__text").alias("__md5")), ["__id", "__md5"], "left_semi")
+    found = texts.select("__text").mapInArrow(_shingle_sets, T.StructType().add("__same", T.BinaryType()).add("__set", longs))
+    # rows that repeat a text have equal sets
+    sets = stored(found.dropDuplicates(["__same"]).join(met, "__same").select("node", "__set"), "sets")
+
+    def verified(some: DataFrame) -> DataFrame:
+        return resembling(some, sets, similarity)
+
+    links = stored(verified(pairs), "linked")
+    roots = stored(smallest_reachable(links), "groups")
+    tied = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    torn = tied.groupBy("part", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("part", "key")
+    torn_nodes = stored(many.join(torn, ["part", "key"], "left_semi").select("node").distinct(), "torn")
+    if not torn_nodes.isEmpty():
+        members = stored(prefix_members(sets.join(torn_nodes, "node", "left_semi"), similarity), "prefixes")
+        roots = linked_members(members, similarity, verified, links, _first_shared(similarity))
+        discard(members)
+    # one row per group: its smallest key and text
+    rooted = nodes.join(roots, "node", "left").select("__same", "one", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("one").alias("first"))
+    groups = stored(rooted.join(smallest, "root").select("__same", "first"), "named")
+    for table in (nodes, shared, pairs, sets, links, torn_nodes, roots):
+        discard(table)
+    return rows.select("__id", "__text", "__same").join(groups, "__same").select(
+        F.col("__id").alias(key),
+        F.col("__text").alias("text_md5"),
+        F.col("first.__id").alias("component_id"),
+        ((F.col("first.__id") == F.col("__id")) & (F.col("first.__text") == F.col("__text"))).alias("first"),
+    )
+
 
-    bucket = Window.partitionBy("part", "key")
-    ranked = keyed.withColumn("__n", F.count(F.lit(1)).over(bucket)).withColumn("__rank", F.row_number().over(bucket.orderBy("node")))
-    shared = stored(ranked.where("__n > 1").drop("__n"), "probes")
-    met = shared.select("node").distinct().join(nodes.select("node", "__same"), "node")
-    # an id may be that of several texts; the digest tells them apart
-    texts = source.join(met.select(F.col("node").alias("__id")), "__id", "left_semi").select("__text")
-    found = texts.mapInArrow(_shingle_sets, T.StructType().add("__same", T.BinaryType()).add("__set", longs))
-    sets = stored(found.join(met, "__same").select("node", "__set").dropDuplicates(["node"]), "sets")
-
-    roots = linked_members(shared, similarity, lambda pairs: resembling(pairs, sets, similarity))
-    named = nodes.join(roots, "node", "left").select("__same", F.coalesce("root", "node").alias("component_id"))
-    return rows.select("__id", "__same").join(named, "__same").select(F.col("__id").alias(key), "component_id")
+def text_md5(text: str) -> Column:
+    """Digest of a text; NULL counts as empty."""
+    return F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8"))

@@ -71,47 +71,89 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy(value) / 4 + 0.15 * (kinds - 1))
 
 
-def name_literal_pairs(text: str) -> Iterator[tuple[str, int, int]]:
-    """``name, start, end`` of each literal when it reaches a name, by ``name =
-    "..."``, ``"name": ...``, ``name: bare`` and the like. A name on the right
-    side stands for the literals that were assigned to it before (constants
-    propagate, also through ``+``)."""
-    known: dict[str, dict[tuple[int, int], None]] = {}
+class Value:
+    """What an assignment gives a name: literals, and values of other names as
+    they were then. Values are shared, never copied."""
+
+    __slots__ = ("of", "spans")
+
+    def __init__(self, spans: list[tuple[int, int]], of: list[Value]) -> None:
+        self.spans, self.of = spans, of
+
+
+_ASSIGNS = frozenset((":=", "=>", "=", ":", "+="))
+
+
+def _target(tokens: list, i: int) -> tuple[str, str, int] | None:
+    """Name, operator and place of the value, if a target begins at token ``i``:
+    ``name =``, ``"name":``, ``at["name"] =``, ``name: type =`` or, as the first
+    argument of a call, ``("name",``."""
+    kind, m = tokens[i]
+    if kind not in ("name", "text"):
+        return None
+
+    def at(k: int) -> str:
+        return tokens[i + k][1].group() if i + k < len(tokens) else "\n"
+
+    name, op = m.group().strip("\"'`"), at(1)
+    if op == ":" and i + 3 < len(tokens) and tokens[i + 2][0] == "name":
+        if at(3) == "=":
+            return name, "=", i + 4
+        if at(3) == "[" and at(5) == "]" and at(6) == "=":
+            return name, "=", i + 7
+    if op in _ASSIGNS:
+        return name, op, i + 2
+    if i and tokens[i - 1][1].group() == "[" and op == "]" and at(2) in ("=", "+=", ":="):
+        return name, at(2), i + 3
+    if i > 1 and kind == "text" and op == "," and at(-1) == "(" and tokens[i - 2][0] == "name":
+        return name, ",", i + 2
+    return None
+
+
+def assignments(text: str) -> Iterator[tuple[str, Value]]:
+    """Names and their values, in order, where literals reach them by ``name =
+    "..."``, ``"name": ...``, ``name: bare``, ``at["name"] = ...``, ``name: type =
+    ...``, ``call("name", "...")`` and the like. A name on the right side stands
+    for what was assigned to it before (constants propagate, also through ``+``).
+    The work grows with the tokens: values refer to one another."""
+    known: dict[str, Value] = {}
     tokens = [(m.lastgroup, m) for m in _TOKEN.finditer(text) if m.lastgroup != "comment"]
     i, n = 0, len(tokens)
     while i < n - 2:
-        kind, m = tokens[i]
-        if kind not in ("name", "text") or tokens[i + 1][1].group() not in (":=", "=>", "=", ":", "+="):
+        target = _target(tokens, i)
+        if target is None:
             i += 1
             continue
-        name = m.group().strip("\"'`")
-        j, found = i + 2, []
+        name, op, j = target
+        spans: list[tuple[int, int]] = []
+        of: list[Value] = []
         while j < n:
             part, v = tokens[j]
             after = tokens[j + 1][1].group() if j + 1 < n else "\n"
             if part == "text":
-                found.append((v.start() + 1, v.end() - 1))
-            elif part == "name" and after in (":=", "=>", "=", ":", "+="):
+                spans.append((v.start() + 1, v.end() - 1))
+            elif op == ",":
+                break  # only literals as arguments
+            elif part == "name" and after in _ASSIGNS:
                 break  # the next pair begins here
             elif part == "name" and v.group() in known:
-                found.extend(known[v.group()])
+                of.append(known[v.group()])
             elif part in ("name", "bare") and v.end() - v.start() >= MIN_LITERAL and any(c.isdigit() for c in v.group()):
-                found.append((v.start(), v.end()))
+                spans.append((v.start(), v.end()))
             else:
                 break
             j += 1
             if after != "+":
                 break
             j += 1
-        if found:
-            if tokens[i + 1][1].group() != "+=" or name not in known:
-                known[name] = {}
-            holds = known[name]
-            fresh = [span for span in dict.fromkeys(found) if span not in holds]
-            holds.update(dict.fromkeys(fresh))
-            for start, end in fresh:
-                yield name, start, end
-        i = max(i + 1, j if kind == "text" or found else i + 1)
+        if spans or of:
+            if op == "+=" and name in known:
+                of.append(known[name])
+            value = Value(spans, of)
+            if op != ",":
+                known[name] = value
+            yield name, value
+        i = max(i + 1, j if tokens[i][0] == "text" or spans or of else i + 1)
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
@@ -129,15 +171,36 @@ def base_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
 
 
 def literal_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
-    """Literals that a sensitive name holds, scored by name and shape."""
-    if b"=" not in raw and b":" not in raw:  # one of them is in every assignment
+    """Literals that a sensitive name holds, scored by name and shape.
+
+    Names are scored once each. Values are followed from the most telling names
+    first, and each of them once: a literal counts with the most telling name
+    that it reaches."""
+    if not any(sign in raw for sign in (b"=", b":", b"(")):  # one of them is in every assignment
         return []
-    best: dict[tuple[int, int], float] = {}
-    for name, start, end in name_literal_pairs(text):
-        s = name_score(name)
-        if s and (s := s * literal_score(text[start:end])) >= THRESHOLD:
-            best[start, end] = max(s, best.get((start, end), 0.0))
-    return [("literal", *span) for span in best]
+    scores: dict[str, float] = {}
+    held: list[tuple[float, Value]] = []
+    for name, value in assignments(text):
+        s = scores.get(name)
+        if s is None:
+            s = scores[name] = name_score(name)
+        if s >= THRESHOLD:  # a literal's own score is at most 1
+            held.append((s, value))
+    held.sort(key=lambda x: -x[0])
+    found, seen, spans = [], set(), set()
+    for s, value in held:
+        todo = [value]
+        while todo:
+            v = todo.pop()
+            if id(v) in seen:
+                continue
+            seen.add(id(v))
+            todo += v.of
+            for span in v.spans:
+                if span not in spans and s * literal_score(text[slice(*span)]) >= THRESHOLD:
+                    spans.add(span)
+                    found.append(("literal", *span))
+    return found
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -101,6 +101,34 @@ def test_every_sensitive_name_is_scanned():
         assert {many[a:b] for _, a, b in secret_scan.literal_spans(many, many.encode())} == set(values)
 
 
+def test_wider_targets():
+    value = "Xk29fLq81z"
+    for line in (
+        f'cfg["secret"] = "{value}"', f"os.environ['DB_PASSWORD'] = '{value}'", f'const t: string = "{value}"\nauthToken = t',
+        f'let password: Optional[str] = "{value}"', f'set("password", "{value}")', f'x = "{value}"\nconf["api"]["secret"] = x',
+    ):
+        assert value in {line[a:b] for _, a, b in secret_scan.literal_spans(line, line.encode())}, line
+    for line in (f'set("colour", "{value}")', f'cfg["size"] = "{value}"', f'const t: secret = 5\nname = "{value}"'):
+        assert secret_scan.literal_spans(line, line.encode()) == [], line
+
+
+def test_constants_keep_what_they_had():
+    text = 'k = "Xk29fLq81a"\nmy_secret = k\nk += "Xk29fLq81b"\nk = "Xk29fLq81c"\nother_token = k + "Xk29fLq81d"\nname = k\n'
+    found = {text[a:b] for _, a, b in secret_scan.literal_spans(text, text.encode())}
+    assert found == {"Xk29fLq81a", "Xk29fLq81c", "Xk29fLq81d"}
+
+
+def test_many_constants_take_time_in_proportion():
+    import time
+
+    for tail in ("y{} = k", "db_token{} = k"):
+        text = "\n".join(f'k += "Xk29fLq{i:06d}"' for i in range(4000)) + "\n" + "\n".join(tail.format(i) for i in range(4000))
+        start = time.perf_counter()
+        found = secret_scan.literal_spans(text, text.encode())
+        assert time.perf_counter() - start < 3
+        assert len(found) == (4000 if "token" in tail else 0)
+
+
 def test_secret_scan_rows(spark, odd_docs):
     out = secret_scan.scan_secrets(odd_docs.withColumn("spans", F.lit(1))).collect()
     assert len(out) == 10 and all(r.spans == "" for r in out)

@@ -220,10 +220,10 @@ def bigrams(spark: SparkSession, sf: str) -> DataFrame:
     return bigram_scores(line_ids(spark, sf))
 
 
-def document_bigrams(spark: SparkSession, sf: str) -> DataFrame:
+def document_bigrams_of(ids: DataFrame) -> DataFrame:
     """``src_id, prev, next, n, logprob``: bigrams within each document."""
     doc = F.floor(F.col("line_no") / LINES_PER_DOC).cast("bigint").alias("src_id")
-    return bigram_scores(line_ids(spark, sf).select(doc, "ids"), keys=["src_id"])
+    return bigram_scores(ids.select(doc, "ids"), keys=["src_id"])
 
 
 def page_text(spark: SparkSession, sf: str) -> DataFrame:

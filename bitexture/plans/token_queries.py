@@ -11,6 +11,7 @@ from bitexture.operators import search as H
 from bitexture.operators import tokens as K
 from bitexture.plans import inputs as I
 from bitexture.plans.registry import query
+from bitexture.session import stored
 
 q = I.with_inputs
 LENGTH = 16
@@ -191,25 +192,31 @@ def _with_search(body):
     return q("SELECT @", "bigrams").replace("SELECT @", f", {_TOP} {body}")
 
 
-def start_beams(spark, sf):
+def start_beams(ids):
     """One beam per document: begin marker and first token."""
-    ids = I.line_ids(spark, sf).where(F.size("ids") > 0)
     doc = F.floor(F.col("line_no") / I.LINES_PER_DOC).cast("bigint").alias("src_id")
-    first = ids.groupBy(doc).agg(F.min_by(F.element_at("ids", 1), "line_no").alias("first"))
+    first = ids.where(F.size("ids") > 0).groupBy(doc).agg(F.min_by(F.element_at("ids", 1), "line_no").alias("first"))
     return first.select(
         "src_id", F.lit(0.0).alias("log_prob"), F.array(F.lit(A.BOS_ID), F.col("first")).alias("tokens")
     )
 
 
+def _search_inputs(spark, sf, own=False):
+    """Beams and scores from one encoding of the lines; scores of all lines, or
+    each document's own."""
+    ids = stored(I.line_ids(spark, sf), "line-ids")
+    return start_beams(ids), I.document_bigrams_of(ids) if own else K.bigram_scores(ids)
+
+
 @query(_with_search("SELECT src_id, log_prob, array_to_string(tokens, ' ') AS tokens FROM expanded"))
 def beam_expand(spark, sf):
-    out = H.beam_expand(start_beams(spark, sf), I.bigrams(spark, sf))
+    out = H.beam_expand(*_search_inputs(spark, sf))
     return out.select("src_id", "log_prob", _text("tokens").alias("tokens"))
 
 
 @query(_with_search("SELECT src_id, score, state, array_to_string(tokens, ' ') AS tokens FROM pruned"))
 def beam_prune(spark, sf):
-    out = H.beam_prune(H.beam_expand(start_beams(spark, sf), I.bigrams(spark, sf)), k=3)
+    out = H.beam_prune(H.beam_expand(*_search_inputs(spark, sf)), k=3)
     return out.select("src_id", "score", "state", _text("tokens").alias("tokens"))
 
 
@@ -221,7 +228,7 @@ def beam_prune(spark, sf):
     )
 )
 def nbest_select(spark, sf):
-    beams = H.beam_prune(H.beam_expand(start_beams(spark, sf), I.bigrams(spark, sf)), k=3)
+    beams = H.beam_prune(H.beam_expand(*_search_inputs(spark, sf)), k=3)
     return H.nbest_select(beams).select("src_id", "score", "state", _text("ids").alias("ids"))
 
 
@@ -287,7 +294,7 @@ def _sql_decode(table: str = "bigrams", keys: str = "prev", steps: int = _STEPS)
 @query(_sql_decode())
 def decode_corpus(spark, sf):
     """Beam search from every document's first token (five positions)."""
-    out = H.decode_corpus(start_beams(spark, sf), I.bigrams(spark, sf), k=_BEAM, max_len=_STEPS)
+    out = H.decode_corpus(*_search_inputs(spark, sf), k=_BEAM, max_len=_STEPS)
     return out.select("src_id", "score", "state", _text("ids").alias("ids"))
 
 
@@ -301,7 +308,7 @@ _EXPANDED_EACH = """, best AS (SELECT src_id, prev, next, logprob FROM (
 @query(q("SELECT @", "document_bigrams").replace("SELECT @", _EXPANDED_EACH))
 def beam_expand_each(spark, sf):
     """One step of every document by its own bigrams."""
-    out = H.beam_expand(start_beams(spark, sf), I.document_bigrams(spark, sf))
+    out = H.beam_expand(*_search_inputs(spark, sf, own=True))
     return out.select("src_id", "log_prob", _text("tokens").alias("tokens"))
 
 
@@ -309,7 +316,7 @@ def beam_expand_each(spark, sf):
 def decode_each(spark, sf):
     """Beam search from every document's first token by the document's own
     bigrams, at the default number of positions."""
-    out = H.decode_corpus(start_beams(spark, sf), I.document_bigrams(spark, sf), k=_BEAM)
+    out = H.decode_corpus(*_search_inputs(spark, sf, own=True), k=_BEAM)
     return out.select("src_id", "score", "state", _text("ids").alias("ids"))
 
 

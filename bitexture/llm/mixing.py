@@ -131,25 +131,28 @@ def mix_sources(
     mine = ["mix_slot", "mix_row", "mix_epoch", "mix_block", "mix_release", "mix_deadline"]
     base = docs.drop(*mine).withColumn("__src", source_key(source)).withColumn("__h", seeded_key(seed, key))
     shared = target_shares(docs, weights, shares, temperature, source)
-    slots = period(shared).select("__src", F.col("block").alias("__k"), "total", "slot", "release", "deadline")
+    # helper columns have names that no input has
+    slots = period(shared).select(
+        "__src", F.col("block").alias("__k"), *[F.col(c).alias(f"__{c}") for c in ("total", "slot", "release", "deadline")]
+    )
     # per source: its share, its blocks, and the first slot after the mixture;
     # as many rows as sources
     sizes = shared.where("total > 0").select("total", F.explode(F.arrays_zip("names", "parts", "sizes")).alias("x"))
     table = sizes.select(
-        "total",
+        F.col("total").alias("__total"),
         F.col("x.names").alias("__src"),
         F.col("x.parts").alias("__part"),
         _div(F.col("x.sizes") + block_rows - 1, F.lit(block_rows).cast("bigint")).alias("__blocks"),
     ).withColumn("__k", (F.col("__blocks") - 1) % F.col("__part"))
-    last = _div(F.col("__blocks") - 1, F.col("__part")) * F.col("total") + F.col("slot")
-    table = table.join(slots.select("__src", "__k", "slot"), ["__src", "__k"]).withColumn(
+    last = _div(F.col("__blocks") - 1, F.col("__part")) * F.col("__total") + F.col("__slot")
+    table = table.join(slots.select("__src", "__k", "__slot"), ["__src", "__k"]).withColumn(
         "__end", F.max(last).over(Window.partitionBy(F.lit(1))) + 1
     )
-    table = table.select("__src", "__part", "__blocks", "__end", "total")
+    table = table.select("__src", "__part", "__blocks", "__end", "__total")
     ranked = hashed_positions(base, "__src", "__h", [F.col(key)], "__rank", "__of")
     own = _div(F.col("__rank"), F.lit(block_rows).cast("bigint"))
     # blocks that fit into the mixture, and as many epochs as they ask for
-    room = (_div(F.col("__end") - 1, F.col("total")) + 1) * F.col("__part")
+    room = (_div(F.col("__end") - 1, F.col("__total")) + 1) * F.col("__part")
     epochs = F.sequence(F.lit(0).cast("bigint"), _div(room - 1 - F.col("__own"), F.col("__blocks")))
     repeated = (
         ranked.withColumn("__own", own)
@@ -157,15 +160,15 @@ def mix_sources(
         .withColumn("mix_epoch", F.explode(epochs))
         .withColumn("mix_block", F.col("mix_epoch") * F.col("__blocks") + F.col("__own"))
         .withColumn("__k", F.col("mix_block") % F.col("__part"))
-        .drop("total")
+        .drop("__total")
     )
-    turn = _div(F.col("mix_block"), F.col("__part")) * F.col("total")
+    turn = _div(F.col("mix_block"), F.col("__part")) * F.col("__total")
     return (
         repeated.join(slots, ["__src", "__k"])
-        .withColumn("mix_slot", turn + F.col("slot"))
+        .withColumn("mix_slot", turn + F.col("__slot"))
         .where(F.col("mix_slot") < F.col("__end"))
         .withColumn("mix_row", (F.col("__rank") % block_rows).cast("int"))
-        .withColumn("mix_release", turn + F.col("release"))
-        .withColumn("mix_deadline", turn + F.col("deadline"))
+        .withColumn("mix_release", turn + F.col("__release"))
+        .withColumn("mix_deadline", turn + F.col("__deadline"))
         .select(*[c for c in docs.columns if c not in mine], *mine)
     )

@@ -110,12 +110,14 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     Rows are sorted within runs of 64 key values, so ids may be dense or
     sparse. Only the last row of a run looks further, at the first row of
     the next run that has any. Rows without key come before all others; equal
-    keys follow one another in no fixed order.
+    keys follow one another in no fixed order. Input columns of the added names
+    are replaced.
     """
     run = F.coalesce(F.shiftright(F.col(key).cast("bigint"), RUN_BITS), F.lit(-(2**62)))
     tagged = docs.withColumn("__run", run)
     w = Window.partitionBy("__run").orderBy(key)
     following = {c: f"next_{c}" for c in columns}
+    docs, tagged = docs.drop(*following.values()), tagged.drop(*following.values())
     inside = tagged.withColumn("__row", F.row_number().over(w)).withColumn("__last", F.lead(F.lit(1)).over(w).isNull())
     for c, n in following.items():
         inside = inside.withColumn(n, F.lead(c).over(w))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitexture.operators.lookup import lookup_join
+
 #: Bits of filter per listed URL; a block is one 64-bit word.
 BITS_PER_URL = 16
 BITS_SET = 5
@@ -93,10 +95,12 @@ def listed_urls(rows: DataFrame, listed: DataFrame, url: str = "url") -> DataFra
     passed = probe.join(words, "__word", "left").withColumn(
         "__maybe", F.coalesce(F.col("__bits").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))
     )
-    # only possible hits carry a key into the exact join
-    key = F.when(F.col("__maybe"), F.col("canonical"))
-    joined = passed.withColumn("__key", key).join(exact, F.col("__key") == F.col("__c"), "left")
-    return joined.withColumn("listed", F.col("__c").isNotNull()).drop("__word", "__mask", "__bits", "__maybe", "__key", "__c")
+    # only possible hits are joined, and dealt by URL; the others stay where they are
+    some, none = passed.where("__maybe"), passed.where(~F.col("__maybe"))
+    hits = lookup_join(some, exact.select(F.col("__c").alias("canonical"), F.lit(True).alias("__hit")), ["canonical"], "left", spread=[url])
+    helpers = ("__word", "__mask", "__bits", "__maybe", "__hit")
+    found = hits.withColumn("listed", F.coalesce("__hit", F.lit(False))).drop(*helpers)
+    return found.unionByName(none.withColumn("listed", F.lit(False)).drop(*helpers))
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:

@@ -166,6 +166,16 @@ def test_mixture_stays_on_target(spark, make_docs, weights):
         assert all(abs(n - share[s] * (t + 1)) < 1 for s, n in seen.items())
 
 
+def test_columns_of_helper_names_pass_through(spark, make_docs, odd_docs):
+    extra = ["slot", "total", "release", "deadline", "part", "block"]
+    docs = odd_docs.selectExpr("*", *[f"'{c}' AS {c}" for c in extra])
+    out = mixing.mix_sources(docs)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    assert {tuple(r[c] for c in extra) for r in out.collect()} == {tuple(extra)}
+    twice = sketches.with_next(make_docs([(1, "a"), (2, "b")]).selectExpr("*", "'x' AS next_text"), "doc_id", ["text"])
+    assert sorted((r.doc_id, r.next_text) for r in twice.collect()) == [(1, "b"), (2, "a")] and twice.columns.count("next_text") == 1
+
+
 def test_mixture_odd_inputs(odd_docs):
     assert len({(r.doc_id, r.text) for r in mixing.mix_sources(odd_docs).collect()}) == 9
     assert mixing.mix_sources(odd_docs.limit(0)).collect() == []
@@ -317,6 +327,19 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), listed.limit(0)).collect() == []
 
 
+def test_only_possible_hits_are_dealt_by_url(spark):
+    rows = spark.range(3000).selectExpr("id AS page_id", "IF(id % 10 < 9, NULL, concat('http://h/', id % 40)) AS url")
+    listed = spark.createDataFrame([("http://h/9",), ("http://h/19",)], "url string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = url_filter.judge_urls(rows, listed).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(got) == 3000 and sorted(r.page_id for r in got) == list(range(3000))
+    assert all(r.listed == (r.url in ("http://h/9", "http://h/19")) for r in got)
+
+
 def test_bloom_words_merge(spark):
     df = spark.createDataFrame([(f"http://h/{i}",) for i in range(200)], "url string")
     table, words = url_filter.blocked_bloom(df)

@@ -77,25 +77,84 @@ def keys_of(signature: np.ndarray, c: int) -> np.ndarray:
 
 
 def item_table(items: DataFrame, key: str, text: str) -> DataFrame:
-    """``item, shingles`` (distinct hashes) ``, c, keys`` of every item that has
-    words."""
+    """``item, width, shingles`` (distinct hashes) ``, c, keys`` of every item that
+    has words. ``width`` is the number of words of a shingle: five, or all of an
+    item that has fewer; such an item is one shingle and needs no minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
+        shingle = Shingler(WORDS)
         for batch in batches:
-            hashes = [np.unique(shingle(t.as_py())) for t in batch.column(1)]
+            words = [shingle.words(t.as_py()) for t in batch.column(1)]
+            widths = [min(len(w), WORDS) for w in words]
+            hashes = [np.unique(Shingler(k).runs(w)) for k, w in zip(widths, words)]
             classes = [size_class(len(h)) for h in hashes]
-            keys = [keys_of(minima(h), c).view(np.int64) if len(h) else [] for h, c in zip(hashes, classes)]
+            keys = [keys_of(minima(h), c).view(np.int64) if k == WORDS else [] for h, c, k in zip(hashes, classes, widths)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h.view(np.int64) for h in hashes], pa.list_(pa.int64())),
+                [batch.column(0), pa.array(widths, pa.int32()), pa.array([h.view(np.int64) for h in hashes], pa.list_(pa.int64())),
                  pa.array(classes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["item", "shingles", "c", "keys"],
+                names=["item", "width", "shingles", "c", "keys"],
             )
 
-    kind = T.StructType().add("item", items.schema[key].dataType).add("shingles", LONGS).add("c", T.IntegerType()).add("keys", LONGS)
+    kind = T.StructType().add("item", items.schema[key].dataType).add("width", T.IntegerType())
+    kind = kind.add("shingles", LONGS).add("c", T.IntegerType()).add("keys", LONGS)
     return items.select(F.col(key), F.col(text)).mapInArrow(run, kind).where(F.size("shingles") > 0)
 
 
+def _short_hits(table: dict[int, np.ndarray]):
+    """``doc, key``: the short items' shingles that a document has. Tasks get
+    the sorted hashes of the items by width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = table.value
+        shingle = Shingler(WORDS)
+        for batch in batches:
+            for i, t in enumerate(batch.column(1)):
+                words = shingle.words(t.as_py())
+                found = [np.intersect1d(Shingler(k).runs(words), h) for k, h in known.items() if len(words) >= k]
+                keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
+                if len(keys):
+                    doc = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(keys), np.int32)))
+                    yield pa.RecordBatch.from_arrays([doc, pa.array(keys.view(np.int64))], names=["doc", "key"])
+
+    return run
+
+
+def _all_short(widths: list[int]):
+    """Every shingle of these widths of every document, for the shuffle join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(WORDS)
+        for batch in batches:
+            for i, t in enumerate(batch.column(1)):
+                words = shingle.words(t.as_py())
+                keys = np.unique(np.concatenate([Shingler(k).runs(words) for k in widths if len(words) >= k] or [words[:0]]))
+                if len(keys):
+                    doc = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(keys), np.int32)))
+                    yield pa.RecordBatch.from_arrays([doc, pa.array(keys.view(np.int64))], names=["doc", "key"])
+
+    return run
+
+
+def _short_items(source: DataFrame, table: DataFrame, broadcast_items: int, doc_type: T.DataType) -> DataFrame | None:
+    """``doc, item, n_shared, n_item`` for the items with fewer than five words,
+    which a document has whole or not at all."""
+    short = table.where(F.col("width") < WORDS).select("item", "width", F.col("shingles")[0].alias("key"))
+    n, widths = short.agg(F.count(F.lit(1)), F.array_sort(F.collect_set("width"))).first()
+    if not n:
+        return None
+    pair = T.StructType().add("doc", doc_type).add("key", T.LongType())
+    if n <= broadcast_items:
+        by_width = {k: [] for k in widths}
+        for r in short.select("width", "key").collect():
+            by_width[r.width].append(r.key)
+        sent = {k: np.unique(np.array(v, np.int64).view(np.uint64)) for k, v in by_width.items()}
+        hits = source.mapInArrow(_short_hits(source.sparkSession.sparkContext.broadcast(sent)), pair)
+    else:
+        hits = source.mapInArrow(_all_short(widths), pair)
+    one = F.lit(1)
+    return hits.join(short, "key").select("doc", "item", one.alias("n_shared"), one.alias("n_item"))
+
+
 def _hits(table: tuple[list[int], np.ndarray, np.ndarray, list], schema: pa.Schema):
     """Documents with candidate items, and their distinct shingles."""
 
@@ -172,23 +231,27 @@ def contained_items(
     the size that fits each class. A window and an item that share one of 32
     minima are candidates: with containment 0.8 within a window one is missed
     in 1 000 times at most. Candidates are then compared shingle by shingle with
-    the whole document, so no pair below the threshold comes through. NULL
-    and empty texts contain nothing; items without words are in nothing; items
-    shorter than five words are one run, found in texts that are just that
-    run. Repeated documents are one document for each key; rows without key
-    are left out of the result, as they can't be named.
+    the whole document, so no pair below the threshold comes through. Items of
+    one to four words are searched as one run of that many words, exactly. NULL
+    and empty texts contain nothing; items without words are in nothing. Every
+    item is searched, those with a NULL or repeated id as well; a result row names
+    a document and an item id, with the highest containment among equal ones.
+    Documents without key are left out of the result, as they can't be named.
     """
-    table = stored(item_table(items, item_key, item_text).where(F.col("item").isNotNull()).dropDuplicates(["item"]), "items")
-    n, classes = table.agg(F.count(F.lit(1)), F.array_sort(F.collect_set("c"))).first()
+    # numbers are given once, as the table is written
+    named = item_table(items, item_key, item_text).withColumnRenamed("item", "name").withColumn("item", F.monotonically_increasing_id())
+    table = stored(named, "items")
+    long = table.where(F.col("width") == WORDS)
+    n, classes = long.agg(F.count(F.lit(1)), F.array_sort(F.collect_set("c"))).first()
     source = docs.select(F.col(doc_key).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull())
     spark, doc_type = docs.sparkSession, docs.schema[doc_key].dataType
-    out = T.StructType().add("doc", doc_type).add("items", T.ArrayType(items.schema[item_key].dataType)).add("shingles", LONGS)
+    out = T.StructType().add("doc", doc_type).add("items", LONGS).add("shingles", LONGS)
     if n == 0:
-        found = spark.createDataFrame([], T.StructType().add("doc", doc_type).add("item", items.schema[item_key].dataType).add("shingles", LONGS))
+        found = spark.createDataFrame([], T.StructType().add("doc", doc_type).add("item", T.LongType()).add("shingles", LONGS))
     elif n <= broadcast_items:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        rows = table.select("item", "keys").collect()
+        rows = long.select("item", "keys").collect()
         keys = np.array([k for r in rows for k in r["keys"]], np.int64).view(np.uint64)
         owner = np.repeat(np.arange(len(rows)), HASHES)
         order = np.argsort(keys, kind="stable")
@@ -198,13 +261,17 @@ def contained_items(
     else:
         pair = T.StructType().add("doc", doc_type).add("key", T.LongType())
         probes = source.mapInArrow(_all_keys(classes), pair)
-        item_keys = table.select("item", F.explode("keys").alias("key"))
+        item_keys = long.select("item", F.explode("keys").alias("key"))
         pairs = probes.join(item_keys, "key").select("doc", "item").distinct()
         sets = T.StructType().add("doc", doc_type).add("shingles", LONGS)
         found = pairs.join(source.mapInArrow(_shingle_sets, sets), "doc").select("doc", "item", "shingles")
-    exact = found.join(table.select("item", F.col("shingles").alias("mine")), "item")
+    exact = found.join(long.select("item", F.col("shingles").alias("mine")), "item")
     shared = F.size(F.array_intersect("mine", "shingles"))
     scored = exact.select("doc", "item", shared.alias("n_shared"), F.size("mine").alias("n_item"))
-    scored = scored.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= threshold)
-    once = scored.groupBy("doc", "item").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"), F.max("containment").alias("containment"))
-    return once.withColumnsRenamed({"doc": doc_key, "item": item_key})
+    scored = scored.where(F.col("n_shared") / F.col("n_item") >= threshold)
+    short = _short_items(source, table, broadcast_items, doc_type)
+    if short is not None:
+        scored = scored.unionByName(short)
+    best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item")).alias("b")
+    once = scored.join(table.select("item", "name"), "item").groupBy("doc", "name").agg(best)
+    return once.select(F.col("doc").alias(doc_key), F.col("name").alias(item_key), "b.n_shared", "b.n_item", "b.containment")

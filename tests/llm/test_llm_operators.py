@@ -204,7 +204,7 @@ def test_containment_both_ways(spark, make_docs, odd_docs):
     half = items[3][1].split()
     docs += [(50, words(100) + " " + " ".join(half[:55]) + " " + words(100)), (51, words(100) + " " + " ".join(half[:20])), (52, items[0][1])]
     table = spark.createDataFrame(items, "item_id bigint, text string")
-    want = {(i, i) for i in (1, 2, 3, 4)} | {(50, 3), (52, 0)}
+    want = {(i, i) for i in (0, 1, 2, 3, 4)} | {(50, 3), (52, 0)}
     for limit in (D.BROADCAST_ITEMS, 0):
         got = D.contained_items(make_docs(docs), table, broadcast_items=limit).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want
@@ -314,6 +314,18 @@ def test_no_pair_of_a_large_bucket_is_skipped(spark):
     assert {(r.node, r.root) for r in roots.collect()} == {(i, (i - 1) % 40 + 1) for i in range(1, 150)}
 
 
+def test_short_and_repeated_items(spark, make_docs):
+    filler = " ".join(f"f{i}" for i in range(3000))
+    items = [(1, "alpha"), (2, "Beta gamma"), (3, "one two three"), (3, "red green blue cyan"), (None, "lost item"), (5, "alpha beta"), (6, "!?"), (7, "f1 f2 f3 f4 f5 f6")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = [(1, filler + " ALPHA. " + filler), (2, "x beta, Gamma y"), (3, filler + " one two three"), (4, "red green blue cyan"), (5, "a lost item here"), (6, "beta alpha"), (7, None), (8, "one two")]
+    want = {(1, 1), (1, 7), (2, 2), (3, 3), (3, 7), (4, 3), (5, None), (6, 1)}
+    for limit in (D.BROADCAST_ITEMS, 0):
+        got = D.contained_items(make_docs(docs), table, broadcast_items=limit).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+        assert all(r.containment == r.n_shared / r.n_item == 1.0 for r in got)
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://Www.A.com:80/x/index.html?utm_source=1&b=2&a=1#f", "https://a.com/x?a=1&b=2", "x://", "s://h?q", "s://h#f", "://b/c"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string").withColumn("rule", F.lit(1))

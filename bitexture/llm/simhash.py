@@ -353,8 +353,8 @@ def linked_members(
     pass. It is asked for all of them but those that links tie already.
 
     ``members`` are ``part, key, node, __size`` and maybe ``__pivot`` (a pair
-    counts only where its smaller text, by size and node, is one) and ``__pos``,
-    for ``meet(smaller, larger)``, which gets the prefixes of their columns. In
+    counts only where its smaller text, by size and node, is one), ``__pos`` and
+    ``__bits``, for ``meet(smaller, larger)``, which gets the prefixes of their columns. In
     each round some pivots of every bucket, the smallest of each of 1, 32, 1 024,
     ... parts of it, are compared with the members in other groups by now, and
     then leave. A bucket ends when it has no pivots left or is one group, so no
@@ -362,8 +362,8 @@ def linked_members(
     and the members of a hot one are dealt over tasks.
     """
     spark = members.sparkSession
-    columns = ["part", "key", "node", "__size", "__pivot", "__pos"]
-    for name, value in (("__pivot", F.lit(True)), ("__pos", F.lit(0))):
+    columns = ["part", "key", "node", "__size", "__pivot", "__pos", "__bits"]
+    for name, value in (("__pivot", F.lit(True)), ("__pos", F.lit(0)), ("__bits", F.array().cast("array<bigint>"))):
         if name not in members.columns:
             members = members.withColumn(name, value)
     if links is None:
@@ -384,11 +384,11 @@ def linked_members(
         chosen = (
             left.where("__pivot")
             .groupBy("part", "key", place.alias("__place"))
-            .agg(F.min(F.struct("node", "__size", "__pos", "root")).alias("p"))
-            .select("part", "key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "__size", "__pos", "root")])
+            .agg(F.min(F.struct("node", "__size", "__pos", "root", "__bits")).alias("p"))
+            .select("part", "key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "__size", "__pos", "root", "__bits")])
         )
         chosen = stored(chosen, "pivots")
-        others = left.select("part", "key", *[F.col(c).alias(f"o_{c}") for c in ("node", "__size", "__pos", "__pivot", "root")])
+        others = left.select("part", "key", *[F.col(c).alias(f"o_{c}") for c in ("node", "__size", "__pos", "__pivot", "root", "__bits")])
         met = lookup_join(others, chosen, ["part", "key"], "inner", spread=["o_node"])
         first = F.struct("p___size", "p_node") < F.struct("o___size", "o_node")
         # the smaller one has to be a pivot
@@ -423,6 +423,7 @@ def prefix_members(sets: DataFrame, similarity: float) -> DataFrame:
     set, and more of the smaller one. Variants of one template that differ too
     much have their own shingles first and never meet over the template.
     """
+    sets = sets.withColumn("__bits", parities("__set"))
     each = sets.select("node", F.size("__set").alias("__size"), F.explode("__set").alias("key"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("__often"))
     ranked = (
@@ -433,18 +434,36 @@ def prefix_members(sets: DataFrame, similarity: float) -> DataFrame:
     whole, both = F.ceil(F.col("__size") * similarity - 1e-6), F.ceil(F.col("__size") * (2 * similarity / (1 + similarity)) - 1e-6)
     first = F.slice("__all", F.lit(1), (F.col("__size") - whole + 1).cast("int"))
     out = ranked.select("node", "__size", F.posexplode(first).alias("__at", "s"), (F.col("__size") - both + 1).alias("__most"))
-    return out.where("s.__often > 1").select(
-        F.lit(0).alias("part"), "s.key", "node", "__size", (F.col("__at") + 1 <= F.col("__most")).alias("__pivot"), (F.col("__at") + 1).alias("__pos")
+    return out.where("s.__often > 1").join(sets.select("node", "__bits"), "node").select(
+        F.lit(0).alias("part"), "s.key", "node", "__size", (F.col("__at") + 1 <= F.col("__most")).alias("__pivot"), (F.col("__at") + 1).alias("__pos"), "__bits"
     )
 
 
+def parities(column: str) -> Column:
+    """256 bits of a set of hashes: whether the number of hashes that fall on a
+    bit is odd. Two sets differ in at least as many hashes as in bits."""
+
+    def word(w: int) -> Column:
+        mine = F.filter(column, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(3)) == w)
+        one = F.lit(1).cast("bigint")
+        return F.aggregate(
+            mine, F.lit(0).cast("bigint"), lambda all_, h: all_.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int")))
+        )
+
+    return F.array(*[word(w) for w in range(4)])
+
+
 def _first_shared(similarity: float) -> Callable[[str, str], Column]:
     """Whether a shingle at these places may be the first that two sets share,
-    if they share as many as they need."""
+    if they share as many as they need, and whether their parities differ in no
+    more bits than they may in hashes."""
 
     def meet(a: str, b: str) -> Column:
         after = F.least(F.col(f"{a}__size") - F.col(f"{a}__pos"), F.col(f"{b}__size") - F.col(f"{b}__pos"))
-        return 1 + after >= _needed(f"{a}__size", f"{b}__size", similarity)
+        needed = _needed(f"{a}__size", f"{b}__size", similarity)
+        bits = F.zip_with(f"{a}__bits", f"{b}__bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        apart = F.aggregate(bits, F.lit(0), lambda n, x: n + x)
+        return (1 + after >= needed) & (apart <= F.col(f"{a}__size") + F.col(f"{b}__size") - 2 * needed)
 
     return meet
 

@@ -18,8 +18,10 @@ q = I.with_inputs
 
 
 def _table_stream(spark, sf, name):
+    """A table as a stream, be it one file or a folder of part files: a stream
+    takes a single file by a pattern only."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}}}.parquet")
 
 
 def _run(spark, stream):

@@ -5,14 +5,18 @@ token; with a column ``src_id`` every source has scores of its own. ``beams``:
 ``src_id, log_prob, tokens``.
 
 With one score table for all, the sources move together, one output position
-per step. Scores of their own are gathered by source once, and the whole search
-of a source is one expression over its row: no exchange per position.
+per step. Scores of their own are gathered by source once, and the search runs
+on the rows, many sources of a batch at a time: no exchange per position.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitexture.functions.arrays import BOS_ID, EOS_ID, MAX_LEN, PAD_ID, drop_special
 from bitexture.functions.scores import LENGTH_PENALTY, length_penalized
@@ -170,22 +174,112 @@ def _best_finished(step):
     return one.select("src_id", "b.log_prob", "b.tokens", "b.score", "b.state")
 
 
-_BEAM = "struct<log_prob:double,tokens:array<int>>"
-_ANSWER = "struct<ended:boolean,score:double,order:array<int>>"
+_ANSWER = T.StructType().add("ended", T.BooleanType()).add("score", T.DoubleType()).add("tokens", T.ArrayType(T.IntegerType()))
+#: Sources whose search advances together inside a task.
+TOGETHER = 512
 
 
 def scores_by_source(next_scores: DataFrame, k: int = BEAM_SIZE) -> DataFrame:
     """``src_id, scores``: the ``k`` best next tokens of every token of a source
-    as one map. Its size is bounded by the vocabulary, whatever the source."""
-    options = F.sort_array(F.collect_list(F.struct((-F.col("logprob")).alias("cost"), "next")))
-    each = top_next(next_scores, k).groupBy("src_id", "prev").agg(options.alias("options"))
-    entry = F.struct("prev", F.transform("options", lambda o: F.struct(o["next"].cast("int").alias("next"), (-o["cost"]).alias("logprob"))))
-    return each.groupBy("src_id").agg(F.map_from_entries(F.collect_list(entry)).alias("scores"))
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    as one list. Its size is bounded by the vocabulary, whatever the source."""
+    entry = F.struct(F.col("prev").cast("int"), F.col("next").cast("int"), "logprob")
+    return top_next(next_scores, k).groupBy("src_id").agg(F.collect_list(entry).alias("scores"))
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Half away from zero, as ``round`` of a column; no negative zero."""
+    unit = 10.0**DIGITS
+    return np.copysign(np.floor(np.abs(x) * unit + 0.5) / unit, x) + 0.0
+
+
+class _Answers:
+    """The best answer of each source so far: ended ones first, then the higher
+    score, then the smaller token list."""
+
+    def __init__(self, n: int, width: int) -> None:
+        self.ended, self.score = np.full(n, -1, np.int8), np.full(n, -np.inf)
+        self.tokens, self.sizes = np.full((n, width), _PAST, np.int32), np.zeros(n, np.int64)
+
+    def offer(self, at: np.ndarray, ended: np.ndarray, score: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> None:
+        was, best = self.ended[at], self.score[at]
+        better = (ended > was) | ((ended == was) & (score > best))
+        tied = np.flatnonzero((ended == was) & (score == best))
+        if len(tied):
+            old, new = self.tokens[at[tied]], tokens[tied]
+            first = (old != new).argmax(axis=1)[:, None]
+            better[tied] = np.take_along_axis(new, first, 1)[:, 0] < np.take_along_axis(old, first, 1)[:, 0]
+        at, pick = at[better], np.flatnonzero(better)
+        self.ended[at], self.score[at], self.tokens[at], self.sizes[at] = ended[pick], score[pick], tokens[pick], sizes[pick]
+
+
+_PAST = np.iinfo(np.int32).max  # behind the last token
+
+
+def _search(starts: pa.Array, scores: pa.Array, k: int, max_len: int, eos: int, alpha: float) -> _Answers:
+    """Beam search of some sources by their own scores, one position of all of
+    them at a time. Beams of a source are equally long, so token lists compare
+    as the places of their beams before, then by the new token."""
+    n = len(starts)
+    sizes = np.asarray(pc.fill_null(starts.value_lengths(), 0)).astype(np.int64)
+    width = int(sizes.max(initial=0)) + max_len
+    entries, lengths = scores.flatten(), np.asarray(pc.fill_null(scores.value_lengths(), 0))
+    prev, following, logprob = (np.asarray(entries.field(i)) for i in range(3))
+    key = np.repeat(np.arange(n), lengths) << 32 | prev.astype(np.int64) & 0xFFFFFFFF
+    order = np.lexsort((following, -logprob, key))
+    following, logprob = following[order], logprob[order]
+    known, begins, counts = np.unique(key[order], return_index=True, return_counts=True)
+    found = _Answers(n, width)
+    rows = np.arange(n)
+    tokens = np.full((n, 1, width), _PAST, np.int32)
+    tokens[np.repeat(rows, sizes), 0, np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = starts.flatten()
+    log_prob, alive, place = np.zeros((n, 1)), np.ones((n, 1), bool), np.zeros((n, 1), np.int64)
+
+    def rate(log_prob, size):
+        return _rounded(log_prob / np.maximum(size, 1) ** alpha)
+
+    for step in range(max_len):
+        size = sizes[rows] + step
+        last = np.take_along_axis(tokens, np.maximum(size - 1, 0)[:, None, None], 2)[:, :, 0].astype(np.int64)
+        want = rows[:, None] << 32 | last & 0xFFFFFFFF
+        spot = np.minimum(np.searchsorted(known, want), len(known) - 1)
+        goes = alive & (last != eos) & (known[spot] == want) if len(known) else np.zeros_like(alive)
+        for j in np.flatnonzero((alive & ~goes).any(axis=0)):
+            i = np.flatnonzero(alive[:, j] & ~goes[:, j])
+            found.offer(rows[i], (last[i, j] == eos).astype(np.int8), rate(log_prob[i, j], size[i]), tokens[i, j], size[i])
+        on = goes.any(axis=1)
+        rows, size, tokens, log_prob, goes, place = rows[on], size[on] + 1, tokens[on], log_prob[on], goes[on], place[on]
+        if not len(rows):
+            alive = goes
+            break
+        spot, nth = spot[on], np.arange(k)
+        valid = goes[:, :, None] & (nth < counts[spot][:, :, None])
+        at = np.where(valid, begins[spot][:, :, None] + nth, 0)
+        flat = (len(rows), -1)
+        token, valid = following[at].reshape(flat), valid.reshape(flat)
+        total = _rounded(log_prob[:, :, None] + logprob[at]).reshape(flat)
+        score = rate(total, size[:, None])
+        beam = np.repeat(np.arange(place.shape[1]), k)
+        # unfinished ones first, each kind best first
+        kind = np.where(valid, token == eos, 2)
+        sort = np.lexsort((token, place[:, beam], -score, kind), axis=1)
+        going = np.take_along_axis(kind, sort[:, :k], 1) == 0
+        ends = np.flatnonzero((kind == 1).any(axis=1))
+        one = sort[ends, (kind[ends] == 0).sum(axis=1)]
+        done = tokens[ends, beam[one]]
+        done[np.arange(len(ends)), size[ends] - 1] = eos
+        found.offer(rows[ends], np.ones(len(ends), np.int8), score[ends, one], done, size[ends])
+        sort = sort[:, :k]
+        token = np.take_along_axis(token, sort, 1)
+        place = np.take_along_axis(place, beam[sort], 1) << 33 | token.astype(np.int64) + (1 << 31)
+        place = np.argsort(np.argsort(place, axis=1), axis=1)
+        tokens = np.take_along_axis(tokens, beam[sort][:, :, None], 1)
+        np.put_along_axis(tokens, (size - 1)[:, None, None], token[:, :, None], 2)
+        log_prob, alive = np.take_along_axis(total, sort, 1), going
+    size = np.minimum(sizes[rows] + max_len, width)
+    for j in range(alive.shape[1] if len(rows) else 0):
+        i = np.flatnonzero(alive[:, j])
+        found.offer(rows[i], np.zeros(len(i), np.int8), rate(log_prob[i, j], size[i]), tokens[i, j], size[i])
+    return found
 
 
 def _decode_each(sources, next_scores, k, max_len, eos, alpha) -> DataFrame:
@@ -193,58 +287,23 @@ def _decode_each(sources, next_scores, k, max_len, eos, alpha) -> DataFrame:
     scored = sources.select("src_id", F.col("tokens").cast("array<int>").alias("tokens")).join(
         scores_by_source(next_scores, k), "src_id", "left"
     )
-    scores = F.col("scores")
 
-    def rate(log_prob, tokens):
-        return F.round(length_penalized(log_prob, F.size(tokens), alpha), DIGITS)
-
-    def last(tokens):
-        return F.element_at(tokens, -1)
-
-    def options(beam):
-        return F.when(last(beam["tokens"]) != eos, F.try_element_at(scores, last(beam["tokens"])))
-
-    def answer(ended, log_prob, tokens):
-        # the smallest token list wins a tie
-        return F.struct(ended, rate(log_prob, tokens), F.transform(tokens, lambda t: -t)).cast(_ANSWER)
-
-    def grown(beam, option):
-        tokens = F.concat(beam["tokens"], F.array(option["next"]))
-        log_prob = F.round(beam["log_prob"] + option["logprob"], DIGITS)
-        ended = option["next"] == eos
-        return F.struct(ended.alias("ended"), (-rate(log_prob, tokens)).alias("cost"), tokens.alias("tokens"), log_prob.alias("log_prob"))
-
-    def step(state, _):
-        live, no_options = state["live"], F.array().cast("array<struct<next:int,logprob:double>>")
-        # unfinished ones first, each kind best first
-        found = F.array_sort(
-            F.flatten(F.transform(live, lambda b: F.transform(F.coalesce(options(b), no_options), lambda o: grown(b, o))))
-        )
-        stuck = F.transform(
-            F.filter(live, lambda b: options(b).isNull()), lambda b: answer(last(b["tokens"]) == eos, b["log_prob"], b["tokens"])
-        )
-
-        def after(candidates):
-            going = F.slice(F.filter(candidates, lambda c: ~c["ended"]), 1, k)
-            ended = F.slice(F.filter(candidates, lambda c: c["ended"]), 1, 1)
-            answers = F.concat(F.array(state["best"]), stuck, F.transform(ended, lambda c: answer(F.lit(True), c["log_prob"], c["tokens"])))
-            beams = F.transform(going, lambda c: F.struct(c["log_prob"].alias("log_prob"), c["tokens"].alias("tokens")))
-            return F.struct(beams.cast(f"array<{_BEAM}>").alias("live"), F.array_max(answers).cast(_ANSWER).alias("best"))
-
-        return _let(found, after)
-
-    start = F.struct(
-        F.array(F.struct(F.lit(0.0), F.col("tokens")).cast(_BEAM)).alias("live"), F.lit(None).cast(_ANSWER).alias("best")
-    )
-
-    def end(state):
-        left = F.transform(state["live"], lambda b: answer(F.lit(False), b["log_prob"], b["tokens"]))
-        return F.array_max(F.concat(F.array(state["best"]), left))
-
-    found = scored.select("src_id", F.aggregate(F.sequence(F.lit(1), F.lit(max_len)), start, step, end).alias("b"))
+    def run(starts: pa.Array, scores: pa.Array) -> pa.Array:
+        parts = []
+        for i in range(0, len(starts), TOGETHER):
+            part = starts.slice(i, TOGETHER)
+            found = _search(part, scores.slice(i, TOGETHER), k, max_len, eos, alpha)
+            inside = np.arange(found.tokens.shape[1]) < found.sizes[:, None]
+            offsets = np.concatenate([[0], np.cumsum(found.sizes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.tokens[inside]))
+            ended = pa.array(found.ended == 1)
+            parts.append(pa.StructArray.from_arrays([ended, pa.array(found.score), lists], _ANSWER.names, mask=pc.is_null(part)))
+        return pa.concat_arrays(parts)
+
+    found = scored.select("src_id", F.arrow_udf(run, _ANSWER)("tokens", "scores").alias("b"))
     return found.select(
         "src_id",
         F.col("b.score").alias("score"),
         F.when(F.col("b.ended"), "finished").otherwise("live").alias("state"),
-        drop_special(F.transform("b.order", lambda t: -t), (PAD_ID, BOS_ID, EOS_ID)).alias("ids"),
+        drop_special(F.col("b.tokens"), (PAD_ID, BOS_ID, EOS_ID)).alias("ids"),
     )

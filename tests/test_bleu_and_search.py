@@ -183,3 +183,29 @@ def test_every_source_is_answered_by_its_own_scores(spark):
     sources = spark.createDataFrame([(1, [5]), (2, [5]), (3, [7]), (4, [3]), (5, [5])], "src_id bigint, tokens array<int>")
     got = {r.src_id: (r.state, r.ids) for r in H.decode_corpus(sources, scores, k=2, max_len=5).collect()}
     assert got == {1: ("finished", [5, 6]), 2: ("live", [5]), 3: ("live", [7, 8]), 4: ("finished", []), 5: ("live", [5, 7])}
+
+
+def test_sources_search_together_with_ties(spark, monkeypatch):
+    """The same answers however many sources advance together, for starts of
+    several lengths and scores with many ties; no expression of the search is
+    evaluated position by position within the row."""
+    rng = random.Random(4)
+    tables = {i: {p: {n: -rng.randint(1, 3) / 2 for n in rng.sample(range(3, 9), 4)} for p in range(2, 9) if p != 3} for i in range(40)}
+    rows = [(i, p, n, lp) for i, t in tables.items() for p, row in t.items() for n, lp in row.items()]
+    scores = spark.createDataFrame(rows, "src_id int, prev int, next int, logprob double")
+    starts = {i: [2] * (i % 3) + [4 + i % 5] for i in tables}
+    sources = spark.createDataFrame(list(starts.items()), "src_id int, tokens array<int>").coalesce(1)
+    for together in (1, 7, 512):
+        monkeypatch.setattr(H, "TOGETHER", together)
+        found = H.decode_corpus(sources, scores, 3, 9)
+        assert {r.src_id: r.ids for r in found.collect()} == {i: python_search(s, tables[i], 3, 9) for i, s in starts.items()}
+    assert "lambdafunction(" not in found.select("score")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bigrams_of_documents_are_not_shuffled(spark):
+    from bitexture.plans import inputs as I
+
+    ids = spark.createDataFrame([(1 << 32, [5, 6, 5]), (2 << 32, [5])], "line_no bigint, ids array<int>")
+    found = I.document_bigrams_of(ids)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.src_id, r.prev, r.next, r.n) for r in found.collect() if r.src_id == 2) == [(2, 2, 5, 1), (2, 5, 3, 1)]

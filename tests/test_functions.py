@@ -350,3 +350,18 @@ def test_scores(spark):
     assert math.isclose(row[3], -3 / 5**0.7)
     assert math.isclose(row[4], 0.9 + 0.4)
     assert math.isclose(row[5], math.exp(1 - 10 / 8))
+
+
+def test_unescape_sends_references_only(spark):
+    """The same text as the library's, though Python gets no other text."""
+    import html
+    import random
+
+    rng = random.Random(8)
+    bits = ["&", "&amp;", "&amp", "&notit;", "&not", "&#65;", "&#x1F600", "&#x110000;", "&#0;", "&#128;", "&;", "&&lt;", "x", " ", "\n", "&#", "&#x;",
+            "&copy", "&CounterClockwiseContourIntegral;", "&" + "q" * 40 + ";", "\u00e9", "\U0001f600", "&\U0001f600;", "&#1;", "&\u00a0;", "&\r;", "&#\u0661;"]
+    texts = [None, "", "&", "plain", *bits, *["".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(400)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(3)
+    found = df.select("id", X.html_unescape(F.col("t")).alias("u"))
+    assert {r.id: r.u for r in found.collect()} == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}
+    assert "regexp_extract_all" in found._jdf.queryExecution().executedPlan().toString().split("ArrowEvalPython")[-1]

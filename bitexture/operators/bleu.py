@@ -16,6 +16,8 @@ from bitexture.functions.scores import BLEU_ORDERS, bleu_from_counts
 from bitexture.functions.text import WS, strip_unicode
 
 TOKENIZERS = ("none", "13a", "char")
+#: Bytes of text whose n-grams a task holds at a time, or one row.
+TEXT_BYTES = 1 << 20
 
 
 def bleu_text(c: Column, tokenizer: str = "13a") -> Column:
@@ -57,8 +59,8 @@ def _match_udf():
     orders = range(1, BLEU_ORDERS + 1)
     names = ["hyp_len", "ref_len", *[f"m{n}" for n in orders]]
 
-    def matches(hyps: pa.Array, refs: pa.Array) -> pa.Array:
-        """Whole batches at once: n-grams become numbers, a number per row and
+    def count(hyps: pa.Array, refs: pa.Array) -> pa.Array:
+        """All rows at once: n-grams become numbers, a number per row and
         n-gram is counted on either side."""
         import numpy as np
         import pandas as pd
@@ -74,7 +76,7 @@ def _match_udf():
         filled = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(2 * size), lengths)[filled]
         lengths = np.bincount(owner, minlength=2 * size)
-        word = pd.factorize(words.to_numpy(zero_copy_only=False)[filled])[0].astype("int64")
+        word = pc.dictionary_encode(words).indices.to_numpy(zero_copy_only=False)[filled].astype("int64")
         columns = [lengths[:size], lengths[size:]]
         gram, base = word, int(word.max(initial=0)) + 1
         for n in orders:
@@ -92,6 +94,18 @@ def _match_udf():
             columns.append(np.bincount(keys // span, weights=clipped, minlength=size))
         return arrow.StructArray.from_arrays([arrow.array(c.astype("int64")) for c in columns], names)
 
+    def matches(hyps: pa.Array, refs: pa.Array) -> pa.Array:
+        """Some rows at a time, so that memory doesn't grow with a batch's texts."""
+        import numpy as np
+        import pyarrow as arrow
+        import pyarrow.compute as pc
+
+        lengths = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype("int64") for c in (hyps, refs)]
+        share = (np.cumsum(lengths[0] + lengths[1]) - 1) // TEXT_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(share)) + 1), len(hyps)]
+        parts = [count(hyps.slice(i, j - i), refs.slice(i, j - i)) for i, j in zip(cuts, cuts[1:])]
+        return arrow.concat_arrays(parts)
+
     return F.arrow_udf(matches, T.StructType([T.StructField(c, T.LongType()) for c in names]))
 
 
@@ -134,18 +148,27 @@ def _parts() -> tuple[list[Column], list[Column]]:
 
 def corpus_bleu(df: DataFrame, tokenizer: str = "13a") -> DataFrame:
     """One row: summed counts and the corpus score in percent."""
+    return corpus_score(bleu_stats(df, tokenizer))
+
+
+def corpus_score(stats: DataFrame) -> DataFrame:
+    """``corpus_bleu`` from the counts of ``bleu_stats``."""
     names = ["hyp_len", "ref_len"] + [f"{k}{n}" for k in "mt" for n in range(1, BLEU_ORDERS + 1)]
-    sums = bleu_stats(df, tokenizer).agg(*[F.sum(c).alias(c) for c in names])
+    sums = stats.agg(*[F.sum(c).alias(c) for c in names])
     m, t = _parts()
     return sums.withColumn("bleu", bleu_from_counts(m, t, F.col("hyp_len"), F.col("ref_len")))
 
 
 def sentence_bleu(df: DataFrame, tokenizer: str = "13a") -> DataFrame:
     """Adds ``score``, the BLEU of each row over its effective order."""
+    return sentence_score(bleu_stats(df, tokenizer)).select(*df.columns, "score")
+
+
+def sentence_score(stats: DataFrame) -> DataFrame:
+    """``sentence_bleu`` from the counts of ``bleu_stats``."""
     m, t = _parts()
-    stats = bleu_stats(df, tokenizer)
     score = bleu_from_counts(m, t, F.col("hyp_len"), F.col("ref_len"), effective_order=True)
-    return stats.select(*df.columns, score.alias("score"))
+    return stats.withColumn("score", score)
 
 
 def best_sentences(scored: DataFrame, k: int = 5) -> DataFrame:

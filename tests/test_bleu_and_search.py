@@ -103,6 +103,21 @@ def test_evaluate(spark):
     assert math.isclose(out.best.head().score, 100.0)
 
 
+def test_bleu_counts_few_texts_at_a_time(spark, monkeypatch):
+    """The same counts for any share of text held at a time, also for rows
+    that are longer, empty or NULL."""
+    from bitexture.operators import bleu as B
+
+    rng = random.Random(3)
+    rows = [(i, *(" ".join(rng.choices("abcd", k=rng.choice([0, 1, 5, 60]))) for _ in range(2))) for i in range(60)]
+    df = spark.createDataFrame([*rows, (60, None, "a b"), (61, "", ""), (62, "a", None)], "id int, hyp string, ref string").coalesce(1)
+    found = []
+    for size in (1, 50, 1 << 20):
+        monkeypatch.setattr(B, "TEXT_BYTES", size)
+        found.append(sorted(map(str, B.bleu_stats(df, "none").collect())))
+    assert found[0] == found[1] == found[2]
+
+
 def python_search(start, table, k, max_len, eos=3, alpha=0.7):
     def rate(lp, tokens):
         return round(lp / len(tokens) ** alpha, 6)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitexture.operators import corpus as C
-from bitexture.operators.bleu import best_sentences, corpus_bleu, sentence_bleu, worst_sentences
+from bitexture.operators.bleu import best_sentences, bleu_stats, corpus_score, sentence_score, worst_sentences
 from bitexture.operators.requests import translate_batch
 from bitexture.operators.shuffle import seeded_shuffle
 from bitexture.session import stored
@@ -63,7 +63,9 @@ def evaluate(
 ) -> Evaluation:
     """Translates ``src`` of ``id, src, tgt`` and scores it against ``tgt``:
     corpus BLEU, sentence BLEU, and the ``k`` best and worst sentences."""
-    # the caller's model runs once, and each sentence is scored once
-    hyps = stored(translate_batch(pairs, make_translator).select("id", "hyp", F.col("tgt").alias("ref")), "hypotheses")
-    scored = stored(sentence_bleu(hyps, tokenizer), "scores")
-    return Evaluation(hyps, corpus_bleu(hyps, tokenizer), scored, best_sentences(scored, k), worst_sentences(scored, k))
+    # the caller's model runs once, n-grams are counted once, and each sentence
+    # is scored once; all of it in one pass
+    hyps = translate_batch(pairs, make_translator).select("id", "hyp", F.col("tgt").alias("ref"))
+    counted = stored(sentence_score(bleu_stats(hyps, tokenizer)), "scores")
+    scored = counted.select(*hyps.columns, "score")
+    return Evaluation(scored.select(*hyps.columns), corpus_score(counted), scored, best_sentences(scored, k), worst_sentences(scored, k))

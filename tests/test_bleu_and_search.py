@@ -118,6 +118,17 @@ def test_bleu_counts_few_texts_at_a_time(spark, monkeypatch):
     assert found[0] == found[1] == found[2]
 
 
+def test_evaluation_counts_once(spark, monkeypatch):
+    from bitexture.plans import jobs
+
+    written = []
+    monkeypatch.setattr(jobs, "stored", lambda df, name, put=jobs.stored: written.append(name) or put(df, name))
+    df = spark.createDataFrame([(1, "A B C D", "a b c d"), (2, "X", "y")], "id int, src string, tgt string")
+    out = jobs.evaluate(df, lambda: str.lower, "none", k=1)
+    assert len(written) == 1 and out.sentences.columns == ["id", "hyp", "ref", "score"]
+    assert "ArrowEvalPython" not in out.corpus._jdf.queryExecution().executedPlan().toString()
+
+
 def python_search(start, table, k, max_len, eos=3, alpha=0.7):
     def rate(lp, tokens):
         return round(lp / len(tokens) ** alpha, 6)

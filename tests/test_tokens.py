@@ -129,6 +129,24 @@ def test_pretokenize_keeps_specials(spark):
     assert words == ["a", "[PAD]", "b", "!", "[EOS]", "?", "x", "__src_en__"]
 
 
+def test_texts_without_specials_take_the_plain_pattern(spark):
+    """Same words either way; looking ahead is only for texts that hold one."""
+    texts = ["a[PAD]b ![EOS]? x__src_en__", "__src_ en__ [PAD [ PAD]", "plain text, no marks...", "", None, "\u00e9t\u00e9_1 [unk]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    found = df.select("id", K.pretokenize(F.col("t"), K.SPECIAL_TOKENS).alias("s"), K.pretokenize(F.col("t")).alias("p"))
+    rows = {r.id: r for r in found.collect()}
+    assert rows[0].s == ["a", "[PAD]", "b", "!", "[EOS]", "?", "x", "__src_en__"] and rows[4].s is None
+    assert all(rows[i].s == rows[i].p for i in (1, 2, 3, 4, 5))
+    assert "Contains" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kept_words_are_bounded(spark, trained, monkeypatch):
+    texts, df, model, tok = trained
+    monkeypatch.setattr(B, "KEPT_WORDS", 3)
+    got = {r.id: r.ids for r in B.bpe_encode(df, model).collect()}
+    assert got == {i: tok.encode(t).ids for i, t in enumerate(texts)}
+
+
 def test_vocab_lookup(spark):
     df = spark.createDataFrame([(1, ["a", "b", "zz", "a"]), (2, []), (3, None)], "id int, tokens array<string>")
     vocab = K.build_vocab(spark.createDataFrame([("a", 5), ("b", 5), ("c", 1)], "token string, n bigint"), 6)

@@ -170,3 +170,50 @@ def test_word_pattern_is_the_library_pattern(spark):
     for t, words in df.select("t", K.pretokenize(F.col("t"))).collect():
         assert words == [w for w, _ in Whitespace().pre_tokenize_str(t)]
         assert not re.search(r"\s", "".join(words))
+
+
+def test_large_corpora_begin_with_few_pairs(spark, tmp_path, monkeypatch):
+    """More words than the driver may hold: rounds grow from a few pairs; words
+    of a batch are handled a few symbols at a time."""
+    monkeypatch.setattr(B, "FIRST_PAIRS", 2)
+    monkeypatch.setattr(B, "MAX_STRETCHES", 60)
+    monkeypatch.setattr(B, "SLICE_SYMBOLS", 50)
+    texts = corpus(60, seed=5) + ["aaaa aaaaaaa baaaab abababa", "abcabcabc bcbc cabab " + "ab" * 200]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    taken = []
+    stretches = B._stretches
+    monkeypatch.setattr(B, "_stretches", lambda words, pairs: taken.append(len(pairs)) or stretches(words, pairs))
+    model = B.train_bpe(df, vocab_size=90)
+    assert {r.token: r.id for r in model.vocab.collect()} == library(texts, 90, tmp_path).get_vocab()
+    assert taken[:2] == [2, 8]
+
+
+def test_a_training_step_runs_python_once(spark):
+    """Words go to one Python worker per task, and are not computed again to filter them."""
+    words = spark.createDataFrame([(3, [1, 2, 1, 2, 3]), (2, [1, 2]), (1, [5, 5, 5]), (4, [7])], "n bigint, codes array<int>")
+    steps = {
+        "merged": B._merged(words, [(1, 2, 9), (9, 9, 10), (5, 5, 11)]),
+        "stretches": B._stretches(words, [(1, 2), (2, 1)]),
+        "pairs": B._pair_counts(words),
+    }
+    for df in steps.values():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert sorted((tuple(r.codes), r.n) for r in steps["merged"].collect()) == [((10, 3), 3), ((11, 5), 1)]
+    assert sorted((tuple(r.codes), r.n) for r in steps["stretches"].collect()) == [((1, 2), 2), ((1, 2, 1, 2), 3)]
+    counts = {(r.left, r.right): r.n for r in steps["pairs"].collect()}
+    assert counts == {(1, 2): 8, (2, 1): 3, (2, 3): 3, (5, 5): 2}
+
+
+def test_merged_words_are_those_of_one_merge_at_a_time(spark):
+    rng = random.Random(8)
+    words = [[rng.choice("aab") for _ in range(rng.randint(2, 30))] for _ in range(200)]
+    codes = [[ord(c) for c in w] for w in words]
+    merges = [(97, 97, 200), (200, 97, 201), (98, 200, 202), (202, 98, 203), (97, 98, 204), (203, 203, 205)]
+    want = []
+    for i, c in enumerate(codes):
+        for merge in merges:
+            c = B._replaced(c, *merge)
+        want += [(i, c)] if len(c) > 1 else []
+    df = spark.createDataFrame(list(enumerate(codes)), "n bigint, codes array<int>").repartition(3)
+    assert sorted((r.n, r.codes) for r in B._merged(df, merges).collect()) == want

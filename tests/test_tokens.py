@@ -217,3 +217,27 @@ def test_merged_words_are_those_of_one_merge_at_a_time(spark):
         want += [(i, c)] if len(c) > 1 else []
     df = spark.createDataFrame(list(enumerate(codes)), "n bigint, codes array<int>").repartition(3)
     assert sorted((r.n, r.codes) for r in B._merged(df, merges).collect()) == want
+
+
+def test_words_reach_a_task_in_bounded_slices(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(B, "SLICE_SYMBOLS", 10)
+    words = [[i] * size for i, size in enumerate([3, 4, 2, 30, 1, 1, 9, 10, 5])]
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int32())), pa.array(range(len(words)))], names=["codes", "n"])
+    parts = [(codes.to_pylist(), n.tolist()) for codes, n in B._slices(iter([batch, batch.slice(2, 4)]))]
+    sizes = [[len(w) for w in codes] for codes, _ in parts]
+    assert all(sum(x) - max(x) <= B.SLICE_SYMBOLS for x in sizes)
+    assert [w for codes, _ in parts for w in codes] == words + words[2:6]
+    assert [i for _, n in parts for i in n] == [*range(9), *range(2, 6)]
+
+
+def test_the_first_merges_take_one_count_of_words(spark, sf, monkeypatch):
+    from bitexture.plans import token_queries as Q
+
+    calls = []
+    count = K.word_freq
+    for module in (K, B):
+        monkeypatch.setattr(module, "word_freq", lambda *a: calls.append(a) or count(*a))
+    assert Q.train_bpe_merges(spark, sf).count() == Q._MERGES
+    assert len(calls) == 1

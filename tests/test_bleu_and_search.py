@@ -235,3 +235,22 @@ def test_bigrams_of_documents_are_not_shuffled(spark):
     found = I.document_bigrams_of(ids)
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert sorted((r.src_id, r.prev, r.next, r.n) for r in found.collect() if r.src_id == 2) == [(2, 2, 5, 1), (2, 5, 3, 1)]
+
+
+def test_one_step_counts_the_bigrams_it_can_take(spark, sf):
+    """Scores of a beam's continuations are those of the full table; no others are counted or shuffled."""
+    from bitexture.operators import tokens as K
+    from bitexture.plans import inputs as I
+
+    lines = [(1 << 32, [5, 6, 5, 7, 5]), ((1 << 32) + 1, [6, 5, 6]), (2 << 32, [5]), (3 << 32, []), (4 << 32, [2, 3, 3])]
+    ids = spark.createDataFrame(lines, "line_no bigint, ids array<int>")
+    beams = spark.createDataFrame([(1, [2, 5]), (1, [2, 7]), (2, [2, 5]), (4, [2, 3]), (9, [2, 5])], "src_id bigint, tokens array<int>")
+    wanted = {(r.src_id, r.tokens[-1]) for r in beams.collect()}
+    full = {tuple(r) for r in I.document_bigrams_of(ids).collect()}
+    got = [tuple(r) for r in I.document_bigrams_of(ids, beams).collect()]
+    assert sorted(got) == sorted(r for r in full if r[:2] in wanted) and len(got) < len(full)
+    step = lambda scores: sorted(map(str, H.beam_expand(beams.withColumn("log_prob", F.lit(0.0)), scores).collect()))
+    assert step(I.document_bigrams_of(ids, beams)) == step(I.document_bigrams_of(ids))
+    rows = spark.createDataFrame([(2, list("abab"), ["b"]), (3, list("ba"), ["a", "b"])], "n bigint, symbols array<string>, l array<string>")
+    counts = {(r.left, r.right): r.n for r in K.symbol_pair_counts(rows, lefts="l").collect()}
+    assert counts == {("b", "a"): 5}

@@ -7,17 +7,24 @@ follow Papineni et al. 2002, Chen & Cherry 2014 and Post 2018.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitexture.functions.scores import BLEU_ORDERS, bleu_from_counts
 from bitexture.functions.text import WS, strip_unicode
+from bitexture.session import stored
 
 TOKENIZERS = ("none", "13a", "char")
 #: Bytes of text whose n-grams a task holds at a time, or one row.
 TEXT_BYTES = 1 << 20
+#: Tokens whose n-grams are counted at a time, beside one longer row.
+GRAM_TOKENS = 1 << 17
 
 
 def bleu_text(c: Column, tokenizer: str = "13a") -> Column:
@@ -117,18 +124,78 @@ def clipped_matches(hyp: Column, ref: Column) -> Column:
     return _match_udf()(hyp, ref)
 
 
-def ngram_counts(df: DataFrame, n: int, key: str = "id", column: str = "tokens") -> DataFrame:
-    """``key, gram, n``: how often each n-gram occurs in each row."""
-    # rows are placed by key before they are opened: no n-gram is shuffled
-    return (
-        df.select(key, column)
-        .repartition(key)
-        .select(key, F.explode(ngrams(F.col(column), n)).alias("gram"))
-        .groupBy(key, "gram")
-        .agg(F.count(F.lit(1)).alias("n"))
+def _gram_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Keys and token lists of at most ``GRAM_TOKENS`` tokens beside the longest
+    row's, so that memory doesn't grow with a batch."""
+    for batch in batches:
+        keys, lists = batch.columns
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        share = (np.cumsum(sizes.astype(np.int64)) - 1) // GRAM_TOKENS
+        cuts = [0, *(np.flatnonzero(np.diff(share)) + 1), len(keys)]
+        for i, j in zip(cuts, cuts[1:]):
+            if j > i:
+                yield keys.slice(i, j - i), lists.slice(i, j - i)
+
+
+def _row_grams(keys: pa.Array, lists: pa.ListArray, n: int) -> pa.RecordBatch:
+    """``key, gram, n`` of some rows: tokens become numbers, a number per row
+    and n-gram is counted; only the distinct n-grams of a row become text."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner, tokens = np.repeat(np.arange(len(keys)), sizes), lists.flatten()
+    coded = pc.dictionary_encode(tokens, null_encoding="encode")
+    word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    total = max(len(word) - n + 1, 0)
+    starts = np.flatnonzero(owner[:total] == owner[n - 1 : n - 1 + total])
+    gram, base = word[starts], len(coded.dictionary) + 1
+    for i in range(1, n):
+        # the shorter n-gram and the word that follows it
+        gram = np.unique(gram * base + word[starts + i], return_inverse=True)[1].astype(np.int64)
+    span = int(gram.max(initial=0)) + 1
+    _, first, counts = np.unique(owner[starts] * span + gram, return_index=True, return_counts=True)
+    at = starts[first]
+    parts = [coded.dictionary.take(pa.array(word[at + i])) for i in range(n)]
+    texts = pc.binary_join_element_wise(*parts, " ", null_handling="skip") if n > 1 else parts[0]
+    if n > 1 and (coded.dictionary.null_count or pc.any(pc.match_substring(coded.dictionary, " ")).as_py()):
+        # n-grams of other tokens may read the same
+        same = pc.dictionary_encode(texts).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, first, group = np.unique(owner[at] * (len(texts) + 1) + same, return_index=True, return_inverse=True)
+        counts = np.bincount(group, weights=counts, minlength=len(first))
+        at, texts = at[first], texts.take(pa.array(first))
+    return pa.RecordBatch.from_arrays(
+        [keys.take(pa.array(owner[at])), texts, pa.array(counts.astype(np.int64))], names=["key", "gram", "n"]
     )
 
 
+def ngram_counts(df: DataFrame, n: int, key: str = "id", column: str = "tokens") -> DataFrame:
+    """``key, gram, n``: how often each n-gram occurs in the rows of each key.
+
+    Rows whose key is their own are counted where they are, many at a time, and
+    neither their text nor an n-gram is shuffled. Which keys come again is found
+    first, from the keys alone; only their rows' counts are added up by key and
+    n-gram.
+    """
+    rows = df.select(key, column)
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > 1).select(key)
+    again = stored(again, "repeated-keys")
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType([T.StructField(key, types[key]), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, lists in _gram_slices(batches):
+            yield _row_grams(keys, lists, n).rename_columns([key, "gram", "n"])
+
+    def counted(some: DataFrame) -> DataFrame:
+        return some.mapInArrow(count, schema)
+
+    if again.isEmpty():
+        return counted(rows)
+    # null-safe: a missing key is a key as well
+    alias = again.withColumnRenamed(key, "__again")
+    same = F.col(key).eqNullSafe(F.col("__again"))
+    repeated = counted(rows.join(alias, same, "left_semi")).groupBy(key, "gram").agg(F.sum("n").alias("n"))
+    return counted(rows.join(alias, same, "left_anti")).unionByName(repeated)
+
+
 def bleu_stats(df: DataFrame, tokenizer: str = "13a", hyp: str = "hyp", ref: str = "ref") -> DataFrame:
     """Adds per-row lengths and, per order, matches ``m1..m4`` and totals
     ``t1..t4``."""

@@ -237,6 +237,29 @@ def test_bigrams_of_documents_are_not_shuffled(spark):
     assert sorted((r.src_id, r.prev, r.next, r.n) for r in found.collect() if r.src_id == 2) == [(2, 2, 5, 1), (2, 5, 3, 1)]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_ngrams_of_rows_and_of_repeated_keys(spark, monkeypatch, n):
+    monkeypatch.setattr(B, "GRAM_TOKENS", 40)
+    rng = random.Random(n)
+    rows = [(i, [rng.choice(["a", "b", "\u00e9", ""]) for _ in range(rng.randint(0, 30))]) for i in range(60)]
+    rows += [(3, list("abab")), (3, list("ab")), (7, []), (None, list("aba")), (None, list("ba")), (61, None)]
+    rows += [(70, ["a b", "c", "a", "b c", "a b", "c"]), (71, ["a", None, "a", "b", None, "a"]), (72, list("ab") * 100)]
+    want = Counter()
+    for i, tokens in rows:
+        for gram in zip(*[(tokens or [])[k:] for k in range(n)]):
+            want[i, " ".join(t for t in gram if t is not None) if n > 1 else gram[0]] += 1
+    df = spark.createDataFrame(rows, "id bigint, tokens array<string>").repartition(3)
+    got = B.ngram_counts(df, n).collect()
+    assert len(got) == len(want) and {(r.id, r.gram): r.n for r in got} == want
+
+
+def test_ngrams_of_rows_of_their_own_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, list("abab")), (2, list("ba"))], "id bigint, tokens array<string>")
+    out = B.ngram_counts(df, 2)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, "a b", 2), (1, "b a", 1), (2, "b a", 1)]
+
+
 def test_one_step_counts_the_bigrams_it_can_take(spark, sf):
     """Scores of a beam's continuations are those of the full table; no others are counted or shuffled."""
     from bitexture.operators import tokens as K
